@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dialoom.llm import queries_rows
+from dialoom.llm import queries_rows, queries_text
 
-MODULES = (queries_rows,)
+MODULES = (queries_rows, queries_text)
 
 
 def queries() -> dict:
