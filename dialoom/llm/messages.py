@@ -14,4 +14,5 @@ def history_messages(history: Column) -> Column:
     as_json = F.from_json(history, "array<struct<role:string,content:string,time:string>>")
     contents = F.filter(F.transform(as_json, lambda m: m["content"]), lambda x: x.isNotNull())
     lines = F.transform(F.split(history, "\n"), lambda line: F.regexp_replace(line, HEAD, ""))
-    return F.when(history.rlike(r"^\s*\[\s*\{") & (F.size(contents) > 0), contents).otherwise(F.coalesce(lines, F.array().cast("array<string>")))
+    is_json = history.rlike(r"^\s*\[\s*\{")
+    return F.coalesce(F.when(is_json, contents), lines, F.array().cast("array<string>"))

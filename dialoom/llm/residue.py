@@ -40,15 +40,16 @@ SLOT = (
 )
 #: Marks that a person may also mention.
 DOUBTFUL = r"XX+|某某某?|_{3,}|undefined|null|(?<![A-Za-z])nan(?![A-Za-z])|%[ds]|待定"
-FILLER = r"lorem\s+ipsum|ipsum\s+dolor|dolor\s+sit\s+amet|sit\s+amet|amet\s+consectetur|consectetur\s+adipiscing|sed\s+do\s+eiusmod|此处填写|\bTODO\b|\bTBD\b|占位文字|示例文字|测试文本|内容待定"
+FILLER = r"lorem\s+ipsum|ipsum\s+dolor|dolor\s+sit\s+amet|sit\s+amet|amet\s+consectetur|consectetur\s+adipiscing|sed\s+do\s+eiusmod|此处填写|\bTODO\b|\bTBD\b|占位文字|示例文[字本]|测试文本|测试内容|此处为文案|内容待定|文案整理中|(?:话术|文案|内容)待补充?|替换为实际内容|text goes here|replace before publishing"
 STATUS = (
     r"\b[45]\d\d\s+(?:bad request|unauthorized|forbidden|not found|method not allowed|request time-?out|too many requests|internal server error|bad gateway|service unavailable|gateway time-?out)"
     r"|<html|</?h1>|<title>|traceback\b|(?:error|exception)\s+at\s+handler|[{,]\s*\"(?:code|msg|trace)\"\s*:"
     r"|错误代码|加载失败.{0,3}点击重试|页面走丢|页面不存在|链接已失效|an unexpected error has occurred|err_code_|server cannot process|site can.?t be reached|access denied|do(?:es)? not have permission"
+    r"|something went wrong|try again later|timed out while|page you requested|could not be found|会话已过期|重新登录后再访问|访问人数过多|系统繁忙|请稍后(?:再试|重试)|没有权限访问|无法打开此内容|访问的页面|即将返回首页"
 )
 SCRIPT = (
     r"<noscript|启用\s*javascript|(?:enable|turn on)\s+(?:javascript|scripts?|scripting)|need to enable|requires? (?:scripting|javascript)"
-    r"|需要运行脚本|不支持脚本|脚本被禁用|请.{0,8}开启脚本"
+    r"|为了正常浏览|请打开\s*js|需要运行脚本|不支持脚本|脚本被禁用|请.{0,8}开启脚本"
 )
 CERTAIN = rf"(?iU)(?:{SLOT}|{FILLER}|{STATUS}|{SCRIPT})"
 EVIDENCE = rf"(?iU)(?:{SLOT}|{FILLER}|{STATUS}|{SCRIPT}|{DOUBTFUL})"
@@ -134,13 +135,15 @@ def train(pieces: DataFrame, host_col: str, max_positive: int = 4000, max_negati
     One host in ``held_out``, by hash, is kept from the fit and sets the threshold.
     """
     label = F.when(F.col("segment").rlike(CERTAIN), 1).when(~F.col("segment").rlike(EVIDENCE) | F.col("segment").rlike(OWN_WORDS), 0)
-    marked = pieces.select("segment", F.pmod(F.xxhash64(F.coalesce(F.col(host_col), F.lit(""))), F.lit(held_out)).alias("fold"), label.alias("label"))
-    once = marked.filter(F.col("label").isNotNull()).groupBy("segment", "label").agg(F.min("fold").alias("fold"))
+    fold = F.pmod(F.xxhash64(F.coalesce(F.col(host_col), F.lit(""))), F.lit(held_out))
+    distinct = pieces.select("segment", fold.alias("fold")).groupBy("segment").agg(F.min("fold").alias("fold"))
+    once = distinct.select("segment", "fold", label.alias("label")).filter(F.col("label").isNotNull()).persist()
     ranked = [
         once.filter(F.col("label") == want).orderBy(F.xxhash64("segment"), "segment").limit(most)
         for want, most in ((1, max_positive), (0, max_negative))
     ]
     rows = ranked[0].unionByName(ranked[1]).collect()
+    once.unpersist()
     if not any(r.label for r in rows):
         return None
     fitted = [r for r in rows if r.fold] or rows
@@ -167,7 +170,8 @@ def found(fields: DataFrame, id_cols: list[str], messages_col: str, host_col: st
     @F.pandas_udf("boolean")
     def residual(texts: pd.Series) -> pd.Series:
         weights, threshold = shared.value
-        return pd.Series(Residue(weights, threshold, {}).score(texts.tolist()) >= threshold)
+        place, once = pd.factorize(texts)  # talk repeats itself: each text of a batch is scored once
+        return pd.Series((Residue(weights, threshold, {}).score(once.tolist()) >= threshold)[place])
 
     judged = pieces.filter(residual("segment")).filter(F.col("segment").rlike(EVIDENCE))
     return judged.select(*id_cols).distinct()
