@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dialoom.llm import queries_residue, queries_rows, queries_text
+from dialoom.llm import queries_personal, queries_residue, queries_rows, queries_text
 
-MODULES = (queries_rows, queries_text, queries_residue)
+MODULES = (queries_rows, queries_text, queries_residue, queries_personal)
 
 
 def queries() -> dict:
