@@ -16,6 +16,8 @@ Behaviour at the edges
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,10 +32,20 @@ _WORD = r"[\p{IsHan}]|[\p{L}&&[^\p{IsHan}]][\p{L}\p{M}'’\-&&[^\p{IsHan}]]*|\p{
 _ENDS = r"[。！？；.!?;…：:”\"’)）]\s*$"
 
 
-@F.pandas_udf("long")
-def _rare_han(texts: pd.Series) -> pd.Series:
-    """Ideographs outside the basic simplified set (GB 2312)."""
-    return pd.Series([0 if t is None else sum(1 for c in t if "㐀" <= c <= "鿿" and not c.encode("gb2312", "ignore")) for t in texts])
+_HAN_RUN = re.compile("[\u3400-\u9fff]+")
+
+
+@F.pandas_udf("rare double, distinct double, longest double")
+def _characters(texts: pd.Series) -> pd.DataFrame:
+    """Ideographs outside the basic simplified set (GB 2312), different characters, longest unbroken run of a script."""
+    rows = []
+    for t in texts:
+        han = "".join(_HAN_RUN.findall(t))
+        rows.append((len(han) - len(han.encode("gb2312", "ignore")) // 2, len(set(t)), max(map(len, _UNBROKEN.split(t)))))
+    return pd.DataFrame(rows, columns=["rare", "distinct", "longest"], dtype="float64")
+
+
+_UNBROKEN = re.compile(r"[^A-Za-z0-9=_]+")
 
 
 def statistics(df: DataFrame, text_col: str, lang_col: str, common_words: DataFrame) -> DataFrame:
@@ -52,6 +64,7 @@ def statistics(df: DataFrame, text_col: str, lang_col: str, common_words: DataFr
 
     lines = F.filter(F.split(t, r"\r\n|[\n\r\u2028\u2029\x0b\x0c\x85]"), lambda x: F.length(F.trim(x)) > 0)
     made = df.withColumns({"__lines": lines, "__chars": F.length(F.regexp_replace(t, r"(?U)\s+", "")).cast("double")})
+    made = made.withColumn("__python", _characters(t))
     n_lines = F.greatest(F.size("__lines"), F.lit(1)).cast("double")
     share = lambda test: F.size(F.filter("__lines", test)) / n_lines
     chars = F.greatest(F.col("__chars"), F.lit(1.0))
@@ -70,18 +83,18 @@ def statistics(df: DataFrame, text_col: str, lang_col: str, common_words: DataFr
         "digits": count(r"\p{N}") / chars,
         "marked_lines": share(lambda x: x.rlike(r"^\s*(?:[-*•●○■□☐☑★☆◆▪·✓√]|\[[ xX]?\]|\d{1,3}\s*[.、)）:：]|[(（]\d{1,3}[)）]|[一二三四五六七八九十]{1,3}、|[①-⑳])")),
         "link_lines": share(lambda x: x.rlike(r"https?://\S+\s*$|^https?://|www\.")),
-        "row_lines": share(lambda x: x.rlike(r"^(?:[^,\n]*,){3,}[^,]{0,30}$|^(?:[^\t]*\t){2,}|^\s*\|.*\|.*\|\s*$|^\"[^\"]*\"(?:[;,]\"[^\"]*\"){2,}|^(?:[^\n]*?\S {2,}){3,}|^(?:[^;]*;){3,}[^;]{0,30}$")),
+        "row_lines": share(lambda x: x.rlike(r"^(?:[^,\n]*,){3,}[^,]{0,30}$|^(?:[^\t]*\t){2,}|^\s*\|.*\|.*\|\s*$|^\"[^\"]*\"(?:[;,]\"[^\"]*\"){2,}|^(?:[^;]*;){3,}[^;]{0,30}$") | (F.regexp_count(x, F.lit(r"\S {2,}")) >= 3)),
         "short_lines": share(lambda x: (F.length(x) <= 32) & ~x.rlike(r"[。！？!?]\s*$|\.\s*$")),
         "log_lines": share(lambda x: x.rlike(r"^\[?\d{4}-\d\d-\d\d[ T]\d\d:\d\d:\d\d\S*\s+(?:ERROR|WARN|INFO|DEBUG|FATAL|TRACE)|0x[0-9a-f]{6,}|^\s+at [\w.$]+\(")),
         "strung": count(r"[、/|,，;；]\s?") / F.greatest(words, F.lit(1.0)),
-        "longest": F.coalesce(F.array_max(F.transform(F.split(t, r"[\s\p{IsHan}\p{IsPunctuation}]+"), lambda x: F.length(x))), F.lit(0)).cast("double"),
-        "distinct": F.size(F.array_distinct(F.split(t, ""))).cast("double"),
+        "longest": F.col("__python.longest"),
+        "distinct": F.col("__python.distinct"),
         "garbled": count(r"[\u0080-\u009f\u00a0-\u00ff\ufffd□]") / chars,
-        "rare": _rare_han(F.when(t.rlike(r"[\u3400-\u9fff]"), t)) / chars,
+        "rare": F.col("__python.rare") / chars,
         "odd_letters": count(r"[jqxz]", lower) / F.greatest(count(r"[a-z]", lower), 0.7 * chars, F.lit(20.0)),
         "hard_words": count(r"(?<![a-z])[a-z]*[bcdfghjklmnpqrstvwxz]{4,}[a-z]*(?![a-z])", lower) / F.greatest(words, F.lit(1.0)),
     }
-    return made.withColumn("q", F.struct(*[c.cast("double").alias(k) for k, c in q.items()])).drop("__lines", "__chars")
+    return made.withColumn("q", F.struct(*[c.cast("double").alias(k) for k, c in q.items()])).drop("__lines", "__chars", "__python")
 
 
 def _functions() -> list[tuple[str, str, Column]]:
