@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dialoom.llm import queries_personal, queries_quality, queries_residue, queries_rows, queries_text, queries_tokens
+from dialoom.llm import queries_personal, queries_quality, queries_residue, queries_rows, queries_subset, queries_text, queries_tokens
 
-MODULES = (queries_rows, queries_text, queries_residue, queries_personal, queries_quality, queries_tokens)
+MODULES = (queries_rows, queries_text, queries_residue, queries_personal, queries_quality, queries_tokens, queries_subset)
 
 
 def queries() -> dict:
