@@ -35,17 +35,21 @@ _ENDS = r"[。！？；.!?;…：:”\"’)）]\s*$"
 _HAN_RUN = re.compile("[\u3400-\u9fff]+")
 
 
-@F.pandas_udf("rare double, distinct double, longest double")
-def _characters(texts: pd.Series) -> pd.DataFrame:
+_UNBROKEN = re.compile(r"[^A-Za-z0-9=_]+")
+
+
+def _characters(c: Column) -> Column:
     """Ideographs outside the basic simplified set (GB 2312), different characters, longest unbroken run of a script."""
-    rows = []
-    for t in texts:
-        han = "".join(_HAN_RUN.findall(t))
-        rows.append((len(han) - len(han.encode("gb2312", "ignore")) // 2, len(set(t)), max(map(len, _UNBROKEN.split(t)))))
-    return pd.DataFrame(rows, columns=["rare", "distinct", "longest"], dtype="float64")
 
+    @F.pandas_udf("rare double, distinct double, longest double")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            han = "".join(_HAN_RUN.findall(t))
+            rows.append((len(han) - len(han.encode("gb2312", "ignore")) // 2, len(set(t)), max(map(len, _UNBROKEN.split(t)))))
+        return pd.DataFrame(rows, columns=["rare", "distinct", "longest"], dtype="float64")
 
-_UNBROKEN = re.compile(r"[^A-Za-z0-9=_]+")
+    return run(c)
 
 
 def statistics(df: DataFrame, text_col: str, lang_col: str, common_words: DataFrame) -> DataFrame:
