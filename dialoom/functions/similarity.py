@@ -1,0 +1,49 @@
+"""Similarities of short texts.
+
+Token and n-gram measures are relational (see ``operators.scripts``); what needs an alignment of two strings runs in
+Arrow batches over distinct pairs.
+"""
+
+from __future__ import annotations
+
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def lexical(a: str | None, b: str | None) -> float:
+    """1 for equal texts, the length ratio where one holds the other, else the better of the matching-block ratio
+    and the share of common characters. Inputs are match keys."""
+    if not a or not b:
+        return 0.0
+    if a == b:
+        return 1.0
+    if a in b or b in a:
+        return min(len(a), len(b)) / max(len(a), len(b))
+    chars_a, chars_b = set(a), set(b)
+    return max(SequenceMatcher(None, a, b).ratio(), len(chars_a & chars_b) / max(len(chars_a), len(chars_b)))
+
+
+def lexical_similarity(a: Column, b: Column) -> Column:
+    @F.pandas_udf("double")
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([lexical(x, y) for x, y in zip(left, right, strict=True)])
+
+    return run(a, b)
+
+
+def sequence_ratio(a: Column, b: Column) -> Column:
+    """Twice the matching characters over all characters, by longest matching blocks."""
+
+    @F.pandas_udf("double")
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(left, right, strict=True)])
+
+    return run(a, b)
+
+
+def keyword_ratio(text: Column, keywords: Column) -> Column:
+    """Share of the keywords that occur in a text; null where there are none."""
+    return F.size(F.filter(keywords, lambda k: text.contains(k))) / F.size(keywords)

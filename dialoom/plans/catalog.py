@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dialoom.plans import dialogue_queries, nested_queries, propagation_queries
+from dialoom.plans import dialogue_queries, nested_queries, propagation_queries, selection_queries
 
-MODULES = (nested_queries, propagation_queries, dialogue_queries)
+MODULES = (nested_queries, propagation_queries, dialogue_queries, selection_queries)
 
 
 def queries() -> dict:
