@@ -96,7 +96,7 @@ def media_only_filter(spark, sf_dir):
 def text_forms(spark, sf_dir):
     """Each normaliser on the sent texts."""
     c = F.col("sent_text")
-    return table(spark, sf_dir, "reflow_rows").filter(c.rlike(r"^[\x20-\x7e一-鿿，。？！]*$")).select(
+    return table(spark, sf_dir, "reflow_rows").select(
         "row_order", text.match_key(c).alias("match_key"), text.letters_only(c).alias("letters"), text.template_form(c).alias("template"), text.without_space(c).alias("dense")
     )
 
@@ -154,15 +154,28 @@ def _strip(c: str) -> str:
     return f"regexp_replace({c}, '^{_W}+|{_W}+$', '', 'g')"
 
 
+#: What Java's Unicode word characters are, for RE2.
+WORD = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}"
+
+
+def half_sql(c: str) -> str:
+    narrow = text._NARROW.replace("'", "''")
+    return f"translate({c}, '{text._WIDE}', '{narrow}')"
+
+
+def match_key_sql(c: str) -> str:
+    return f"regexp_replace(lower({half_sql(c)}), '[^{WORD}]+', '', 'g')"
+
+
 _HEAD = r"^\[(.+?)\]\[(.+?)\]\s*:\s*(.*)$"
-_MESSAGES = f"""
+MESSAGES = f"""
 l AS (SELECT conv_id, i, {_strip('line')} AS line FROM (SELECT conv_id, unnest(string_split_regex(final_context, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')) AS line, generate_subscripts(string_split_regex(final_context, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), 1) AS i FROM tagging_corpus)),
 h AS (SELECT *, regexp_matches(line, '{_HEAD}') AS head FROM l WHERE line <> ''),
 g AS (SELECT *, sum(CAST(head AS INT)) OVER (PARTITION BY conv_id ORDER BY i) AS grp FROM h),
 m AS (SELECT conv_id, grp, max(CASE WHEN head THEN regexp_extract(line, '{_HEAD}', 1) END) AS speaker, max(CASE WHEN head THEN regexp_extract(line, '{_HEAD}', 2) END) AS ts,
   {_strip("string_agg(CASE WHEN head THEN regexp_extract(line, '" + _HEAD + "', 3) ELSE line END, ' ' ORDER BY i)")} AS text FROM g GROUP BY conv_id, grp),
 msgs AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY grp) - 1 AS INT) AS pos, speaker, ts, text FROM m)"""
-_SALES = "coalesce(regexp_matches(speaker, '销售|CSM|顾问|老师'), FALSE)"
+SALES = "coalesce(regexp_matches(speaker, '销售|CSM|顾问|老师'), FALSE)"
 _LINE5 = f"""CASE WHEN starts_with(x, '[客户]') OR NOT starts_with(x, '[') OR NOT contains(x, ']') THEN x
   WHEN regexp_matches(substring(x, strpos(x, ']') + 1), '^\\[.*\\]: ') THEN '[销售]' || regexp_extract(substring(x, strpos(x, ']') + 1), '^(\\[.*?\\]):', 1) || ':' || regexp_replace(substring(x, strpos(x, ']') + 1), '^\\[.*?\\]:', '')
   WHEN starts_with(substring(x, strpos(x, ']') + 1), ':') THEN '[销售]: ' || {_strip("substring(x, strpos(x, ']') + 2)")}
@@ -178,7 +191,7 @@ ORACLES = {
     "scan_project_blank": f"""SELECT row_order, {sql_blank('message')} AS blank,
   CASE WHEN lower({_strip("coalesce(message, '')")}) IN ('none', 'nan') THEN '' ELSE {_strip("coalesce(message, '')")} END AS value,
   lower({_strip("coalesce(rag, '')")}) NOT IN ('', 'nan', '[]') AS valid_rag FROM reflow_rows""",
-    "parse_history": f"WITH {_MESSAGES.strip()} SELECT * FROM msgs",
+    "parse_history": f"WITH {MESSAGES.strip()} SELECT * FROM msgs",
     "standardize_speakers": f"""SELECT conv_id, {_standard('final_context')} AS history,
   regexp_replace(regexp_replace(final_context, '\\[销售[^\\]]*\\](\\[\\d{{4}}-\\d{{2}}-\\d{{2}} \\d{{2}}:\\d{{2}}:\\d{{2}}\\])', '[销售]\\1', 'g'), '\\[CSM\\](\\[\\d{{4}}-\\d{{2}}-\\d{{2}} \\d{{2}}:\\d{{2}}:\\d{{2}}\\])', '[销售]\\1', 'g') AS cleaned FROM tagging_corpus""",
     "complete_conversation": f"""WITH s AS (SELECT row_order, {_standard('history')} AS past, CASE WHEN {sql_blank('message_time')} THEN '[客户]: ' ELSE '[客户][' || message_time || ']: ' END || {_strip('message')} AS line, {sql_blank('message')} AS b FROM reflow_rows WHERE sender = '客户')
@@ -188,16 +201,16 @@ p AS (SELECT *, list_max(list_transform(a, lambda x, i: CASE WHEN starts_with({_
 SELECT conv_id, CASE WHEN coalesce(final_context, '') = '' THEN '' WHEN last IS NOT NULL THEN array_to_string(a[1:last], chr(10)) ELSE final_context END AS history FROM p""",
     "last_customer_message": f"""WITH l AS (SELECT conv_id, final_context, list_filter(list_transform(list_filter(list_transform(string_split(final_context, chr(10)), lambda x: {_strip('x')}), lambda x: starts_with(x, '[客户]') AND contains(x, ']:')), lambda x: {_strip("regexp_replace(x, '^.*?\\]:', '')")}), lambda x: x <> '') AS a FROM tagging_corpus)
 SELECT conv_id, coalesce(a[-1], '') AS message, CAST(len(regexp_extract_all(coalesce(final_context, ''), '\\[客户\\]')) AS INT) AS turns FROM l""",
-    "merge_trailing_block": f"""WITH {_MESSAGES.strip()},
+    "merge_trailing_block": f"""WITH {MESSAGES.strip()},
 e AS (SELECT *, max(CASE WHEN coalesce(speaker, '') <> '客户' THEN pos END) OVER (PARTITION BY conv_id) AS brk FROM msgs),
 b AS (SELECT conv_id, count(*) AS n, string_agg(text, ' ' ORDER BY pos) AS merged FROM e WHERE brk IS NULL OR pos > brk GROUP BY conv_id)
 SELECT t.conv_id, CAST(coalesce(n, 0) AS INT) AS messages, coalesce(merged, '') AS merged FROM tagging_corpus t LEFT JOIN b USING (conv_id)""",
-    "sales_rounds": f"""WITH {_MESSAGES.strip()},
-s AS (SELECT *, {_SALES} AS sales FROM msgs),
+    "sales_rounds": f"""WITH {MESSAGES.strip()},
+s AS (SELECT *, {SALES} AS sales FROM msgs),
 r AS (SELECT *, sum(CASE WHEN sales AND NOT coalesce(lagged, FALSE) THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos) AS round FROM (SELECT *, lag(sales) OVER (PARTITION BY conv_id ORDER BY pos) AS lagged FROM s))
 SELECT conv_id, pos, CAST(round AS INT) AS round, CAST(max(round) OVER (PARTITION BY conv_id) - round + 1 AS INT) AS round_from_last, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) AS INT) AS turn_from_last FROM r WHERE sales""",
-    "sales_blocks_around_last": f"""WITH {_MESSAGES.strip()},
-s AS (SELECT *, CASE WHEN {_SALES} THEN 's' WHEN speaker = '客户' THEN 'c' ELSE 'o' END AS side FROM msgs),
+    "sales_blocks_around_last": f"""WITH {MESSAGES.strip()},
+s AS (SELECT *, CASE WHEN {SALES} THEN 's' WHEN speaker = '客户' THEN 'c' ELSE 'o' END AS side FROM msgs),
 r AS (SELECT *, sum(CASE WHEN coalesce(lagged, '') <> side THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos) AS run FROM (SELECT *, lag(side) OVER (PARTITION BY conv_id ORDER BY pos) AS lagged FROM s)),
 z AS (SELECT *, max(CASE WHEN side = 'c' THEN run END) OVER (PARTITION BY conv_id) AS last FROM r)
 SELECT conv_id, coalesce(string_agg(text, ' ' ORDER BY pos) FILTER (WHERE side = 's' AND run = last - 1), '') AS before, coalesce(string_agg(text, ' ' ORDER BY pos) FILTER (WHERE side = 's' AND run = last + 1), '') AS after FROM z GROUP BY conv_id""",
@@ -214,10 +227,11 @@ SELECT case_id, NOT {sql_blank('latest_message')} AND length(q) > 1 AND regexp_m
     "classify_message": """SELECT case_id, CASE WHEN regexp_matches(t, '好|可以|是的|ok|收到') THEN '确认回复' WHEN regexp_matches(t, '不|没') THEN '拒绝回复' WHEN is_question THEN '疑问询问' WHEN regexp_matches(t, '谢谢|感谢|辛苦') THEN '感谢表达'
   WHEN length(t) > 50 THEN '详细描述' WHEN regexp_matches(t, '了解|明白|清楚|知道') THEN '理解确认' ELSE '其他回复' END AS message_class FROM (SELECT *, lower(coalesce(latest_message, 'nan')) AS t FROM testset)""",
     "media_only_filter": f"SELECT case_id FROM testset WHERE len(last_sales_messages) > 0 AND len(list_filter(last_sales_messages, lambda m: NOT ({_strip('m')} = '' OR regexp_matches({_strip('m')}, '^<(image|voice|video|emotion)_')))) = 0",
-    "text_forms": r"""SELECT row_order, regexp_replace(lower(sent_text), '[^\p{L}\p{N}_]+', '', 'g') AS match_key,
-  trim(regexp_replace(lower(regexp_replace(translate(sent_text, '，？！', ',?!'), '[^\x{4e00}-\x{9fff}A-Za-z0-9\s]', '', 'g')), '\s+', ' ', 'g')) AS letters,
-  lower(regexp_replace(trim(regexp_replace(replace(sent_text, '<newline>', ' '), '[^\p{L}\p{N}_]+', ' ', 'g')), '\d', 'x', 'g')) AS template, regexp_replace(sent_text, '\s+', '', 'g') AS dense
-FROM reflow_rows WHERE regexp_matches(sent_text, '^[\x20-\x7e\x{4e00}-\x{9fff}，。？！]*$')""",
+    "text_forms": f"""SELECT row_order, {match_key_sql('sent_text')} AS match_key,
+  trim(regexp_replace(lower(regexp_replace({half_sql('sent_text')}, '[^\\x{{4e00}}-\\x{{9fff}}A-Za-z0-9\\s\\p{{Z}}\\x{{85}}\\x0b]', '', 'g')), '[\\s\\p{{Z}}\\x{{85}}\\x0b]+', ' ', 'g')) AS letters,
+  lower(regexp_replace(trim(regexp_replace(replace(sent_text, '<newline>', ' '), '[^{WORD}]+', ' ', 'g')), '\\p{{Nd}}', 'x', 'g')) AS template,
+  regexp_replace(sent_text, '[\\s\\p{{Z}}\\x{{85}}\\x0b]+', '', 'g') AS dense FROM reflow_rows""",
+
     "char_set_ops": """WITH s AS (SELECT conv_id, list_distinct(regexp_extract_all(coalesce(latest_message, ''), '(?s).')) AS a, list_distinct(regexp_extract_all(coalesce(sop_l2, ''), '(?s).')) AS b FROM tagging_corpus)
 SELECT conv_id, CAST(len(list_intersect(a, b)) AS INT) AS shared, CAST(len(list_filter(a, lambda x: NOT list_contains(b, x))) AS INT) AS own, CAST(len(list_distinct(list_concat(a, b))) AS INT) AS either FROM s""",
     "script_variants": f"""WITH s AS (SELECT script_id, {_strip('script_text')} AS t FROM sop_scripts),
@@ -225,8 +239,8 @@ v AS (SELECT script_id, list_filter(CASE WHEN contains(t, '<newline>') THEN [{_s
 SELECT script_id, CAST(generate_subscripts(a, 1) - 1 AS INT) AS place, unnest(a) AS variant FROM v""",
     "duplicate_judge": f"""SELECT row_order, CASE WHEN {sql_blank('ai_text')} AND {sql_blank('sent_text')} THEN '无AI消息' WHEN {sql_blank('ai_text')} OR {sql_blank('sent_text')} THEN '缺少一条AI消息'
   WHEN regexp_replace(ai_text, '{_W}+', '', 'g') = regexp_replace(sent_text, '{_W}+', '', 'g') THEN '是' ELSE '否' END AS verdict FROM reflow_rows""",
-    "case_contexts": f"""WITH {_MESSAGES.strip()},
-a AS (SELECT m.*, concat(coalesce(speaker, ''), ': ', text) AS line, {_SALES} AND text IN (SELECT trim(script_text) FROM sop_scripts) AS anchor FROM msgs m),
+    "case_contexts": f"""WITH {MESSAGES.strip()},
+a AS (SELECT m.*, concat(coalesce(speaker, ''), ': ', text) AS line, {SALES} AND text IN (SELECT trim(script_text) FROM sop_scripts) AS anchor FROM msgs m),
 c AS (SELECT *, coalesce(speaker = '客户' AND lag(anchor) OVER (PARTITION BY conv_id ORDER BY pos), FALSE) AS cut,
   string_agg(line, chr(10)) OVER (PARTITION BY conv_id ORDER BY pos) AS context, coalesce(string_agg(line, chr(10)) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rest FROM a)
 SELECT conv_id, pos, context, rest FROM c WHERE cut""",
