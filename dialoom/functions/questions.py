@@ -53,3 +53,18 @@ def message_class(text: Column, question: Column) -> Column:
 def only_media(messages: Column) -> Column:
     """Whether every non-blank message of a non-empty array is a media token."""
     return F.coalesce((F.size(messages) > 0) & F.forall(messages, lambda m: (strip(m) == "") | strip(m).rlike("^<(?:image|voice|video|emotion)_")), F.lit(False))
+
+
+def clean_questions(raw: Column, most: int = 5, longest: int = 20, banned: tuple[str, ...] = ()) -> Column:
+    """Questions from a model's reply: a JSON list anywhere in it, else its lines; think tags removed, a question mark
+    at the end, three to ``longest`` characters, each once, in order."""
+    told = F.regexp_replace(raw, r"(?s)<think>.*?</think>", "")
+    listed = F.from_json(F.regexp_extract(told, r"(?s)\[[^\]]+\]", 0), "array<string>")
+    parts = F.coalesce(listed, F.split(told, "\n"))
+    mark = lambda q: F.when(q.rlike("[?？]"), q).otherwise(F.concat(q, F.lit("？")))
+    cut = lambda q: F.when(F.length(q) > longest, F.concat(F.regexp_replace(F.substring(q, 1, longest), "[，,。.!？?]+$", ""), F.lit("？"))).otherwise(q)
+    asked = F.transform(F.filter(F.transform(parts, strip), lambda q: q != ""), lambda q: cut(mark(q)))
+    kept = F.filter(asked, lambda q: F.length(q) >= 3)
+    if banned:
+        kept = F.filter(kept, lambda q: ~q.rlike("|".join(banned)))
+    return F.slice(F.array_distinct(kept), 1, most)

@@ -20,7 +20,7 @@ import ast
 import json
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -148,21 +148,22 @@ def label_nodes(
     ])
     columns = schema.names
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            made: list[list] = [[] for _ in columns]
+            row_nos, keys = batch.column("row_no").to_pylist(), batch.column("key").to_pylist()
             for i, name in enumerate(names):
-                for row_no, k, text in zip(batch["row_no"], batch["key"], batch[f"payload_{i}"], strict=True):
-                    if isinstance(text, str):
-                        for kind, pre, post, depth, pos, node in traverse(text, name, rules):
-                            if wanted is None or kind in wanted:
-                                rows.append((row_no, k, name, kind, pre, post, depth, pos, *([_scalars(node)] if with_fields else [])))
-            out = pd.DataFrame(rows, columns=columns)
-            if len(out) and isinstance(key_type, T.IntegralType):
-                out["key"] = out["key"].astype("Int64")
-            yield out
-
-    return source.mapInPandas(run, schema)
+                for row_no, k, text in zip(row_nos, keys, batch.column(f"payload_{i}").to_pylist(), strict=True):
+                    if text is None:
+                        continue
+                    for kind, pre, post, depth, pos, node in traverse(text, name, rules):
+                        if wanted is None or kind in wanted:
+                            for column, value in zip(made, (row_no, k, name, kind, pre, post, depth, pos, *([_scalars(node)] if with_fields else [])), strict=True):
+                                column.append(value)
+            arrays = [pa.array(c, type=t) for c, t in zip(made, (pa.int64(), batch.schema.field("key").type, pa.string(), pa.string(), *[pa.int32()] * 4, *([pa.string()] if with_fields else [])), strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, columns)
+
+    return source.mapInArrow(run, schema)
 
 
 def node_tables(nodes: DataFrame, kinds: Iterable[str] = tuple(LINEAGE)) -> dict[str, DataFrame]:

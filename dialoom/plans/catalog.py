@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dialoom.plans import dialogue_queries, matching_queries, nested_queries, payload_queries, propagation_queries, selection_queries, streaming_queries
+from dialoom.plans import dialogue_queries, matching_queries, nested_queries, payload_queries, program_queries, propagation_queries, selection_queries, streaming_queries
 
-MODULES = (nested_queries, propagation_queries, dialogue_queries, selection_queries, matching_queries, payload_queries, streaming_queries)
+MODULES = (nested_queries, propagation_queries, dialogue_queries, selection_queries, matching_queries, payload_queries, streaming_queries, program_queries)
 
 
 def queries() -> dict:

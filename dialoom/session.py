@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per context: their Python workers need not have it installed.
+
+    The archive is served by the driver like any ``--py-files`` argument.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_dialoom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"{root.name}/{p.relative_to(root)}")
+    target = Path(tempfile.mkdtemp(prefix="dialoom-code-")) / "dialoom_code.zip"
+    target.write_bytes(packed.getvalue())
+    sc.addPyFile(str(target))
+    sc._dialoom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from dialoom.session import ensure_checkpoint_dir
+from dialoom.session import ensure_checkpoint_dir, ship
 
 
 def source(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = None) -> DataFrame:
     """A table's files as a stream, with the schema of the table."""
+    ship(spark)
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     reader = spark.readStream.schema(schema).option("recursiveFileLookup", True)
     reader = reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader
