@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLANK_PATTERN = r"(?Ui)^\s*(?:nan|none|\[\]|\{\})?\s*$"
+#: Possessive, so that long runs of white space are read once.
+BLANK_PATTERN = r"(?Ui)^\s*+(?:nan|none|\[\]|\{\})?\s*+$"
 
 
 def strip(c: Column) -> Column:
     """Remove leading and trailing white space of any Unicode kind."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 def is_blank(c: Column) -> Column:

@@ -58,3 +58,10 @@ def test_media_only(spark):
 def test_clean_questions(spark):
     assert one(spark, '<think>x</think>["几点开课", "几点开课", "多少钱?"]', questions.clean_questions) == ["几点开课？", "多少钱?"]
     assert one(spark, "什么时候上课\n嗯", questions.clean_questions) == ["什么时候上课？"]
+
+
+def test_long_runs_of_space_are_read_once(spark):
+    gap = "a" + " " * 100_000 + "b"
+    assert one(spark, gap, blank.strip) == gap
+    assert one(spark, gap, blank.is_blank) is False
+    assert one(spark, " " * 100_000, blank.is_blank) is True
