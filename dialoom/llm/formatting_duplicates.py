@@ -46,9 +46,9 @@ def canonical(text: Column) -> Column:
     mark = chr(1)
     plain = lambda c: F.regexp_replace(F.lower(c), r"(?U)[\s\p{P}]+", "")
     name = rf"[^{SEPARATORS}:：{{}}\[\]()（）{mark}]{{1,40}}"
-    starts = F.regexp_replace(text, rf"(?U)(^|[{SEPARATORS}。.!！?？…]|\s{{2,}})(?=[\s\p{{P}}]*{name}[:：])", mark)
+    starts = F.regexp_replace(text, rf"(?U)(^|[{SEPARATORS}。.!！?？…]|\s\s)(?=[\s\p{{P}}]{{0,8}}{name}[:：])", mark)
     items = F.filter(F.split(starts, mark), lambda x: plain(x) != "")
-    made_of_items = F.forall(items, lambda x: x.rlike(r"(?U)^[\s\p{P}]*[^:：]*[\p{L}\p{N}][^:：]*[:：]")) & (F.size(items) > 1)
+    made_of_items = F.forall(items, lambda x: F.regexp_extract(x, r"^([^:：]*)[:：]", 1).rlike(r"[\p{L}\p{N}]")) & (F.size(items) > 1)
     return F.when(made_of_items, F.array_join(F.array_sort(F.transform(items, plain)), "")).otherwise(plain(text))
 
 
