@@ -132,12 +132,12 @@ def fit_linear(texts: list[str], labels: np.ndarray, l2: float = 1e-3, rounds: i
 def train(pieces: DataFrame, host_col: str, max_positive: int = 4000, max_negative: int = 8000, recall: float = 0.998, held_out: int = 5) -> Residue | None:
     """Fit on a bounded sample of weakly labelled segments (column ``segment``); None without a weak positive.
 
-    One host in ``held_out``, by hash, is kept from the fit and sets the threshold.
+    One host in ``held_out``, by hash, is kept from the fit: what only such hosts say sets the threshold.
     """
     label = F.when(F.col("segment").rlike(CERTAIN), 1).when(~F.col("segment").rlike(EVIDENCE) | F.col("segment").rlike(OWN_WORDS), 0)
-    fold = F.pmod(F.xxhash64(F.coalesce(F.col(host_col), F.lit(""))), F.lit(held_out))
-    distinct = pieces.select("segment", fold.alias("fold")).groupBy("segment").agg(F.min("fold").alias("fold"))
-    once = distinct.select("segment", "fold", label.alias("label")).filter(F.col("label").isNotNull()).persist()
+    kept_out = F.pmod(F.xxhash64(F.coalesce(F.col(host_col), F.lit(""))), F.lit(held_out)) == 0
+    distinct = pieces.select("segment", kept_out.alias("out")).groupBy("segment").agg(F.bool_and("out").alias("unseen"))
+    once = distinct.select("segment", "unseen", label.alias("label")).filter(F.col("label").isNotNull()).persist()
     ranked = [
         once.filter(F.col("label") == want).orderBy(F.xxhash64("segment"), "segment").limit(most)
         for want, most in ((1, max_positive), (0, max_negative))
@@ -146,10 +146,10 @@ def train(pieces: DataFrame, host_col: str, max_positive: int = 4000, max_negati
     once.unpersist()
     if not any(r.label for r in rows):
         return None
-    fitted = [r for r in rows if r.fold] or rows
+    fitted = [r for r in rows if not r.unseen] or rows
     weights = fit_linear([r.segment for r in fitted], np.array([float(r.label) for r in fitted]))
     model = Residue(weights, 0.0, {})
-    unseen = [r for r in rows if not r.fold and r.label is not None]
+    unseen = [r for r in rows if r.unseen]
     judge = unseen if any(r.label for r in unseen) else rows
     scores, truth = model.score([r.segment for r in judge]), np.array([r.label for r in judge])
     positive = np.sort(scores[truth == 1])
