@@ -52,6 +52,10 @@ def _characters(c: Column) -> Column:
     return run(c)
 
 
+def _occurrences(c: Column, pattern: str) -> Column:
+    return F.regexp_count(c, F.lit(pattern))
+
+
 def statistics(df: DataFrame, text_col: str, lang_col: str, common_words: DataFrame) -> DataFrame:
     """Add the statistics as struct ``q``. ``common_words`` (lang, word) is a small fixed table."""
     by_lang = {r.lang: sorted(r.words) for r in common_words.groupBy("lang").agg(F.collect_set("word").alias("words")).collect()}
@@ -87,7 +91,10 @@ def statistics(df: DataFrame, text_col: str, lang_col: str, common_words: DataFr
         "digits": count(r"\p{N}") / chars,
         "marked_lines": share(lambda x: x.rlike(r"^\s*(?:[-*•●○■□☐☑★☆◆▪·✓√]|\[[ xX]?\]|\d{1,3}\s*[.、)）:：]|[(（]\d{1,3}[)）]|[一二三四五六七八九十]{1,3}、|[①-⑳])")),
         "link_lines": share(lambda x: x.rlike(r"https?://\S+\s*$|^https?://|www\.")),
-        "row_lines": share(lambda x: x.rlike(r"^(?:[^,\n]*,){3,}[^,]{0,30}$|^(?:[^\t]*\t){2,}|^\s*\|.*\|.*\|\s*$|^\"[^\"]*\"(?:[;,]\"[^\"]*\"){2,}|^(?:[^;]*;){3,}[^;]{0,30}$") | (F.regexp_count(x, F.lit(r"\S {2,}")) >= 3)),
+        "row_lines": share(lambda x: (
+            ((_occurrences(x, ",") >= 3) & x.rlike(r",[^,]{0,30}$")) | ((_occurrences(x, ";") >= 3) & x.rlike(r";[^;]{0,30}$")) | (_occurrences(x, "\t") >= 2)
+            | ((_occurrences(x, r"\|") >= 3) & x.rlike(r"^\s*\|") & x.rlike(r"\|\s*$")) | x.rlike(r"^\"[^\"]*\"(?:[;,]\"[^\"]*\"){2}") | (_occurrences(x, r"\S {2,}") >= 3)
+        )),
         "short_lines": share(lambda x: (F.length(x) <= 32) & ~x.rlike(r"[。！？!?]\s*$|\.\s*$")),
         "log_lines": share(lambda x: x.rlike(r"^\[?\d{4}-\d\d-\d\d[ T]\d\d:\d\d:\d\d\S*\s+(?:ERROR|WARN|INFO|DEBUG|FATAL|TRACE)|0x[0-9a-f]{6,}|^\s+at [\w.$]+\(")),
         "strung": count(r"[、/|,，;；]\s?") / F.greatest(words, F.lit(1.0)),
