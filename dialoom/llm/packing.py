@@ -123,15 +123,16 @@ def pack(
     whole = split.filter("full > 0").select("capacity_id", "id", "room", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece"))
     whole = whole.select("capacity_id", F.concat_ws("-", F.lit("full"), F.coalesce(F.col("id").cast("string"), F.lit("null")), "piece").alias("container_id"), "id", "piece", F.col("room").alias("tokens"))
     items = split.filter("full = 0 or rest > 0").select(
-        "capacity_id", "room", "id", F.col("full").alias("piece"), F.col("rest").alias("size"), "source", "cluster",
+        "capacity_id", "room", F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), F.col("full").alias("piece"), F.col("rest").alias("size"), "source", "cluster",
         F.pmod(F.xxhash64("id", "cluster"), F.lit(shards)).alias("shard"),
     )
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["size", "id", "piece"], ascending=[False, True, True], kind="stable")
+        group = group.sort_values(["size", "no_id", "id", "piece"], ascending=[False, True, True, True], kind="stable")
         bins = pack_shard(group, int(group["room"].iloc[0]), conflicts)
         names = [f"s{group['shard'].iloc[0]}-{b}" for b in bins]
-        return pd.DataFrame({"capacity_id": group["capacity_id"], "container_id": names, "id": group["id"], "piece": group["piece"], "tokens": group["size"]})
+        ids = group["id"].astype("Int64").mask(group["no_id"])
+        return pd.DataFrame({"capacity_id": group["capacity_id"], "container_id": names, "id": ids, "piece": group["piece"], "tokens": group["size"]})
 
     packed = items.repartition(len(rooms) * shards, "capacity_id", "shard").groupBy("capacity_id", "shard").applyInPandas(fill, OUTPUT)
     return packed.unionByName(whole)
