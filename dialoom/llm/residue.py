@@ -44,7 +44,7 @@ FILLER = r"lorem\s+ipsum|ipsum\s+dolor|dolor\s+sit\s+amet|sit\s+amet|amet\s+cons
 STATUS = (
     r"\b[45]\d\d\s+(?:bad request|unauthorized|forbidden|not found|method not allowed|request time-?out|too many requests|internal server error|bad gateway|service unavailable|gateway time-?out)"
     r"|<html|</?h1>|<title>|traceback\b|(?:error|exception)\s+at\s+handler|[{,]\s*\"(?:code|msg|trace)\"\s*:"
-    r"|错误代码|加载失败.{0,3}点击重试|页面走丢|页面不存在|链接已失效|an unexpected error has occurred|err_code_|server cannot process|site can.?t be reached|access denied|do(?:es)? not have permission"
+    r"|错误代码|服务器?(?:开小差|异常|繁忙|错误)|加载失败.{0,3}点击重试|页面走丢|页面不存在|链接已失效|an unexpected error has occurred|err_code_|server cannot process|site can.?t be reached|access denied|do(?:es)? not have permission"
     r"|something went wrong|try again later|timed out while|page you requested|could not be found|会话已过期|重新登录后再访问|访问人数过多|系统繁忙|请稍后(?:再试|重试)|没有权限访问|无法打开此内容|访问的页面|即将返回首页"
 )
 SCRIPT = (
@@ -60,7 +60,7 @@ OWN_WORDS = r"是什么意思|什么原因|我不会|怎么弄|怎么办|看不
 
 
 #: Line and sentence ends, media and line-break tokens, and a gap between two runs of Chinese.
-CUT = r"[\n\r。！？；]+|<(?:newline|image_\d+|voice_\d+)>|(?<=[\u4e00-\u9fff\])0-9])\s+(?=[\u4e00-\u9fff【{$#<@\[%])"
+CUT = r"[\n\r。！？；]+|<(?:newline|image_\d+|voice_\d+)>|(?<=[\u4e00-\u9fff\])0-9])\s+(?=[\u4e00-\u9fff【{$#<\[])"
 
 
 def segments(text: Column) -> Column:
