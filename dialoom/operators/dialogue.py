@@ -104,3 +104,51 @@ def trailing_customer_block(parsed: Column) -> Column:
 
 def customer_turns(history: Column) -> Column:
     return F.regexp_count(F.coalesce(history, F.lit("")), F.lit(r"\[客户\]"))
+
+
+_ANY_HEAD = r"(?:\[([^\]\n]{1,40})\](?:\[([^\]\n]{1,40})\])?|(客户|销售|CSM|系统))[^\S\n]*[:：]"
+
+
+def parse_any(history: Column) -> Column:
+    """(pos, speaker, ts, text) of a history in any layout: a JSON list of role, content and time, bracketed heads with
+    or without time, or plain ``role:`` heads. Continuation lines are joined by a line break."""
+    listed = F.from_json(history, "array<struct<role:string,content:string,time:string>>")
+    from_list = F.transform(F.filter(listed, lambda m: m["content"].isNotNull()), lambda m, i: F.struct(i.cast("int").alias("pos"), m["role"].alias("speaker"), m["time"].alias("ts"), strip(m["content"]).alias("text")))
+    chunks = F.filter(F.split(F.regexp_replace(F.array_join(lines(history), "\n"), rf"(?m)^(?={_ANY_HEAD})", _CUT), _CUT), lambda c: strip(c) != "")
+    part = lambda c, n: F.nullif(F.regexp_extract(c, rf"^{_ANY_HEAD}", n), F.lit(""))
+    from_lines = F.transform(chunks, lambda c, i: F.struct(i.cast("int").alias("pos"), F.coalesce(part(c, 1), part(c, 3)).alias("speaker"), part(c, 2).alias("ts"), strip(F.regexp_replace(c, rf"^{_ANY_HEAD}", "")).alias("text")))
+    empty = F.array().cast("array<struct<pos:int,speaker:string,ts:string,text:string>>")
+    return F.when(is_blank(history), empty).otherwise(F.coalesce(F.when(history.rlike(r"^\s*\[\s*\{"), from_list), from_lines))
+
+
+def two_sides(parsed: Column, words: tuple[str, ...] = SALES_WORDS) -> Column:
+    """Only the messages of the customer and of sales."""
+    return F.filter(parsed, lambda m: (m["speaker"] == "客户") | is_sales(m["speaker"], words))
+
+
+def last_customer_texts(parsed: Column, most: int = 2) -> Column:
+    """The last texts of the customer run that ends a history."""
+    block = trailing_customer_block(parsed)
+    return F.slice(block, F.greatest(F.size(block) - most + 1, F.lit(1)), F.lit(most))
+
+
+def fill_placeholders(text: Column, values: dict[str, str]) -> Column:
+    """Tokens such as ``<tel>`` replaced by given constants."""
+    for token, value in values.items():
+        text = F.replace(text, F.lit(token), F.lit(value))
+    return text
+
+
+def transcripts(rows: DataFrame, chunk: int = 1000) -> DataFrame:
+    """Two transcripts of each conversation, with images as their addresses and without: (file_id, chunk, full, plain).
+
+    ``rows``: file_id, msg_id, sender_role, processed_text, message_type, file_url. A chunk holds at most ``chunk``
+    messages, so no conversation, however long, becomes one cell or one task.
+    """
+    image = F.coalesce(F.col("message_type") == "image", F.lit(False))
+    said = F.concat(F.coalesce("sender_role", F.lit("")), F.lit(": "), F.when(image, F.coalesce("file_url", F.lit(""))).otherwise(F.coalesce("processed_text", F.lit(""))))
+    keyed = rows.filter("file_id is not null and msg_id is not null").select("file_id", F.floor((F.col("msg_id") - 1) / chunk).cast("int").alias("chunk"), "msg_id", said.alias("line"), image.alias("image"))
+    once = keyed.groupBy("file_id", "chunk", "msg_id").agg(F.min(F.struct("line", "image")).alias("m"))
+    ordered = once.groupBy("file_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("msg_id", "m"))).alias("ms"))
+    text = lambda keep: F.array_join(F.transform(F.filter("ms", keep), lambda m: m["m"]["line"]), "\n")
+    return ordered.select("file_id", "chunk", text(lambda m: F.lit(True)).alias("full"), text(lambda m: ~m["m"]["image"]).alias("plain"))

@@ -40,3 +40,9 @@ def coverage(everything: DataFrame, chosen: DataFrame, column: str) -> DataFrame
 def deviation_class(actual: Column, planned: Column) -> Column:
     d = F.when(planned > 0, F.abs(actual - planned) / planned).otherwise(1.0)
     return F.when(d <= 0.1, "within 10 %").when(d <= 0.2, "within 20 %").when(d <= 0.3, "within 30 %").otherwise("over 30 %")
+
+
+def key_membership(df: DataFrame, label: str, keys: list[str]) -> DataFrame:
+    """(key, rows): how many rows' maps hold each key, one at least (a divisor)."""
+    counted = df.agg(*[F.greatest(F.count_if(F.map_contains_key(label, k)), F.lit(1)).alias(f"n{i}") for i, k in enumerate(keys)])
+    return counted.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"n{i}").alias("rows")) for i, k in enumerate(keys)])).alias("x")).select("x.*")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.functions import text as T
-from dialoom.functions.similarity import lexical_similarity, sequence_ratio
+from dialoom.functions.similarity import lexical_similarity, sequence_ratio, template_similarity
 
 MAX_SCRIPTS = 20_000
 # The lists of a tree node that hold scripts, and the names of its other data.
@@ -184,3 +184,41 @@ def best_script_verdict(node: Column, predicted: Column) -> Column:
     return F.when(predicted.isNull(), "未定位").when(F.coalesce(F.trim(node), F.lit("")) == "", "无原SOP标签").when(node == predicted, "一致").otherwise("不一致")
 
 
+
+
+def template_hits(replies: DataFrame, scripts: DataFrame, threshold: float = 0.88) -> DataFrame:
+    """(text, script_id, similarity) of replies that follow a script's template, digits left open."""
+    pairs = _candidates(replies, scripts)
+    scored = pairs.withColumn("similarity", F.round(template_similarity(T.template_form(F.col("text")), T.template_form(F.col("script_text"))), 6))
+    return scored.filter(F.col("similarity") >= threshold).select("text", "script_id", "similarity")
+
+
+def first_hit(messages: DataFrame, matches: DataFrame, scripts: DataFrame) -> DataFrame:
+    """One node for each message: the deepest level first, then the tree's order. ``messages``: conv_id, pos, text."""
+    nodes = scripts.select("script_id", "depth", "node_order", "script_pos", "path")
+    hits = messages.join(matches, "text").join(small(nodes), "script_id")
+    rank = F.struct((-F.col("depth")).alias("d"), F.col("node_order"), F.col("script_pos"), F.col("script_id"))
+    return hits.groupBy("conv_id", "pos").agg(F.min_by(F.struct("script_id", "depth", "path"), rank).alias("b")).select("conv_id", "pos", "b.*")
+
+
+def predicted_paths(scripts: DataFrame, levels: int = 9) -> DataFrame:
+    """From each node the path that follows the alphabetically first child: (path, predicted). A small table, on the driver."""
+    paths = {tuple(r.path[:n]) for r in scripts.select("path").distinct().limit(MAX_SCRIPTS).collect() for n in range(1, len(r.path) + 1)}
+    children: dict[tuple, list[str]] = {}
+    for p in paths:
+        children.setdefault(p[:-1], []).append(p[-1])
+    rows = []
+    for p in sorted(paths):
+        end = p
+        while len(end) < levels and end in children:
+            end = (*end, min(children[end]))
+        rows.append((list(p), list(end)))
+    return scripts.sparkSession.createDataFrame(rows, "path array<string>, predicted array<string>")
+
+
+def unmatched_levels(best: DataFrame, chain_rows: DataFrame) -> DataFrame:
+    """For each conversation's best path the levels that no message matched, as text. ``best``: conv_id, path."""
+    levels = best.select("conv_id", "path", F.explode(F.sequence(F.lit(2), F.greatest(F.size("path"), F.lit(2)))).alias("level"))
+    missing = levels.join(chain_rows.select("conv_id", "path", "level"), ["conv_id", "path", "level"], "left_anti")
+    told = missing.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.col("level").cast("int"))), lambda n: F.concat(F.lit("第"), n.cast("string"), F.lit("级未匹配"))), "；").alias("missing"))
+    return best.select("conv_id").join(told, "conv_id", "left").select("conv_id", F.coalesce("missing", F.lit("")).alias("missing"))

@@ -142,9 +142,23 @@ def case_contexts(spark, sf_dir):
     return asked.filter("cut").select("conv_id", "pos", F.col("before").alias("context"), F.col("after").alias("rest"))
 
 
+def parse_history_any(spark, sf_dir):
+    """Messages of the test set's histories, whatever their layout."""
+    return table(spark, sf_dir, "testset").select("case_id", F.inline(D.two_sides(D.parse_any(F.col("history")))))
+
+
+def last_two_customer(spark, sf_dir):
+    parsed = _corpus(spark, sf_dir).select("conv_id", D.parse_history(F.col("final_context")).alias("m"))
+    return parsed.select("conv_id", F.array_join(D.last_customer_texts(F.col("m")), "|").alias("texts"))
+
+
+def transcript_chunks(spark, sf_dir):
+    return D.transcripts(table(spark, sf_dir, "chat_messages"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (scan_project_blank, parse_history, standardize_speakers, complete_conversation, truncate_to_last_customer, last_customer_message, sync_latest_message, merge_trailing_block, sales_rounds, sales_blocks_around_last, sentence_split, question_flags, classify_message, media_only_filter, text_forms, char_set_ops, script_variants, split_transmit_action, duplicate_judge, case_contexts)
+    for f in (scan_project_blank, parse_history, standardize_speakers, complete_conversation, truncate_to_last_customer, last_customer_message, sync_latest_message, merge_trailing_block, sales_rounds, sales_blocks_around_last, sentence_split, question_flags, classify_message, media_only_filter, text_forms, char_set_ops, script_variants, split_transmit_action, duplicate_judge, case_contexts, parse_history_any, last_two_customer, transcript_chunks)
 }
 
 _W = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
@@ -244,4 +258,12 @@ a AS (SELECT m.*, concat(coalesce(speaker, ''), ': ', text) AS line, {SALES} AND
 c AS (SELECT *, coalesce(speaker = '客户' AND lag(anchor) OVER (PARTITION BY conv_id ORDER BY pos), FALSE) AS cut,
   string_agg(line, chr(10)) OVER (PARTITION BY conv_id ORDER BY pos) AS context, coalesce(string_agg(line, chr(10)) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rest FROM a)
 SELECT conv_id, pos, context, rest FROM c WHERE cut""",
+    "last_two_customer": f"""WITH {MESSAGES.strip()},
+e AS (SELECT *, max(CASE WHEN coalesce(speaker, '') <> '客户' THEN pos END) OVER (PARTITION BY conv_id) AS brk, max(pos) OVER (PARTITION BY conv_id) AS hi FROM msgs),
+b AS (SELECT conv_id, string_agg(text, '|' ORDER BY pos) AS texts FROM e WHERE (brk IS NULL OR pos > brk) AND pos > hi - 2 GROUP BY conv_id)
+SELECT t.conv_id, coalesce(texts, '') AS texts FROM tagging_corpus t LEFT JOIN b USING (conv_id)""",
+    "transcript_chunks": """WITH k AS (SELECT file_id, CAST(floor((msg_id - 1) / 1000) AS INT) AS chunk, msg_id, coalesce(message_type = 'image', FALSE) AS image,
+  coalesce(sender_role, '') || ': ' || CASE WHEN message_type = 'image' THEN coalesce(file_url, '') ELSE coalesce(processed_text, '') END AS line FROM chat_messages WHERE file_id IS NOT NULL AND msg_id IS NOT NULL),
+o AS (SELECT file_id, chunk, msg_id, min(struct_pack(line := line, image := image)) AS m FROM k GROUP BY 1, 2, 3)
+SELECT file_id, chunk, string_agg(m.line, chr(10) ORDER BY msg_id) AS "full", coalesce(string_agg(m.line, chr(10) ORDER BY msg_id) FILTER (WHERE NOT m.image), '') AS plain FROM o GROUP BY 1, 2""",
 }

@@ -105,7 +105,27 @@ def branch_paths(spark, sf_dir):
     return S.branch_paths(_scripts(spark, sf_dir)).select(F.array_join("path", ">").alias("path"), "depth")
 
 
-QUERIES = {f.__name__: f for f in (cosine_match, tfidf_match, lexical_match, sequence_match, latest_match_top1, node_verdict, own_node_match, best_per_path, script_chains, chain_rank, sentencewise_match, keyword_patterns, alias_lookup, branch_paths)}
+def template_hits(spark, sf_dir):
+    return S.template_hits(_sales(spark, sf_dir), _scripts(spark, sf_dir))
+
+
+def first_hit(spark, sf_dir):
+    """The deepest, then first node of every matched message."""
+    hits = S.first_hit(_sales(spark, sf_dir), cosine_match(spark, sf_dir), _scripts(spark, sf_dir))
+    return hits.select("conv_id", "pos", "script_id", "depth")
+
+
+def predicted_paths(spark, sf_dir):
+    return S.predicted_paths(_scripts(spark, sf_dir)).select(F.array_join("path", ">").alias("path"), F.array_join("predicted", ">").alias("predicted"))
+
+
+def unmatched_levels(spark, sf_dir):
+    by_path = S.best_per_path(cosine_match(spark, sf_dir), _scripts(spark, sf_dir))
+    chains = S.chains(_sales(spark, sf_dir), by_path)
+    return S.unmatched_levels(S.rank_chains(chains).select("conv_id", "path"), chains)
+
+
+QUERIES = {f.__name__: f for f in (cosine_match, tfidf_match, lexical_match, sequence_match, latest_match_top1, node_verdict, own_node_match, best_per_path, script_chains, chain_rank, sentencewise_match, keyword_patterns, alias_lookup, branch_paths, template_hits, first_hit, predicted_paths, unmatched_levels)}
 
 
 def _grams(key: str, sizes: tuple[int, ...]) -> str:
@@ -152,4 +172,5 @@ m AS (SELECT text, pattern_id, len(list_filter(kw, lambda k: contains(clean, k))
 SELECT text, pattern_id, CAST(matched AS INT) AS matched, ratio FROM m WHERE matched > 0 AND (matched >= mm OR ratio >= 0.45) QUALIFY row_number() OVER (PARTITION BY text ORDER BY ratio DESC, matched DESC, pattern_id) = 1""",
     "alias_lookup": "SELECT DISTINCT r.sent_text AS text, s.sub_id AS canonical FROM (SELECT DISTINCT sent_text FROM reflow_rows WHERE sent_text IS NOT NULL) r, (SELECT sub_id, regexp_replace(sub_theme_alt, '^(提醒|发送|预约|了解|确认)|说明$', '', 'g') AS alias FROM sop_schema) s WHERE length(alias) >= 2 AND contains(r.sent_text, alias)",
     "branch_paths": "SELECT DISTINCT array_to_string(path[1:n], '>') AS path, CAST(n AS INT) AS depth FROM (SELECT path, unnest(range(2, len(path) + 1)) AS n FROM sop_scripts)",
+    "first_hit": f"WITH {_COSINE} SELECT s.conv_id, s.pos, c.script_id, q.depth FROM sales s JOIN cosm c USING (text) JOIN sop_scripts q ON q.script_id = c.script_id QUALIFY row_number() OVER (PARTITION BY s.conv_id, s.pos ORDER BY q.depth DESC, q.node_order, q.script_pos, q.script_id) = 1",
 }

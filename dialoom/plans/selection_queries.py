@@ -179,9 +179,13 @@ def round_robin(spark, sf_dir):
     return table(spark, sf_dir, "testset").select("case_id", (F.col("case_id") % 7).cast("int").alias("turn"))
 
 
+def cycle_membership(spark, sf_dir):
+    return R.key_membership(table(spark, sf_dir, "testset"), "cycle_label", ["行课期", "服务期", "未知"])
+
+
 QUERIES = {
     f.__name__: f
-    for f in (largest_remainder, stratified_sample, two_phase_quota, two_phase_sample, diverse_sample, quality_sample, anti_used, keyword_filter_readmit, time_of_day_filter, cycle_description, dedup_variants, delivered_again, multi_key_sort_topk, union_with_lineage, union_distinct, set_operations, histogram_share, distributions, sales_summary, quality_metrics, coverage_report, lead_expected_reply, customer_ordinal, hierarchical_fill, round_robin)
+    for f in (largest_remainder, stratified_sample, two_phase_quota, two_phase_sample, diverse_sample, quality_sample, anti_used, keyword_filter_readmit, time_of_day_filter, cycle_description, dedup_variants, delivered_again, multi_key_sort_topk, union_with_lineage, union_distinct, set_operations, histogram_share, distributions, sales_summary, quality_metrics, coverage_report, lead_expected_reply, customer_ordinal, hierarchical_fill, round_robin, cycle_membership)
 }
 
 _CYCLE = """cyc AS (SELECT *, CASE WHEN coalesce(cardinality(cycle_label), 0) > 0 THEN array_to_string(list_transform(list_sort(list_transform(map_entries(cycle_label), lambda e: struct_pack(r := CASE e.key WHEN '行课期' THEN 0 WHEN '服务期' THEN 1 ELSE 2 END, k := e.key, v := e.value))), lambda e: e.k || '第' || e.v || '天'), ' + ') ELSE '未知周期' END AS cycle FROM testset)"""
@@ -237,4 +241,5 @@ SELECT case_id, coalesce(nx[1], '') AS expected, CASE WHEN len(nx) > 1 THEN arra
     "customer_ordinal": "SELECT sales_id, customer_id, min(row_order) AS first_row, CAST(row_number() OVER (PARTITION BY sales_id ORDER BY min(row_order)) AS INT) AS ordinal FROM reflow_rows WHERE sender = '客户' GROUP BY sales_id, customer_id",
     "hierarchical_fill": "SELECT sub_id, last_value(CASE WHEN sub_pos = 0 THEN task_theme END IGNORE NULLS) OVER (ORDER BY task_pos, sub_pos) AS theme FROM sop_schema",
     "round_robin": "SELECT case_id, CAST(case_id % 7 AS INT) AS turn FROM testset",
+    "cycle_membership": " UNION ALL ".join(f"SELECT '{k}' AS key, greatest(count(*) FILTER (WHERE list_contains(map_keys(cycle_label), '{k}')), 1) AS rows FROM testset" for k in ("行课期", "服务期", "未知")),
 }
