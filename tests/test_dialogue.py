@@ -33,3 +33,25 @@ def test_standard_form_and_back(spark):
     made = spark.createDataFrame([("[CSM][t]: a", " hi ", "now")], "h string, m string, t string").select(D.complete(F.col("h"), F.col("m"), F.col("t")).alias("r")).first().r
     assert made == "[销售][t]: a\n[客户][now]: hi"
     assert [m.text for m in one(spark, made, D.parse_history)] == ["a", "hi"]
+
+
+def test_any_layout(spark):
+    layouts = {
+        '[{"role": "客户", "content": "a", "time": "t"}, {"role": "x", "content": null}, {"role": "销售", "content": "b"}]': [("客户", "t", "a"), ("销售", None, "b")],
+        "[客户][t]: a\nmore\n[销售A]: b": [("客户", "t", "a\nmore"), ("销售A", None, "b")],
+        "客户: a\n销售：b: c": [("客户", None, "a"), ("销售", None, "b: c")],
+        " nan ": [],
+        "plain": [(None, None, "plain")],
+    }
+    for text, expected in layouts.items():
+        assert [(m.speaker, m.ts, m.text) for m in one(spark, text, D.parse_any)] == expected
+    assert one(spark, None, D.parse_any) == []
+    assert one(spark, "客户: a\n系统: b\n客户: c", lambda c: D.last_customer_texts(D.two_sides(D.parse_any(c)))) == ["a", "c"]
+    assert one(spark, "打<tel>", lambda c: D.fill_placeholders(c, {"<tel>": "0"})) == "打0"
+
+
+def test_transcripts_are_cut(spark):
+    rows = [("f", i, "客户", f"t{i}", "image" if i == 3 else "text", "u") for i in range(1, 8)] + [("f", 1, "客户", "t1", "text", "u"), (None, 1, "x", "y", "text", None)]
+    df = spark.createDataFrame(rows, "file_id string, msg_id long, sender_role string, processed_text string, message_type string, file_url string")
+    got = {r.chunk: (r.full.count("\n") + 1, r.plain.count("\n") + 1) for r in D.transcripts(df, 5).collect()}
+    assert got == {0: (5, 4), 1: (2, 2)}
