@@ -60,7 +60,7 @@ OWN_WORDS = r"是什么意思|什么原因|我不会|怎么弄|怎么办|看不
 
 
 #: Line and sentence ends, media and line-break tokens, and a gap between two runs of Chinese.
-CUT = r"[\n\r。！？；]+|<(?:newline|image_\d+|voice_\d+)>|(?<=[\u4e00-\u9fff\])0-9])\s+(?=[\u4e00-\u9fff【{$#<\[])"
+CUT = r"[\n\r。！？；]+|<(?:newline|image_\d+|voice_\d+)>|\[image:[^\]\n]{0,80}\]|(?<=[\u4e00-\u9fff\])0-9])\s+(?=[\u4e00-\u9fff【{$#<\[])"
 
 
 def segments(text: Column) -> Column:
