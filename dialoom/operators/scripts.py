@@ -203,17 +203,20 @@ def first_hit(messages: DataFrame, matches: DataFrame, scripts: DataFrame) -> Da
 
 def predicted_paths(scripts: DataFrame, levels: int = 9) -> DataFrame:
     """From each node the path that follows the alphabetically first child: (path, predicted). A small table, on the driver."""
-    paths = {tuple(r.path[:n]) for r in scripts.select("path").distinct().limit(MAX_SCRIPTS).collect() for n in range(1, len(r.path) + 1)}
+    rows = scripts.select("path").distinct().limit(MAX_SCRIPTS + 1).collect()
+    if len(rows) > MAX_SCRIPTS:
+        raise ValueError(f"more than {MAX_SCRIPTS} nodes")
+    paths = {tuple(r.path[:n]) for r in rows for n in range(1, len(r.path) + 1)}
     children: dict[tuple, list[str]] = {}
     for p in paths:
         children.setdefault(p[:-1], []).append(p[-1])
-    rows = []
+    out = []
     for p in sorted(paths):
         end = p
         while len(end) < levels and end in children:
             end = (*end, min(children[end]))
-        rows.append((list(p), list(end)))
-    return scripts.sparkSession.createDataFrame(rows, "path array<string>, predicted array<string>")
+        out.append((list(p), list(end)))
+    return scripts.sparkSession.createDataFrame(out, "path array<string>, predicted array<string>")
 
 
 def unmatched_levels(best: DataFrame, chain_rows: DataFrame) -> DataFrame:
