@@ -1,18 +1,20 @@
 """Choosing a varied subset of a given size (problem 4).
 
 Method: minimum-cost flow quotas. Records are counted by category combination. Every record flows from the source
-through a node of its first two categories and a node of its other two to the sink; an arc in the middle is a
-combination and holds as many units as there are records. Each node has a balanced target; a unit above the target
-costs more the more the node is already over it (convex, so piecewise-linear arcs), and so do repeated units of one
-combination. Shortest augmenting paths place the requested number of units; their flow is each combination's quota,
-filled by a deterministic rank: texts of few copies first, the first copies of each text before any second one, then
-by hash and id.
-
-Categories are bounded before anything is collected: a category with more than ``max_values`` values keeps its most
-frequent ones and shares the others out to as many hashed groups, so there are at most (2 * max_values) ** 4
-combinations whatever the table's size, of which those that occur are collected (their number is checked against
-``max_combinations``). Texts enter as classes of their number of copies, so the few very common messages form classes
-of their own.
+through a node of its first two categories, one of these and its text's class, and one of its third category to the
+sink; an arc in the middle is a combination and holds as many units as there are records. Each node has a balanced
+target; a unit above the target costs more the more the node is already over it (convex, so piecewise-linear arcs),
+and so do repeated units of one combination. A value of the third category that has no unit yet comes before any
+second unit of another. Shortest augmenting paths place the requested number of units; their flow is each
+combination's quota, filled by a deterministic rank: texts of few copies first, the first copies of each text before
+any second one, then by hash and id.
+
+Every value has a node of its own up to ``max_values`` values of a category (four times the size asked for, unless
+given). Beyond that the most frequent values keep theirs and the others are shared out to as many hashed groups, within
+which a combination's quota goes round the real values; with more nodes than units no value needs a second unit. If
+more than ``max_combinations`` combinations occur, ``max_values`` is halved until they fit, down to ``LEAST_VALUES``;
+what still exceeds them then is an error. Texts enter as classes of their number of copies, so the few very common
+messages form classes of their own.
 
 Behaviour at the edges
 ----------------------
@@ -33,13 +35,22 @@ from pyspark.sql.window import Window
 from dialoom.session import ensure_checkpoint_dir
 
 SALTS = 64
+LEAST_VALUES = 24
+#: Cost of a second unit where another value has none; above the cost of any overuse that matters.
+COVER = 10**12
 
 
 class QuotaFlow:
     """Convex-cost flow from left nodes to right nodes through combinations."""
 
-    def __init__(self, combinations: dict[tuple[str, str], int], size: int, variety: dict[tuple[str, str], float] | None = None) -> None:
-        """``combinations``: records of each; ``variety``: different texts of each, where they count instead."""
+    def __init__(
+        self, combinations: dict[tuple[str, str], int], size: int, variety: dict[tuple[str, str], float] | None = None, parents: dict[str, str] | None = None, cover: bool = False
+    ) -> None:
+        """``combinations``: records of each; ``variety``: different texts of each, where they count instead.
+
+        ``parents``: a node before each left node, with a target of its own; ``cover``: every right node gets a unit
+        before any gets two.
+        """
         self.capacity = {k: n for k, n in combinations.items() if n > 0}
         variety = variety or self.capacity
         self.size = min(size, sum(self.capacity.values()))
@@ -56,8 +67,15 @@ class QuotaFlow:
             held_right[b] += variety[a, b]
             self.of_left[a].append(b)
             self.of_right[b].append(a)
+        self.cover = cover
+        self.parents = parents or {}
+        held_parent: dict[str, float] = {}
+        for a in self.lefts if parents else ():
+            held_parent[parents[a]] = held_parent.get(parents[a], 0.0) + held_left[a]
+        self.used_parent = dict.fromkeys(held_parent, 0)
+        self.target_parent = self.balanced(held_parent, self.size)
         self.target_left = self.balanced(held_left, self.size)
-        self.target_right = self.balanced(held_right, self.size)
+        self.target_right = self.balanced({b: max(1.0, n) for b, n in held_right.items()} if cover else held_right, self.size)
 
     @staticmethod
     def balanced(held: dict[str, float], size: int) -> dict[str, int]:
@@ -74,6 +92,15 @@ class QuotaFlow:
         over = used + 1 - target
         return 0 if over <= 0 else 1000 * over * over // max(1, target) + 1000
 
+    def _next_left(self, a: str) -> int:
+        p = self.parents.get(a)
+        return self._next(self.used_left[a], self.target_left[a]) + (0 if p is None else self._next(self.used_parent[p], self.target_parent[p]))
+
+    def _next_right(self, b: str) -> int:
+        if not self.cover:
+            return self._next(self.used_right[b], self.target_right[b])
+        return COVER + self._next(self.used_right[b], self.target_right[b]) if self.used_right[b] else 0
+
     def solve(self) -> dict[tuple[str, str], int]:
         for _ in range(self.size):
             if not self._augment():
@@ -88,12 +115,14 @@ class QuotaFlow:
         """
         dist: dict[tuple[str, str], float] = {}
         back: dict[tuple[str, str], tuple[str, str] | None] = {}
-        heap = [(self._next(self.used_left[a], self.target_left[a]), "L", a, None) for a in self.lefts]
+        heap = [(self._next_left(a), "L", a, None) for a in self.lefts]
         heapq.heapify(heap)
         best_end, best_cost = None, float("inf")
         while heap:
             cost, side, node, prev = heapq.heappop(heap)
-            if (side, node) in dist or cost >= best_cost:
+            if cost >= best_cost:
+                break
+            if (side, node) in dist:
                 continue
             dist[side, node] = cost
             back[side, node] = prev
@@ -103,7 +132,7 @@ class QuotaFlow:
                     if self.flow[k] < self.capacity[k] and ("R", b) not in dist:
                         heapq.heappush(heap, (cost + self.flow[k], "R", b, ("L", node)))
             else:
-                end = cost + self._next(self.used_right[node], self.target_right[node])
+                end = cost + self._next_right(node)
                 if end < best_cost:
                     best_end, best_cost = node, end
                 for a in self.of_right[node]:
@@ -119,46 +148,64 @@ class QuotaFlow:
                 self.flow[prev[1], node[1]] += 1
             elif prev is None:
                 self.used_left[node[1]] += 1
+                if self.parents:
+                    self.used_parent[self.parents[node[1]]] += 1
             else:
                 self.flow[node[1], prev[1]] -= 1
             node = prev
         return True
 
 
-def bounded(df: DataFrame, col: str, max_values: int) -> tuple[Column, int]:
-    """The column with its most frequent values kept and the rest in at most as many hashed groups."""
+def bounded(df: DataFrame, col: str, max_values: int) -> tuple[Column, bool]:
+    """The column, and whether it had more values than ``max_values``: then all but the most frequent ones are in hashed groups."""
     text = F.coalesce(F.col(col), F.lit("\0null"))
-    top = [r.v for r in df.groupBy(text.alias("v")).count().orderBy(F.desc("count"), "v").limit(max_values).collect()]
-    return F.when(text.isin(top), text).otherwise(F.concat(F.lit("\0group"), F.pmod(F.xxhash64(text), F.lit(max_values)).cast("string"))), len(top)
+    top = [r.v for r in df.groupBy(text.alias("v")).count().orderBy(F.desc("count"), "v").limit(max_values + 1).collect()]
+    if len(top) <= max_values:
+        return text, False
+    return F.when(text.isin(top[:max_values]), text).otherwise(F.concat(F.lit("\0group"), F.pmod(F.xxhash64(text), F.lit(max_values)).cast("string"))), True
 
 
 def select(
-    df: DataFrame, id_col: str, first: tuple[str, str], other: str, text_col: str, size: int, max_values: int = 24, max_combinations: int = 400_000
+    df: DataFrame, id_col: str, first: tuple[str, str], other: str, text_col: str, size: int, max_values: int | None = None, max_combinations: int = 400_000
 ) -> DataFrame:
     """The ids of a subset of ``size`` rows: ``first`` are two categories, ``other`` and the text's class the next two."""
     ensure_checkpoint_dir(df.sparkSession)
+    max_values = max(LEAST_VALUES, 4 * size) if max_values is None else max_values
     slim = df.select(F.col(id_col).alias("id"), *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate((*first, other))], F.xxhash64(F.trim(F.lower(F.coalesce(F.col(text_col), F.lit(""))))).alias("text"))
     copies = slim.groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
     total = df.count()
     # Texts with more than this share of the rows: fewer than 2,000, each a class of its own, broadcast.
     common = copies.filter(F.col("copies") > max(2, total // 2000))
-    klass = F.when(F.col("copies").isNull(), F.lit("single")).otherwise(F.concat(F.lit("common"), F.least(F.lit(max_values), F.ceil(F.log2(F.col("copies")))).cast("string")))
-    marked = slim.join(F.broadcast(common), "text", "left").withColumn("c3", klass)
-    keys = [bounded(slim, f"c{i}", max_values)[0] for i in range(3)]
-    marked = marked.select("id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), F.concat_ws("\1", keys[0], keys[1]).alias("a"), F.concat_ws("\1", keys[2], F.col("c3")).alias("b")).checkpoint()
-    counted = marked.groupBy("a", "b").agg(F.count(F.lit(1)).alias("count"), F.sum(1 / F.col("copies")).alias("variety"))
-    rows = counted.limit(max_combinations + 1).collect()
-    if len(rows) > max_combinations:
-        raise ValueError("more combinations than max_combinations: lower max_values")
-    quotas = QuotaFlow({(r.a, r.b): r["count"] for r in rows}, size, {(r.a, r.b): r.variety for r in rows}).solve()
+    klass = F.when(F.col("copies").isNull(), F.lit("single")).otherwise(F.concat(F.lit("common"), F.ceil(F.log2(F.col("copies"))).cast("string")))
+    classed = slim.join(F.broadcast(common), "text", "left").withColumn("c3", klass)
+    while True:
+        keys, grouped = zip(*[bounded(slim, f"c{i}", max_values) for i in range(3)], strict=True)
+        left = F.concat_ws("\1", keys[0], keys[1])
+        value = F.xxhash64("c0", "c1", "c2") if any(grouped) else F.lit(0)
+        marked = classed.select("id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), left.alias("p"), F.concat_ws("\1", left, F.col("c3")).alias("a"), keys[2].alias("b"), value.alias("value")).checkpoint()
+        counted = marked.groupBy("p", "a", "b").agg(F.count(F.lit(1)).alias("count"), F.sum(1 / F.col("copies")).alias("variety"))
+        rows = counted.limit(max_combinations + 1).collect()
+        if len(rows) <= max_combinations:
+            break
+        if max_values <= LEAST_VALUES:
+            raise ValueError("more combinations than max_combinations")
+        max_values = max(LEAST_VALUES, max_values // 2)
+    flow = QuotaFlow({(r.a, r.b): r["count"] for r in rows}, size, {(r.a, r.b): r.variety for r in rows}, {r.a: r.p for r in rows}, cover=True)
+    quotas = flow.solve()
     plan = df.sparkSession.createDataFrame([(a, b, n) for (a, b), n in sorted(quotas.items())], "a string, b string, quota int")
     # A first cut per salted share of a combination keeps any combination, however large, out of one task.
     candidates = marked.join(F.broadcast(plan), ["a", "b"]).withColumn("salt", F.pmod(F.xxhash64("id", "text"), F.lit(SALTS)))
     turn = Window.partitionBy("a", "b", "salt", "text").orderBy(F.xxhash64("id"), "id")
     order = [F.col("turn"), F.col("copies"), F.xxhash64("text"), F.xxhash64("id"), F.col("id")]
+
+    def cut(rows: DataFrame, *keys: str) -> DataFrame:
+        if any(grouped):  # the real values of a hashed group take turns
+            rows = rows.withColumn("round", F.row_number().over(Window.partitionBy(*keys, "value").orderBy(*order)))
+        first = [F.col("round")] if any(grouped) else []
+        return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*first, *order))).filter("place <= quota")
+
     # Equal texts stay together so that their copies can be numbered; a common text is dealt over the salts.
     salted = candidates.withColumn("salt", F.when(F.col("copies") > 1, F.col("salt")).otherwise(F.pmod(F.xxhash64("text"), F.lit(SALTS))))
-    first_cut = salted.withColumn("turn", F.row_number().over(turn)).withColumn("place", F.row_number().over(Window.partitionBy("a", "b", "salt").orderBy(*order))).filter("place <= quota")
+    first_cut = cut(salted.withColumn("turn", F.row_number().over(turn)), "a", "b", "salt")
     again = first_cut.withColumn("turn", F.row_number().over(Window.partitionBy("a", "b", "text").orderBy("turn", F.xxhash64("id"), "id")))
-    ranked = again.withColumn("place", F.row_number().over(Window.partitionBy("a", "b").orderBy(*order))).filter("place <= quota")
-    return ranked.select(F.col("id").alias(id_col))
+    return cut(again, "a", "b").select(F.col("id").alias(id_col))

@@ -68,3 +68,23 @@ def test_edges(spark):
 def test_rare_values_are_grouped(spark):
     rows = [(i, f"c{i}", "t", f"s{i}", f"m{i}") for i in range(200)]
     assert len(select(spark, rows, 50, max_values=4)) == 50
+
+
+def test_every_rare_value_is_covered(spark):
+    # 20 desks with half of the rows, 200 with one to three: 300 picks can hold them all.
+    rows = [(i, "a" if i % 3 else "b", "text", f"s{i % 20}", f"m{i}") for i in range(400)]
+    rows += [(1000 + i, "a", "text", f"rare{i % 200}", "好的" if i % 200 < 40 else f"r{i}") for i in range(400)]
+    chosen = set(select(spark, rows, 300))
+    assert len(chosen) == 300
+    assert len({r[3] for r in rows if r[0] in chosen}) == 220
+
+
+def test_groups_go_round_their_values(spark):
+    rows = [(i, "a", "t", f"s{i % 30}" if i < 60 else "s0", f"m{i}") for i in range(600)]
+    chosen = set(select(spark, rows, 60, max_values=1))
+    assert len({r[3] for r in rows if r[0] in chosen}) == 30
+
+
+def test_too_many_combinations_use_fewer_nodes(spark):
+    rows = [(i, "a", "t", f"s{i}", f"m{i}") for i in range(200)]
+    assert len(select(spark, rows, 50, max_combinations=120)) == 50
