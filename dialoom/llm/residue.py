@@ -6,7 +6,10 @@ phrases; segments whose only mark could also be a person's own word (``undefined
 what surrounds such a mark decides. It is fitted on a bounded sample (``max_positive`` and ``max_negative``
 segments, both documented parameters, in hash order) and its threshold is set on hosts that the fit has not seen
 (``host`` is the sales desk): the largest with a recall of ``recall`` there. An exact check for a mark of any of
-the four kinds follows the classifier.
+the four kinds follows the classifier. A segment without a listed phrase counts above a stricter threshold, half the
+median score of those hosts' weak positives, if nothing in it shows a person speaking (``PERSON``) and it is not too
+short to tell. As it would be a weak negative itself, a cross-fit in two halves takes such segments out of the
+negatives first: those that the half without them scores that high.
 
 Behaviour at the edges
 ----------------------
@@ -58,6 +61,10 @@ SIGN = re.compile(rf"(?i){SLOT}|{DOUBTFUL}")
 #: Turns of phrase of somebody who talks about such things.
 OWN_WORDS = r"是什么意思|什么原因|我不会|怎么弄|怎么办|看不懂|我自己|吗\W*$|吧\W*$|是不是|对吗|打不开"
 
+#: Somebody who speaks, and the fewest characters that can tell; used where no phrase is listed, apart from the labels.
+PERSON = rf"(?i)我|咱|俺|\bI\b|\bmy\b|{OWN_WORDS}"
+LEAST_UNLISTED = 8
+
 
 #: Line and sentence ends, media and line-break tokens, and a gap between two runs of Chinese.
 CUT = r"[\n\r。！？；]+|<(?:newline|image_\d+|voice_\d+)>|\[image:[^\]\n]{0,80}\]|(?<=[\u4e00-\u9fff\])0-9])\s+(?=[\u4e00-\u9fff【{$#<\[])"
@@ -104,11 +111,12 @@ def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Residue:
-    """A fitted classifier: one weight per hashed feature and length step, and the threshold."""
+    """A fitted classifier: one weight per hashed feature and length step, and the thresholds with and without a listed phrase."""
 
     weights: np.ndarray
     threshold: float
     unseen: dict[str, float]
+    strict: float = float("inf")
 
     def score(self, texts: list[str]) -> np.ndarray:
         d, f, v = _features(texts)
@@ -129,11 +137,33 @@ def fit_linear(texts: list[str], labels: np.ndarray, l2: float = 1e-3, rounds: i
     return w
 
 
-def train(pieces: DataFrame, host_col: str, max_positive: int = 4000, max_negative: int = 8000, recall: float = 0.998, held_out: int = 5) -> Residue | None:
+def _unlisted_text(text: str) -> bool:
+    return len(text) >= LEAST_UNLISTED and not re.search(PERSON, text)
+
+
+def _without_suspects(texts: list[str], labels: np.ndarray) -> np.ndarray:
+    """Places of the rows to fit on: all but the negatives that a fit on the other half takes for residue."""
+    half, suspect = np.arange(len(texts)) % 2, np.zeros(len(texts), bool)
+    for h in (0, 1):
+        fit, rest = np.flatnonzero(half != h), np.flatnonzero(half == h)
+        if not labels[fit].any() or not labels[rest].any():
+            continue
+        scores = Residue(fit_linear([texts[i] for i in fit], labels[fit]), 0.0, {}).score([texts[i] for i in rest])
+        high = (labels[rest] == 0) & (scores >= max(0.0, float(np.median(scores[labels[rest] == 1])) / 2))
+        suspect[[i for i in rest[high] if _unlisted_text(texts[i])]] = True
+    return np.flatnonzero(~suspect)
+
+
+def train(
+    pieces: DataFrame, host_col: str, max_positive: int = 4000, max_negative: int = 8000, recall: float = 0.998, held_out: int = 5, without: str | None = None
+) -> Residue | None:
     """Fit on a bounded sample of weakly labelled segments (column ``segment``); None without a weak positive.
 
-    One host in ``held_out``, by hash, is kept from the fit: what only such hosts say sets the threshold.
+    One host in ``held_out``, by hash, is kept from the fit: what only such hosts say sets the thresholds.
+    ``without``: segments of this pattern are left out, to measure the strict threshold on a family of phrases not seen.
     """
+    if without is not None:
+        pieces = pieces.filter(~F.col("segment").rlike(without))
     label = F.when(F.col("segment").rlike(CERTAIN), 1).when(~F.col("segment").rlike(EVIDENCE) | F.col("segment").rlike(OWN_WORDS), 0)
     kept_out = F.pmod(F.xxhash64(F.coalesce(F.col(host_col), F.lit(""))), F.lit(held_out)) == 0
     distinct = pieces.select("segment", kept_out.alias("out")).groupBy("segment").agg(F.bool_and("out").alias("unseen"))
@@ -147,13 +177,16 @@ def train(pieces: DataFrame, host_col: str, max_positive: int = 4000, max_negati
     if not any(r.label for r in rows):
         return None
     fitted = [r for r in rows if not r.unseen] or rows
-    weights = fit_linear([r.segment for r in fitted], np.array([float(r.label) for r in fitted]))
+    texts, labels = [r.segment for r in fitted], np.array([float(r.label) for r in fitted])
+    kept = _without_suspects(texts, labels)
+    weights = fit_linear([texts[i] for i in kept], labels[kept])
     model = Residue(weights, 0.0, {})
     unseen = [r for r in rows if r.unseen]
     judge = unseen if any(r.label for r in unseen) else rows
     scores, truth = model.score([r.segment for r in judge]), np.array([r.label for r in judge])
     positive = np.sort(scores[truth == 1])
     model.threshold = min(0.0, float(positive[int((1 - recall) * len(positive))]))
+    model.strict = max(0.0, float(np.median(positive)) / 2)
     hit = scores >= model.threshold
     model.unseen = {"segments": len(judge), "precision": float(truth[hit].mean()) if hit.any() else 1.0, "recall": float(hit[truth == 1].mean())}
     return model
@@ -165,13 +198,17 @@ def found(fields: DataFrame, id_cols: list[str], messages_col: str, host_col: st
     model = model or train(pieces, host_col)
     if model is None:
         return fields.select(*id_cols).limit(0)
-    shared = fields.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.threshold))
+    shared = fields.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.threshold, model.strict))
 
-    @F.pandas_udf("boolean")
-    def residual(texts: pd.Series) -> pd.Series:
-        weights, threshold = shared.value
+    @F.pandas_udf("int")
+    def level(texts: pd.Series) -> pd.Series:
+        """2 above the strict threshold, 1 above the other one."""
+        weights, threshold, strict = shared.value
         place, once = pd.factorize(texts)  # talk repeats itself: each text of a batch is scored once
-        return pd.Series((Residue(weights, threshold, {}).score(once.tolist()) >= threshold)[place])
+        scores = Residue(weights, threshold, {}).score(once.tolist())
+        return pd.Series(((scores >= threshold).astype(np.int32) + ((scores >= threshold) & (scores >= strict)))[place])
 
-    judged = pieces.filter(residual("segment")).filter(F.col("segment").rlike(EVIDENCE))
+    segment = F.col("segment")
+    unlisted = (F.col("level") == 2) & (F.length("segment") >= LEAST_UNLISTED) & ~segment.rlike(PERSON)
+    judged = pieces.withColumn("level", level("segment")).filter((F.col("level") >= 1) & (segment.rlike(EVIDENCE) | unlisted))
     return judged.select(*id_cols).distinct()

@@ -73,6 +73,16 @@ def test_residue(spark):
     assert R.found(df.filter("k < 200"), ["k"], "messages", "host").count() == 0
 
 
+def test_residue_without_a_listed_phrase(spark):
+    talk = ["好的老师", "今天的课在几点开始呢老师", "页面请求超时了，我重新加载也没用", "这边建议您预约答疑，有问题随时找我"]
+    rows = [(i, [talk[i % 4], f"第{i}题不会"], f"h{i % 20}", 1) for i in range(200)]
+    rows += [(1000 + i, [f"请求超时，请检查网络后重新加载本页，错误代码：{i}"], f"h{i % 20}", 1) for i in range(60)]
+    new = [(2000, ["请求超时，请检查网络后重新加载本页"], "h1", 1)]
+    df = spark.createDataFrame(rows + new, FIELDS)
+    found = {r.k for r in R.found(df, ["k"], "messages", "host").collect()}
+    assert found == set(range(1000, 1060)) | {2000}
+
+
 def test_unseen_hosts_are_judged_well(spark, data):
     from dialoom.llm.queries_residue import _fields
 
