@@ -1,20 +1,20 @@
 """Choosing a varied subset of a given size (problem 4).
 
-Method: minimum-cost flow quotas. Records are counted by category combination. Every record flows from the source
-through a node of its first two categories, one of these and its text's class, and one of its third category to the
-sink; an arc in the middle is a combination and holds as many units as there are records. Each node has a balanced
-target; a unit above the target costs more the more the node is already over it (convex, so piecewise-linear arcs),
-and so do repeated units of one combination. A value of the third category that has no unit yet comes before any
-second unit of another. Shortest augmenting paths place the requested number of units; their flow is each
-combination's quota, filled by a deterministic rank: texts of few copies first, the first copies of each text before
-any second one, then by hash and id.
-
-Every value has a node of its own up to ``max_values`` values of a category (four times the size asked for, unless
-given). Beyond that the most frequent values keep theirs and the others are shared out to as many hashed groups, within
-which a combination's quota goes round the real values; with more nodes than units no value needs a second unit. If
-more than ``max_combinations`` combinations occur, ``max_values`` is halved until they fit, down to ``LEAST_VALUES``;
-what still exceeds them then is an error. Texts enter as classes of their number of copies, so the few very common
-messages form classes of their own.
+Method: minimum-cost flow quotas. Records are counted by category combination. Every unit flows from the source
+through a node of its first category, one of its first two, one of these and its text's class, over an arc that stands
+for the combination, and through a node of its third category (the desk) to the sink. So each of the four categories
+has nodes with a balanced target: equal shares of the node before it, as far as its holdings allow. A unit above a
+target costs more the more the node is already over it (convex), and so do repeated units of one combination; a desk
+that has no unit yet comes before any second unit of another. ``flow.Flow`` finds the exact minimum; its flow is each
+combination's quota, filled by a deterministic rank: the first copies of each text before any second one, texts of few
+copies first, then by hash and id.
+
+Every value has a node of its own as long as at most ``max_combinations`` combinations occur. Beyond that the most
+frequent ``max_values`` values of a category (four times the size asked for, unless given) keep theirs and the others
+are shared out to as many hashed groups, within which a combination's quota goes round the real values; with more
+nodes than units no value needs a second unit. ``max_values`` is halved until the combinations fit, down to
+``LEAST_VALUES``; what still exceeds them then is an error. Texts enter as classes of their exact number of copies
+(by powers of two), so the few very common messages form classes of their own.
 
 Behaviour at the edges
 ----------------------
@@ -26,173 +26,121 @@ Behaviour at the edges
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dialoom.llm.flow import Flow, pieces
 from dialoom.session import ensure_checkpoint_dir
 
 SALTS = 64
 LEAST_VALUES = 24
-#: Cost of a second unit where another value has none; above the cost of any overuse that matters.
-COVER = 10**12
-
-
-class QuotaFlow:
-    """Convex-cost flow from left nodes to right nodes through combinations."""
-
-    def __init__(
-        self, combinations: dict[tuple[str, str], int], size: int, variety: dict[tuple[str, str], float] | None = None, parents: dict[str, str] | None = None, cover: bool = False
-    ) -> None:
-        """``combinations``: records of each; ``variety``: different texts of each, where they count instead.
-
-        ``parents``: a node before each left node, with a target of its own; ``cover``: every right node gets a unit
-        before any gets two.
-        """
-        self.capacity = {k: n for k, n in combinations.items() if n > 0}
-        variety = variety or self.capacity
-        self.size = min(size, sum(self.capacity.values()))
-        self.flow = dict.fromkeys(self.capacity, 0)
-        self.lefts = sorted({a for a, _ in self.capacity})
-        self.rights = sorted({b for _, b in self.capacity})
-        self.used_left = dict.fromkeys(self.lefts, 0)
-        self.used_right = dict.fromkeys(self.rights, 0)
-        held_left, held_right = dict.fromkeys(self.lefts, 0.0), dict.fromkeys(self.rights, 0.0)
-        self.of_left: dict[str, list[str]] = {a: [] for a in self.lefts}
-        self.of_right: dict[str, list[str]] = {b: [] for b in self.rights}
-        for a, b in self.capacity:
-            held_left[a] += variety[a, b]
-            held_right[b] += variety[a, b]
-            self.of_left[a].append(b)
-            self.of_right[b].append(a)
-        self.cover = cover
-        self.parents = parents or {}
-        held_parent: dict[str, float] = {}
-        for a in self.lefts if parents else ():
-            held_parent[parents[a]] = held_parent.get(parents[a], 0.0) + held_left[a]
-        self.used_parent = dict.fromkeys(held_parent, 0)
-        self.target_parent = self.balanced(held_parent, self.size)
-        self.target_left = self.balanced(held_left, self.size)
-        self.target_right = self.balanced({b: max(1.0, n) for b, n in held_right.items()} if cover else held_right, self.size)
-
-    @staticmethod
-    def balanced(held: dict[str, float], size: int) -> dict[str, int]:
-        """As equal shares of ``size`` as the nodes' holdings allow (water level)."""
-        out, left, names = {}, size, sorted(held, key=lambda k: (held[k], k))
-        for i, k in enumerate(names):
-            out[k] = min(int(held[k] + 1e-6), left // (len(names) - i))
-            left -= out[k]
-        return out
-
-    @staticmethod
-    def _next(used: int, target: int) -> int:
-        """Cost of one more unit at a node: nothing up to the target, then rising with the overuse."""
-        over = used + 1 - target
-        return 0 if over <= 0 else 1000 * over * over // max(1, target) + 1000
-
-    def _next_left(self, a: str) -> int:
-        p = self.parents.get(a)
-        return self._next(self.used_left[a], self.target_left[a]) + (0 if p is None else self._next(self.used_parent[p], self.target_parent[p]))
-
-    def _next_right(self, b: str) -> int:
-        if not self.cover:
-            return self._next(self.used_right[b], self.target_right[b])
-        return COVER + self._next(self.used_right[b], self.target_right[b]) if self.used_right[b] else 0
-
-    def solve(self) -> dict[tuple[str, str], int]:
-        for _ in range(self.size):
-            if not self._augment():
-                break
-        return {k: n for k, n in self.flow.items() if n}
-
-    def _augment(self) -> bool:
-        """Place one unit along a shortest path of the residual network (Dijkstra on non-negative node costs).
-
-        Moving a unit between two combinations of one node doesn't change that node's load; so a path pays for one
-        left node, one right node and, on the way, for the combinations that it fills.
-        """
-        dist: dict[tuple[str, str], float] = {}
-        back: dict[tuple[str, str], tuple[str, str] | None] = {}
-        heap = [(self._next_left(a), "L", a, None) for a in self.lefts]
-        heapq.heapify(heap)
-        best_end, best_cost = None, float("inf")
-        while heap:
-            cost, side, node, prev = heapq.heappop(heap)
-            if cost >= best_cost:
-                break
-            if (side, node) in dist:
-                continue
-            dist[side, node] = cost
-            back[side, node] = prev
-            if side == "L":
-                for b in self.of_left[node]:
-                    k = (node, b)
-                    if self.flow[k] < self.capacity[k] and ("R", b) not in dist:
-                        heapq.heappush(heap, (cost + self.flow[k], "R", b, ("L", node)))
-            else:
-                end = cost + self._next_right(node)
-                if end < best_cost:
-                    best_end, best_cost = node, end
-                for a in self.of_right[node]:
-                    if self.flow[a, node] > 0 and ("L", a) not in dist:
-                        heapq.heappush(heap, (cost, "L", a, ("R", node)))
-        if best_end is None:
-            return False
-        self.used_right[best_end] += 1
-        node: tuple[str, str] | None = ("R", best_end)
-        while node is not None:
-            prev = back[node]
-            if node[0] == "R":
-                self.flow[prev[1], node[1]] += 1
-            elif prev is None:
-                self.used_left[node[1]] += 1
-                if self.parents:
-                    self.used_parent[self.parents[node[1]]] += 1
-            else:
-                self.flow[node[1], prev[1]] -= 1
-            node = prev
-        return True
+#: Cost of a unit above a node's target, of a second unit of a combination, and of a second unit of a desk while
+#: another has none (above the cost of any overuse that matters).
+OVER, AGAIN, COVER = 16, 1, 10**6
+#: Between the parts of a combination's key.
+PART = "\1"
+
+
+def balanced(held: dict, size: int) -> dict:
+    """As equal shares of ``size`` as the nodes' holdings allow (water level); what is left over goes to the largest."""
+    out, left, names = {}, size, sorted(held, key=lambda k: (held[k], k))
+    for i, k in enumerate(names):
+        out[k] = min(int(held[k] + 1e-6), left // (len(names) - i))
+        left -= out[k]
+    return out
+
+
+def quotas(
+    combinations: dict[tuple[tuple[str, ...], str], int], size: int, variety: dict[tuple[tuple[str, ...], str], float] | None = None, cover: bool = True
+) -> dict[tuple[tuple[str, ...], str], int]:
+    """Units of each combination ((first, second, ...), other) at the least cost, ``size`` in all if there are as many.
+
+    ``combinations``: records of each; ``variety``: different texts of each, where targets count these instead.
+    """
+    network, arcs = build(combinations, size, variety, cover)
+    units, _, _ = network.solve(size)
+    return {k: units[i] for k, i in arcs.items() if units[i]}
+
+
+def build(combinations: dict, size: int, variety: dict | None = None, cover: bool = True) -> tuple[Flow, dict]:
+    """The network of ``quotas`` and the number of each combination's arc."""
+    combinations = {k: n for k, n in sorted(combinations.items()) if n > 0}
+    variety = variety or combinations
+    rooms: dict[tuple, int] = {}
+    held: dict[tuple, float] = {}
+    for (path, other), n in combinations.items():
+        for node in [("in", *path[:i]) for i in range(1, len(path) + 1)] + [("out", other)]:
+            rooms[node] = rooms.get(node, 0) + n
+            held[node] = held.get(node, 0.0) + variety[path, other]
+    classes = {("in", *path) for path, _ in combinations}
+    children: dict[tuple, dict[tuple, float]] = {}
+    for node, h in held.items():
+        # A value that occurs may have a unit, however small the variety that it shares with others; a class of texts
+        # may not: what it holds of a common text is that text's share.
+        children.setdefault(node[:-1], {})[node] = h if node in classes else max(1.0, h)
+    targets: dict[tuple, int] = {}
+    for parent in sorted(children, key=len):
+        targets |= balanced(children[parent], targets.get(parent, size))
+    number = {node: i + 2 for i, node in enumerate(sorted(held, key=str))}
+    network = Flow(len(number) + 2, 0, 1)
+    for node, i in number.items():
+        if node[0] == "in":
+            network.add(number.get(node[:-1], 0), i, pieces(targets[node], min(rooms[node], size), OVER))
+        else:
+            network.add(i, 1, pieces(targets[node], min(rooms[node], size), OVER, COVER if cover else 0))
+    return network, {(p, o): network.add(number["in", *p], number["out", o], pieces(1, min(n, size), AGAIN)) for (p, o), n in combinations.items()}
 
 
 def bounded(df: DataFrame, col: str, max_values: int) -> tuple[Column, bool]:
     """The column, and whether it had more values than ``max_values``: then all but the most frequent ones are in hashed groups."""
-    text = F.coalesce(F.col(col), F.lit("\0null"))
+    text = F.col(col)
     top = [r.v for r in df.groupBy(text.alias("v")).count().orderBy(F.desc("count"), "v").limit(max_values + 1).collect()]
     if len(top) <= max_values:
         return text, False
     return F.when(text.isin(top[:max_values]), text).otherwise(F.concat(F.lit("\0group"), F.pmod(F.xxhash64(text), F.lit(max_values)).cast("string"))), True
 
 
+def with_copies(slim: DataFrame, hot_texts: int = 2000) -> DataFrame:
+    """Add ``copies``, the number of rows with the same ``text``. Texts with more than a 1 / hot_texts share of the rows
+    (so fewer than ``hot_texts``) are joined by broadcast, all others by shuffle: the counts are exact either way."""
+    counts = slim.groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
+    limit = slim.count() // hot_texts
+    hot = F.broadcast(counts.filter(F.col("copies") > limit).select("text", F.col("copies").alias("hot")))
+    marked = slim.join(hot, "text", "left")
+    rest = marked.filter("hot is null").drop("hot").join(counts.filter(F.col("copies") <= limit), "text")
+    return marked.filter("hot is not null").withColumnRenamed("hot", "copies").unionByName(rest)
+
+
 def select(
     df: DataFrame, id_col: str, first: tuple[str, str], other: str, text_col: str, size: int, max_values: int | None = None, max_combinations: int = 400_000
 ) -> DataFrame:
     """The ids of a subset of ``size`` rows: ``first`` are two categories, ``other`` and the text's class the next two."""
     ensure_checkpoint_dir(df.sparkSession)
     max_values = max(LEAST_VALUES, 4 * size) if max_values is None else max_values
-    slim = df.select(F.col(id_col).alias("id"), *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate((*first, other))], F.xxhash64(F.trim(F.lower(F.coalesce(F.col(text_col), F.lit(""))))).alias("text"))
-    copies = slim.groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
-    total = df.count()
-    # Texts with more than this share of the rows: fewer than 2,000, each a class of its own, broadcast.
-    common = copies.filter(F.col("copies") > max(2, total // 2000))
-    klass = F.when(F.col("copies").isNull(), F.lit("single")).otherwise(F.concat(F.lit("common"), F.ceil(F.log2(F.col("copies"))).cast("string")))
-    classed = slim.join(F.broadcast(common), "text", "left").withColumn("c3", klass)
-    while True:
+    slim = df.select(
+        F.col(id_col).alias("id"), *[F.coalesce(F.col(c).cast("string"), F.lit("\0null")).alias(f"c{i}") for i, c in enumerate((*first, other))],
+        F.xxhash64(F.trim(F.lower(F.coalesce(F.col(text_col), F.lit(""))))).alias("text"),
+    ).checkpoint()
+    classed = with_copies(slim).withColumn("c3", F.when(F.col("copies") == 1, "single").otherwise(F.concat(F.lit("common"), F.ceil(F.log2("copies")).cast("string")))).checkpoint()
+
+    def count(keys: tuple[Column, ...]) -> tuple[DataFrame, list]:
+        value = F.xxhash64("c0", "c1", "c2")
+        marked = classed.select("id", "text", "copies", F.concat_ws(PART, keys[0], keys[1], F.col("c3")).alias("a"), keys[2].alias("b"), value.alias("value"))
+        counted = marked.groupBy("a", "b").agg(F.count(F.lit(1)).alias("count"), F.sum(1 / F.col("copies")).alias("variety"))
+        return marked, counted.limit(max_combinations + 1).collect()
+
+    grouped = [False]
+    marked, rows = count((F.col("c0"), F.col("c1"), F.col("c2")))
+    while len(rows) > max_combinations:
         keys, grouped = zip(*[bounded(slim, f"c{i}", max_values) for i in range(3)], strict=True)
-        left = F.concat_ws("\1", keys[0], keys[1])
-        value = F.xxhash64("c0", "c1", "c2") if any(grouped) else F.lit(0)
-        marked = classed.select("id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), left.alias("p"), F.concat_ws("\1", left, F.col("c3")).alias("a"), keys[2].alias("b"), value.alias("value")).checkpoint()
-        counted = marked.groupBy("p", "a", "b").agg(F.count(F.lit(1)).alias("count"), F.sum(1 / F.col("copies")).alias("variety"))
-        rows = counted.limit(max_combinations + 1).collect()
-        if len(rows) <= max_combinations:
-            break
-        if max_values <= LEAST_VALUES:
+        marked, rows = count(keys)
+        if len(rows) > max_combinations and max_values <= LEAST_VALUES:
             raise ValueError("more combinations than max_combinations")
         max_values = max(LEAST_VALUES, max_values // 2)
-    flow = QuotaFlow({(r.a, r.b): r["count"] for r in rows}, size, {(r.a, r.b): r.variety for r in rows}, {r.a: r.p for r in rows}, cover=True)
-    quotas = flow.solve()
-    plan = df.sparkSession.createDataFrame([(a, b, n) for (a, b), n in sorted(quotas.items())], "a string, b string, quota int")
+    key = lambda r: (tuple(r.a.split(PART)), r.b)
+    solved = quotas({key(r): r["count"] for r in rows}, size, {key(r): r.variety for r in rows})
+    plan = df.sparkSession.createDataFrame([(PART.join(a), b, n) for (a, b), n in sorted(solved.items())], "a string, b string, quota int")
     # A first cut per salted share of a combination keeps any combination, however large, out of one task.
     candidates = marked.join(F.broadcast(plan), ["a", "b"]).withColumn("salt", F.pmod(F.xxhash64("id", "text"), F.lit(SALTS)))
     turn = Window.partitionBy("a", "b", "salt", "text").orderBy(F.xxhash64("id"), "id")
