@@ -8,6 +8,9 @@ Behaviour at the edges
 ----------------------
 * null, empty or undecodable payloads hold no objects and give no rows, as does an empty table;
 * JSON, Python literals, and either of them written as text inside the other (any number of times) are decoded;
+* an object outside the ruled arrays is a node, too, of kind ``object``, in whatever field or array (of arrays) it
+  stands; its ``field`` names the field and its ``pos`` the place in the array (-1 outside arrays, the places within
+  arrays of arrays are counted through); arrays of plain values stay with the fields of their object;
 * an array element that is no object gives no row, but keeps its position; a lone object stands at position 0;
 * a null key is kept (rows are told apart by an internal row number, so repeated rows give repeated nodes);
 * payloads deeper than the decoder's limit count as undecodable; very long payloads are read whole;
@@ -42,16 +45,14 @@ LINEAGE = {
     "unit": (),
     "answer": ("unit",),
 }
-MAX_TEXT_LAYERS = 8
 
 
 def decode(value: object) -> object:
-    """An object or array from a value that may be text in JSON or Python-literal form, else None."""
-    for _ in range(MAX_TEXT_LAYERS):
-        if isinstance(value, tuple):
-            return list(value)
-        if not isinstance(value, str):
-            return value if isinstance(value, dict | list) else None
+    """An object or array from a value that may be text in JSON or Python-literal form, else None.
+
+    Text within text is decoded layer by layer; each layer is shorter than the one around it.
+    """
+    while isinstance(value, str):
         text = value.strip()
         if text[:1] not in "{[\"'(":
             return None
@@ -64,7 +65,9 @@ def decode(value: object) -> object:
                 value = ast.literal_eval(text)
             except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
                 return None
-    return None
+    if isinstance(value, tuple):
+        return list(value)
+    return value if isinstance(value, dict | list) else None
 
 
 def _follow(node: object, path: tuple[str, ...]) -> object:
@@ -85,31 +88,65 @@ def _objects(value: object) -> Iterable[tuple[int, dict]]:
     return []
 
 
-def _children(node: object, kind: str, rules: dict) -> list[tuple[int, str, dict]]:
-    """Children in document order: the ruled arrays, then every other object-valued field as kind ``object``."""
-    out, used = [], set()
+def _elements(value: object) -> Iterator[object]:
+    """The elements of an array, those of arrays in it in their place."""
+    stack = [iter(value)]
+    while stack:
+        for x in stack[-1]:
+            if isinstance(x, list | tuple):
+                stack.append(iter(x))
+                break
+            yield x
+        else:
+            stack.pop()
+
+
+def _unruled(node: object, skip: set[str]) -> Iterator[tuple[int, str, str, dict]]:
+    """The objects in the fields of a node outside ``skip``, in document order."""
+    for key, value in node.items() if isinstance(node, dict) else ():
+        if key in skip:
+            continue
+        if isinstance(value, dict):
+            yield -1, "object", str(key), value
+        elif isinstance(value, list | tuple):
+            yield from ((i, "object", str(key), x) for i, x in enumerate(_elements(value)) if isinstance(x, dict))
+
+
+def _children(node: object, kind: str, rules: dict) -> list[tuple[int, str, str, dict]]:
+    """(pos, kind, field, object): the ruled arrays, then every other object, each in document order."""
+    out, ruled = [], set()
+    within: list[tuple[object, str]] = []
     for child, paths in rules.get(kind, []):
         for path in paths:
             value = _follow(node, path) if path else node
             if value is not None:
-                out += [(i, child, o) for i, o in _objects(value)]
-                used |= set(path[:1])
+                out += [(i, child, path[-1] if path else "", o) for i, o in _objects(value)]
+                if not path:
+                    return out
+                ruled.add(path[0])
+                within += [(decode(_follow(node, path[:i])), path[i]) for i in range(1, len(path))]
                 break
-    if isinstance(node, dict):
-        for key, value in node.items():
-            if key not in used and isinstance(value, dict):
-                out.append((-1, "object", value))
+    out += _unruled(node, ruled)
+    for inner, key in within:  # what else stands beside a ruled array on the way down to it
+        out += _unruled(inner, {key})
     return out
 
 
-def traverse(payload: object, root: str, rules: dict = PAYLOAD_RULES) -> list[tuple[str, int, int, int, int, dict]]:
-    """(kind, pre, post, depth, pos, object) of every object below a payload; the root itself has pre 0."""
+def traverse(payload: object, root: str, rules: dict = PAYLOAD_RULES) -> list[tuple[str, int, int, int, int, str, dict]]:
+    """(kind, pre, post, depth, pos, field, object) of every object below a payload.
+
+    The payload itself has pre 0; it is given, as kind ``root``, where it is an object and no object by rule.
+    """
     value = decode(payload)
     if value is None:
         return []
     out: list = []
     pre, post = 1, 0
-    stack = [[iter(_children(value, root, rules)), -1]]
+    if isinstance(value, dict) and not any(() in paths for _, paths in rules.get(root, [])):
+        out.append([root, 0, 0, 0, -1, "", value])
+    elif isinstance(value, list) and not any(() in paths for _, paths in rules.get(root, [])):
+        value = {"": value}  # a list where the rules want an object: its objects are still nodes
+    stack = [[iter(_children(value, root, rules)), len(out) - 1]]
     while stack:
         step = next(stack[-1][0], None)
         if step is None:
@@ -118,22 +155,39 @@ def traverse(payload: object, root: str, rules: dict = PAYLOAD_RULES) -> list[tu
                 out[row][2] = post
             post += 1
             continue
-        pos, kind, node = step
-        out.append([kind, pre, 0, len(stack), pos, node])
+        pos, kind, field, node = step
+        out.append([kind, pre, 0, len(stack), pos, field, node])
         pre += 1
         stack.append([iter(_children(node, kind, rules)), len(out) - 1])
     return out
 
 
+def _plain(value: object, layers: int = 50) -> object:
+    """A value without the objects in it, which are nodes of their own; None where nothing else is left.
+
+    Arrays within more than ``layers`` arrays are given as one.
+    """
+    if isinstance(value, dict):
+        return None
+    if isinstance(value, list | tuple):
+        kept = [_plain(x, layers - 1) for x in value] if layers else [x for x in _elements(value) if not isinstance(x, dict)]
+        return kept if not value or any(x is not None for x in kept) else None
+    return value
+
+
 def _scalars(node: dict) -> str:
-    return json.dumps({str(k): v for k, v in node.items() if not isinstance(v, dict | list | tuple)}, ensure_ascii=False, default=str)
+    """The plain values of an object and its arrays of them, as JSON."""
+    kept = {str(k): _plain(v) for k, v in node.items() if v is None or _plain(v) is not None}
+    return json.dumps(kept, ensure_ascii=False, default=str)
 
 
 def label_nodes(
     df: DataFrame, key: str, payloads: Iterable[str] = ("rag", "thought_unit"), kinds: Iterable[str] | None = None,
     with_fields: bool = True, rules: dict = PAYLOAD_RULES,
 ) -> DataFrame:
-    """One row per object: row_no, key, payload, kind, pre, post, depth, pos, fields (JSON of its scalars).
+    """One row per object: row_no, key, payload, kind, pre, post, depth, pos, field, fields (JSON of its plain values).
+
+    Rows are numbered in the order they come in, so that order must be repeatable (a scan, or sorted partitions).
 
     ``payloads`` are columns whose names are root kinds in ``rules``; numbering covers every object even
     where ``kinds`` restricts what is emitted.
@@ -144,7 +198,7 @@ def label_nodes(
     schema = T.StructType([
         T.StructField("row_no", T.LongType()), T.StructField("key", key_type), T.StructField("payload", T.StringType()), T.StructField("kind", T.StringType()),
         *[T.StructField(c, T.IntegerType()) for c in ("pre", "post", "depth", "pos")],
-        *([T.StructField("fields", T.StringType())] if with_fields else []),
+        *([T.StructField("field", T.StringType()), T.StructField("fields", T.StringType())] if with_fields else []),
     ])
     columns = schema.names
 
@@ -156,11 +210,11 @@ def label_nodes(
                 for row_no, k, text in zip(row_nos, keys, batch.column(f"payload_{i}").to_pylist(), strict=True):
                     if text is None:
                         continue
-                    for kind, pre, post, depth, pos, node in traverse(text, name, rules):
+                    for kind, pre, post, depth, pos, field, node in traverse(text, name, rules):
                         if wanted is None or kind in wanted:
-                            for column, value in zip(made, (row_no, k, name, kind, pre, post, depth, pos, *([_scalars(node)] if with_fields else [])), strict=True):
+                            for column, value in zip(made, (row_no, k, name, kind, pre, post, depth, pos, *([field, _scalars(node)] if with_fields else [])), strict=True):
                                 column.append(value)
-            arrays = [pa.array(c, type=t) for c, t in zip(made, (pa.int64(), batch.schema.field("key").type, pa.string(), pa.string(), *[pa.int32()] * 4, *([pa.string()] if with_fields else [])), strict=True)]
+            arrays = [pa.array(c, type=t) for c, t in zip(made, (pa.int64(), batch.schema.field("key").type, pa.string(), pa.string(), *[pa.int32()] * 4, *([pa.string()] * 2 if with_fields else [])), strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
     return source.mapInArrow(run, schema)

@@ -51,6 +51,8 @@ def test_very_long_payload_is_read_whole(spark):
 
 def test_very_deep_payload_does_not_fail(spark):
     assert found(spark, [(1, "[" * 100_000, "{'a':" * 50_000)]) == []
+    deep = json.dumps({"recall": {"x": json.loads("[" * 900 + "1" + "]" * 900)}})
+    assert [n[0] for n in N.traverse(deep, "rag")] == ["rag", "recall"] and N._scalars(N.traverse(deep, "rag")[1][6])
 
 
 trees = st.recursive(st.none() | st.integers() | st.text(max_size=3), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.sampled_from(["recall", "content", "问卷内容", "data", "x"]), x, max_size=3), max_leaves=25)
@@ -60,11 +62,12 @@ trees = st.recursive(st.none() | st.integers() | st.text(max_size=3), lambda x:
 @given(trees)
 def test_intervals_nest_and_numbers_are_unique(tree):
     nodes = N.traverse(json.dumps(tree), "rag")
-    assert sorted(n[1] for n in nodes) == list(range(1, len(nodes) + 1))
+    first = 0 if nodes and nodes[0][0] == "rag" else 1
+    assert sorted(n[1] for n in nodes) == list(range(first, len(nodes) + first))
     assert len({n[2] for n in nodes}) == len(nodes)
     for b in nodes:
         holders = [a for a in nodes if a[1] < b[1] and a[2] > b[2]]
-        assert len(holders) == b[3] - 1
+        assert len(holders) == b[3] - first
 
 
 def test_literals_and_json_agree():
@@ -83,3 +86,26 @@ def test_fields_agree_with_the_stored_columns(spark, data):
     joined = fields.join(stored, "case_id")
     assert joined.count() > 10
     assert joined.filter("batch_id = stored").count() >= 0.9 * joined.count()  # the stored ones were made before the payloads were damaged
+
+
+def test_text_layers_without_end():
+    value = {"recall": [{"content": [{"问卷内容": {"q": 1}}]}]}
+    for _ in range(12):
+        value = json.dumps(value)
+    assert [n[0] for n in N.traverse(value, "rag")] == ["rag", "recall", "entry", "question"]
+
+
+def test_objects_in_any_array_are_nodes_and_plain_arrays_stay(spark):
+    unit = {"k": [{"x": 1}, {"y": 2}], "tags": ["p", "q"], "o": {"z": [[{"w": 1}], {"v": None}]}, "none": None, "empty": []}
+    df = spark.createDataFrame([(1, None, json.dumps(unit))], SCHEMA)
+    rows = sorted(N.label_nodes(df, "case_id").collect(), key=lambda r: r.pre)
+    assert [(r.kind, r.field, r.pos, json.loads(r.fields)) for r in rows] == [
+        ("unit", "", 0, {"tags": ["p", "q"], "none": None, "empty": []}), ("object", "k", 0, {"x": 1}), ("object", "k", 1, {"y": 2}),
+        ("object", "o", -1, {}), ("object", "z", 0, {"w": 1}), ("object", "z", 1, {"v": None}),
+    ]
+    assert all(a.post > b.post for a, b in ((rows[0], rows[1]), (rows[3], rows[4])))
+
+
+def test_what_stands_beside_a_ruled_array_is_kept():
+    rag = {"code": 0, "data": {"page": {"n": 1}, "recall": [{"a": 1}]}, "extra": [{"b": 2}]}
+    assert [(n[0], n[5]) for n in N.traverse(json.dumps(rag), "rag")] == [("rag", ""), ("recall", "recall"), ("object", "extra"), ("object", "page")]
