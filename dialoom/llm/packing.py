@@ -9,8 +9,9 @@ constraint never costs a container by itself.
 
 A text is divided only if it exceeds the capacity alone: its full pieces fill containers of their own, its rest is
 an item. Items are dealt by hash to shards of about ``shard_tokens`` tokens and at most about ``shard_items`` items,
-which are packed in parallel; a source, desk or cluster of any share is dealt over all shards. Room is lost only in
-the last bins of a shard, under capacity / shard_tokens of the total.
+which are packed in parallel; a source, desk or cluster of any share is dealt over all shards, and so are rows without
+an id and repeated rows. Room is lost only in the last bins of a shard; a shard has room for ``LEAST_BINS`` bins at
+least, however large the capacity, so that is at most about one in as many.
 
 Behaviour at the edges
 ----------------------
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from dialoom.llm import tokens
 from dialoom.session import ensure_checkpoint_dir
 
+LEAST_BINS = 64
 OUTPUT = "capacity_id long, container_id string, id long, piece int, tokens long"
 
 
@@ -113,29 +116,32 @@ def pack(
     rooms = {r.capacity_id: r.capacity_tokens for r in capacities.select("capacity_id", "capacity_tokens").collect()}
     if any(c is None or c < 1 for c in rooms.values()):
         raise ValueError("capacities must be positive")
-    sized = sized.select("id", "tokens", F.coalesce("source", F.lit("")).alias("source"), "cluster").checkpoint()
+    # Rows of a checkpoint keep their order, so a row's number tells equal rows apart in every attempt.
+    sized = sized.select("id", "tokens", F.coalesce("source", F.lit("")).alias("source"), "cluster").checkpoint().withColumn("row", F.monotonically_increasing_id())
     total = sized.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("items")).first()
-    shards = max(1, -(-total.tokens // shard_tokens), -(-total.items // shard_items))
-    each = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("capacity_id"), F.lit(c).cast("long").alias("room")) for k, c in sorted(rooms.items())]))
-    split = sized.select("*", each.alias("c")).select("id", "tokens", "source", "cluster", "c.capacity_id", "c.room")
-    split = split.withColumns({"full": F.when(F.col("tokens") > F.col("room"), F.floor(F.col("tokens") / F.col("room"))).otherwise(0).cast("int")})
-    split = split.withColumn("rest", F.col("tokens") - F.col("full") * F.col("room"))
-    whole = split.filter("full > 0").select("capacity_id", "id", "room", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece"))
-    whole = whole.select("capacity_id", F.concat_ws("-", F.lit("full"), F.coalesce(F.col("id").cast("string"), F.lit("null")), "piece").alias("container_id"), "id", "piece", F.col("room").alias("tokens"))
-    items = split.filter("full = 0 or rest > 0").select(
-        "capacity_id", "room", F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), F.col("full").alias("piece"), F.col("rest").alias("size"), "source", "cluster",
-        F.pmod(F.xxhash64("id", "cluster"), F.lit(shards)).alias("shard"),
+    wanted = max(-(-total.tokens // shard_tokens), -(-total.items // shard_items))
+    shards = {k: max(1, min(wanted, total.tokens // (LEAST_BINS * c))) for k, c in rooms.items()}
+    each = F.explode(F.array(*[F.struct(*[F.lit(x).cast("long").alias(n) for x, n in ((k, "capacity_id"), (c, "room"), (shards[k], "shards"))]) for k, c in sorted(rooms.items())]))
+    items = sized.select("*", each.alias("c")).select(
+        "c.capacity_id", "c.room", F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), "row", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), "source", "cluster",
+        F.pmod(F.xxhash64("row"), F.col("c.shards")).alias("shard"),
     )
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["size", "no_id", "id", "piece"], ascending=[False, True, True, True], kind="stable")
-        bins = pack_shard(group, int(group["room"].iloc[0]), conflicts)
-        names = [f"s{group['shard'].iloc[0]}-{b}" for b in bins]
-        ids = group["id"].astype("Int64").mask(group["no_id"])
-        return pd.DataFrame({"capacity_id": group["capacity_id"], "container_id": names, "id": ids, "piece": group["piece"], "tokens": group["size"]})
-
-    packed = items.repartition(len(rooms) * shards, "capacity_id", "shard").groupBy("capacity_id", "shard").applyInPandas(fill, OUTPUT)
-    return packed.unionByName(whole)
+        room, shard = int(group["room"].iloc[0]), group["shard"].iloc[0]
+        full = (group["tokens"] // room).where(group["tokens"] > room, 0).to_numpy()
+        rest = group.assign(piece=full, size=group["tokens"].to_numpy() - full * room)[lambda g: (g["piece"] == 0) | (g["size"] > 0)]
+        rest = rest.sort_values(["size", "no_id", "id", "row", "piece"], ascending=[False, True, True, True, True], kind="stable")
+        whole = group.loc[group.index.repeat(full)]
+        piece = np.arange(len(whole)) - np.repeat(np.cumsum(full) - full, full)
+        names = [f"s{shard}-{b}" for b in pack_shard(rest, room, conflicts)] + [f"s{shard}-full-{b}" for b in range(len(whole))]
+        ids, no_id = (pd.concat([rest[c], whole[c]]).reset_index(drop=True) for c in ("id", "no_id"))
+        return pd.DataFrame({
+            "capacity_id": group["capacity_id"].iloc[0], "container_id": names, "id": ids.astype("Int64").mask(no_id),
+            "piece": np.concatenate([rest["piece"], piece]).astype("int32"), "tokens": np.concatenate([rest["size"], np.full(len(whole), room)]).astype("int64"),
+        })
+
+    return items.repartition(sum(shards.values()), "capacity_id", "shard").groupBy("capacity_id", "shard").applyInPandas(fill, OUTPUT)
 
 
 def sizes(documents: DataFrame, id_col: str, text_col: str, source_col: str, path: str = tokens.VOCABULARY) -> DataFrame:

@@ -92,6 +92,31 @@ def test_packing_edges(spark):
         pack(spark, items, [(1, 0)])
 
 
+def test_repeated_and_missing_ids_never_overfill(spark):
+    items = [(None, 25, "a", 1), (None, 25, "a", 1), (7, 25, "a", 2), (7, 25, None, 2), (None, 25, "b", 1)]
+    for options in ({}, {"shard_tokens": 30}):
+        rows = pack(spark, items, [(1, 10)], **options)
+        held = Counter()
+        for _, box, _, _, n in rows:
+            held[box] += n
+        assert max(held.values()) <= 10 and sum(held.values()) == 125
+
+
+def test_conflicts_hold_through_the_operator(spark):
+    items = [(i, 3, "ab"[i % 2], i) for i in range(40)]
+    source = {i: s for i, _, s, _ in items}
+    held = defaultdict(set)
+    for r in K.pack(spark.createDataFrame(items, "id long, tokens long, source string, cluster long"), spark.createDataFrame([(1, 10)], "capacity_id int, capacity_tokens int"), frozenset({("a", "b")})).collect():
+        held[r.container_id].add(source[r.id])
+    assert all(len(s) == 1 for s in held.values()) and len(held) == 14
+
+
+def test_shards_grow_with_the_capacity(spark):
+    items = [(i, 100, "a", i) for i in range(400)]
+    rows = pack(spark, items, [(1, 1000)], shard_tokens=1000)
+    assert len({r[1] for r in rows}) == 40
+
+
 def test_copies_and_named_sources_stay_apart():
     import pandas as pd
 
