@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 from dialoom.functions.blank import is_blank, strip
 
-# Signs of a question anywhere in a message (first and second dialect), and at its end.
-ANYWHERE = ("？", "?", "什么", "怎么", "如何", "哪个", "哪里", "哪些", "谁", "何时", "多少", "啥", "咋", "怎样", "几", "多久", "多长", "是哪", "吗", "呢")
-ANYWHERE_LOOSE = ("不", "吧")
+# Signs of a question, in the first and in the second dialect, and particles at the end in the second.
+SIGNS_QUOTED = (
+    "？", "?", "什么", "怎么", "如何", "为什么", "哪个", "哪里", "哪些", "谁", "何时", "多少", "啥", "咋", "咋样", "怎样", "几", "多久", "多长",
+    "是什么", "是谁", "是哪", "怎么样", "好吗", "行吗", "可以吗", "不是吗", "对吗", "吗", "呢", "不", "吧",
+)
+SIGNS_LOOSE = (
+    "？", "?", "什么", "怎么", "如何", "为什么", "哪个", "哪里", "哪些", "谁", "何时", "多少", "啥", "咋", "咋样", "怎样", "几", "多久", "多长",
+    "是什么", "是谁", "是哪", "怎么样", "如何", "吗", "呢", "不是吗", "对吗", "好吗", "行吗", "可以吗",
+)
 AT_END = ("吗", "呢", "不", "吧")
 QUOTE_RULE = "- - - - - - - - - - - - - - -"
 # Fixed values of the third dialect.
@@ -25,13 +31,13 @@ def _any_of(words: tuple[str, ...]) -> str:
 def is_question_quoted(c: Column) -> Column:
     """First dialect: what follows the last quotation rule, if longer than one character, holds any sign."""
     tail = strip(F.element_at(F.split(c, QUOTE_RULE), -1))
-    return ~is_blank(c) & (F.length(tail) > 1) & tail.rlike(_any_of(ANYWHERE + ANYWHERE_LOOSE))
+    return ~is_blank(c) & (F.length(tail) > 1) & tail.rlike(_any_of(SIGNS_QUOTED))
 
 
 def is_question_loose(c: Column) -> Column:
     """Second dialect: longer than one character and a sign anywhere, or a particle at the end."""
     s = strip(F.coalesce(c, F.lit("")))
-    return (F.length(s) > 1) & (s.rlike(_any_of(ANYWHERE)) | s.rlike(f"(?:{_any_of(AT_END)})$"))
+    return (F.length(s) > 1) & (s.rlike(_any_of(SIGNS_LOOSE)) | s.rlike(f"(?:{_any_of(AT_END)})$"))
 
 
 def is_question_anchored(c: Column) -> Column:

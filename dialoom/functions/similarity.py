@@ -44,11 +44,6 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
-def keyword_ratio(text: Column, keywords: Column) -> Column:
-    """Share of the keywords that occur in a text; null where there are none."""
-    return F.size(F.filter(keywords, lambda k: text.contains(k))) / F.size(keywords)
-
-
 def template(reply: str | None, model: str | None) -> float:
     """1 where a reply holds the template, the length share where the template holds the reply, else the matching-block
     ratio. Inputs are template forms."""

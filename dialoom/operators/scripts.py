@@ -18,7 +18,10 @@ from dialoom.functions.similarity import lexical_similarity, sequence_ratio, tem
 MAX_SCRIPTS = 20_000
 # The lists of a tree node that hold scripts, and the names of its other data.
 SCRIPT_LISTS = ("参考话术", "相似话术")
-NODE_DATA = ("下一步动作", "预期话术", "关键信息")
+EXPECTED = "预期话术"
+NODE_DATA = ("下一步动作", EXPECTED, "关键信息")
+#: Labels whose utterance is an action as a whole.
+ACTION_LABELS = ("提醒上课",)
 
 
 def flatten_tree(tree: dict) -> Iterator[dict]:
@@ -38,6 +41,36 @@ def flatten_tree(tree: dict) -> Iterator[dict]:
         stack += [((*path, k), v) for k, v in reversed(list(node.items())) if k not in SCRIPT_LISTS + NODE_DATA]
 
 
+def expected_utterances(tree: object) -> Iterator[str]:
+    """Every text below an ``EXPECTED`` list of a nested tree, in document order, repeats included."""
+    stack = [(tree, False)]
+    while stack:
+        node, expected = stack.pop()
+        if expected:
+            values = [node] if isinstance(node, str) else node.values() if isinstance(node, dict) else node if isinstance(node, list) else []
+            yield from (x for x in values if isinstance(x, str))
+        elif isinstance(node, dict):
+            stack += [(v, k == EXPECTED) for k, v in reversed(list(node.items()))]
+        elif isinstance(node, list):
+            stack += [(v, False) for v in reversed(node)]
+
+
+def expected_parts(df: DataFrame, cell_col: str, lookup: DataFrame, action_labels: tuple[str, ...] = ACTION_LABELS) -> DataFrame:
+    """Add ``statement`` and ``question`` of the expected utterance in a cell.
+
+    ``lookup`` (utterance, statement, question) is a small table of utterances whose parts are settled: the tree's own
+    ones, manual splits, utterances that are actions as a whole; for an utterance given twice the smallest parts
+    count. A label of ``action_labels`` makes the whole text the action; any other utterance is split by rule. Other
+    columns pass through, but for two of the names added.
+    """
+    known = lookup.groupBy("utterance").agg(F.min(F.struct("statement", "question")).alias("__known"))
+    parsed = df.withColumn("__cell", T.expected_utterance(F.col(cell_col))).withColumn("utterance__", F.col("__cell.utterance"))
+    joined = parsed.join(small(known.withColumnRenamed("utterance", "utterance__")), "utterance__", "left")
+    whole = F.struct(F.lit("").alias("statement"), F.col("utterance__").alias("question"))
+    parts = F.when(F.col("__cell.label").isin(*action_labels), whole).otherwise(F.coalesce("__known", T.split_utterance(F.col("utterance__"))))
+    return joined.withColumn("__parts", parts).withColumns({"statement": F.col("__parts.statement"), "question": F.col("__parts.question")}).drop("__cell", "__known", "__parts", "utterance__")
+
+
 def branch_paths(scripts: DataFrame) -> DataFrame:
     """Every path prefix of at least two levels, deepest first."""
     prefixes = F.explode(F.transform(F.sequence(F.lit(2), F.size("path")), lambda n: F.slice("path", F.lit(1), n)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dialoom.functions import blank, questions, text
 from dialoom.operators import dialogue as D
+from dialoom.operators import scripts as S
 from dialoom.plans.propagation_queries import blank as sql_blank
 from dialoom.session import table
 
@@ -118,6 +119,17 @@ def split_transmit_action(spark, sf_dir):
     return rows.select("row_order", text.split_utterance(F.col("sent_text")).alias("s")).select("row_order", "s.statement", "s.question")
 
 
+def expected_parts(spark, sf_dir):
+    """Parts of the utterances in cells of several kinds: plain, under one label, under several, the scripts' own ones settled."""
+    rows = table(spark, sf_dir, "reflow_rows").filter("sent_text is not null").select("row_order", "sop_l2", "sent_text")
+    under = lambda *labels: F.to_json(F.create_map(*[x for label in labels for x in (label, F.col("sent_text"))]))
+    kind = F.col("row_order") % 5
+    cell = F.when(kind == 0, F.col("sent_text")).when(kind == 1, under(F.lit("提醒上课"))).when(kind == 2, under(F.lit("甲"), F.lit("乙"))).when(kind == 3, under(F.lit("甲"))).otherwise("[1]")
+    scripts = table(spark, sf_dir, "sop_scripts").select(blank.strip(F.col("script_text")).alias("utterance"))
+    lookup = scripts.select("utterance", F.lit("已定").alias("statement"), F.col("utterance").alias("question"))
+    return S.expected_parts(rows.select("row_order", cell.alias("cell")), "cell", lookup).select("row_order", "statement", "question")
+
+
 def duplicate_judge(spark, sf_dir):
     """Whether an assistant's text and what was sent are the same but for white space."""
     a, b = F.col("ai_text"), F.col("sent_text")
@@ -133,13 +145,14 @@ def case_contexts(spark, sf_dir):
     rows = D.messages(_corpus(spark, sf_dir), "conv_id", "final_context").join(scripts, "text", "left")
     conv = Window.partitionBy("conv_id").orderBy("pos")
     line = F.concat_ws(": ", F.coalesce("speaker", F.lit("")), "text")
-    told = rows.withColumns({
-        "anchor": F.col("scripted").isNotNull() & D.is_sales(F.col("speaker")),
-        "before": F.array_join(F.collect_list(line).over(conv.rowsBetween(Window.unboundedPreceding, 0)), "\n"),
-        "after": F.array_join(F.collect_list(line).over(conv.rowsBetween(1, Window.unboundedFollowing)), "\n"),
-    })
-    asked = told.withColumn("cut", (F.col("speaker") == "客户") & F.lag("anchor", 1, False).over(conv))
-    return asked.filter("cut").select("conv_id", "pos", F.col("before").alias("context"), F.col("after").alias("rest"))
+    told = rows.withColumns({"line": line, "anchor": F.col("scripted").isNotNull() & D.is_sales(F.col("speaker"))})
+    asked = told.withColumn("cut", (F.col("speaker") == "客户") & F.lag("anchor", 1, False).over(conv)).filter("cut").select("conv_id", "pos")
+    # One array for each conversation that has a cut; each case is a slice of it, and only cases carry text.
+    whole = told.join(asked.select("conv_id").distinct(), "conv_id", "left_semi").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("all"))
+    text_of = lambda part: F.array_join(F.transform(part, lambda x: x["line"]), "\n")
+    return asked.join(whole, "conv_id").select(
+        "conv_id", "pos", text_of(F.filter("all", lambda x: x["pos"] <= F.col("pos"))).alias("context"), text_of(F.filter("all", lambda x: x["pos"] > F.col("pos"))).alias("rest")
+    )
 
 
 def parse_history_any(spark, sf_dir):
@@ -158,7 +171,7 @@ def transcript_chunks(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (scan_project_blank, parse_history, standardize_speakers, complete_conversation, truncate_to_last_customer, last_customer_message, sync_latest_message, merge_trailing_block, sales_rounds, sales_blocks_around_last, sentence_split, question_flags, classify_message, media_only_filter, text_forms, char_set_ops, script_variants, split_transmit_action, duplicate_judge, case_contexts, parse_history_any, last_two_customer, transcript_chunks)
+    for f in (scan_project_blank, parse_history, standardize_speakers, complete_conversation, truncate_to_last_customer, last_customer_message, sync_latest_message, merge_trailing_block, sales_rounds, sales_blocks_around_last, sentence_split, question_flags, classify_message, media_only_filter, text_forms, char_set_ops, script_variants, split_transmit_action, expected_parts, duplicate_judge, case_contexts, parse_history_any, last_two_customer, transcript_chunks)
 }
 
 _W = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
@@ -200,8 +213,32 @@ def _standard(c: str) -> str:
     return f"CASE WHEN {sql_blank(c)} THEN '' ELSE array_to_string(list_transform(list_filter(list_transform(string_split({c}, chr(10)), lambda y: {_strip('y')}), lambda y: y <> ''), lambda x: {_LINE5}), chr(10)) END"
 
 
-_ANY = "？|\\?|什么|怎么|如何|哪个|哪里|哪些|谁|何时|多少|啥|咋|怎样|几|多久|多长|是哪|吗|呢"
+_ANY = "？|\\?|什么|怎么|如何|哪个|哪里|哪些|谁|何时|多少|啥|咋|怎样|几|多久|多长|是哪|吗|呢"  # the signs that no other sign is part of
+
+
+def _split_sql(source: str) -> str:
+    """CTEs that end in ``parts`` (id, statement, question) of a CTE body selecting (id, u)."""
+    q = lambda c, p, g: f"regexp_extract({c}, '{p}', {g}, 's')"
+    filler = f"^((?:{'|'.join(sorted(text.FILLERS, key=len, reverse=True))})[，,。！!；;、]*)\\s*(.+)$"
+    stop, comma, before = (f"^(.*[{c}])({d})$" for c, d in (("。！!；;\\n", "[^。！!；;\\n]*"), ("，,", "[^，,]*"), ("，,", "[^，,]*[，,][^，,]*")))
+    stored = lambda c: _strip(f"replace({c}, chr(10), '<newline>')")
+    return f"""u1 AS ({source}),
+u2 AS (SELECT id, replace({_strip("replace(u, chr(13) || chr(10), chr(10))")}, '<newline>', chr(10)) AS v FROM u1),
+u3 AS (SELECT *, {q('v', '^(.*[?？])', 1)} AS h FROM u2),
+u4 AS (SELECT *, CASE WHEN {q('h', stop, 1)} <> '' THEN {q('h', stop, 1)}
+  WHEN {q('h', before, 1)} <> '' AND length({_strip(q('h', comma, 2))}) <= 12 THEN {q('h', before, 1)} ELSE {q('h', comma, 1)} END AS d FROM u3),
+u5 AS (SELECT *, regexp_replace(d, '{_W}+$', '') AS lead, {_strip('substring(h, length(d) + 1)')} AS clause FROM u4),
+parts AS (SELECT id, {stored(f"CASE WHEN h = '' THEN v WHEN lead = '' THEN {q('clause', filler, 1)} ELSE lead END")} AS statement,
+  {stored(f"CASE WHEN h = '' THEN '' WHEN lead = '' AND {q('clause', filler, 1)} <> '' THEN {q('clause', filler, 2)} ELSE clause END")} AS question FROM u5)"""
+
+
 ORACLES = {
+    "split_transmit_action": f"WITH {_split_sql('SELECT row_order AS id, sent_text AS u FROM reflow_rows WHERE sent_text IS NOT NULL')} SELECT id AS row_order, statement, question FROM parts",
+    "expected_parts": f"""WITH {_split_sql('SELECT row_order AS id, sent_text AS u FROM reflow_rows WHERE sent_text IS NOT NULL')},
+r AS (SELECT row_order, row_order % 5 AS kind, {_strip("replace(sent_text, chr(13) || chr(10), chr(10))")} AS u FROM reflow_rows WHERE sent_text IS NOT NULL),
+k AS (SELECT DISTINCT {_strip('script_text')} AS u, TRUE AS known FROM sop_scripts)
+SELECT row_order, CASE WHEN kind IN (1, 2, 4) OR (kind = 0 AND json_valid(u)) THEN '' WHEN known THEN '已定' ELSE statement END AS statement,
+  CASE WHEN kind IN (2, 4) OR (kind = 0 AND json_valid(u)) THEN '' WHEN kind = 1 OR known THEN u ELSE question END AS question FROM r JOIN parts ON id = row_order LEFT JOIN k USING (u)""",
     "scan_project_blank": f"""SELECT row_order, {sql_blank('message')} AS blank,
   CASE WHEN lower({_strip("coalesce(message, '')")}) IN ('none', 'nan') THEN '' ELSE {_strip("coalesce(message, '')")} END AS value,
   lower({_strip("coalesce(rag, '')")}) NOT IN ('', 'nan', '[]') AS valid_rag FROM reflow_rows""",

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dialoom.functions import blank, questions, similarity, text
+from dialoom.operators import scripts
 
 
 def one(spark, value, expression):
@@ -24,14 +25,28 @@ def test_key_variants(spark):
     assert one(spark, "1. A B", text.key_variants) == ["1. A B", "1.AB"]
 
 
-@pytest.mark.parametrize(("value", "expected"), [("好的，您在职吗？", ("好的，", "您在职吗？")), ("谢谢", ("谢谢", "")), ("行，先看。您来吗？再见", ("行，先看。", "您来吗？")), ("", ("", ""))])
-def test_split_question(value, expected):
-    assert text.split_question(value) == expected
+def test_split_utterance(spark):
+    cases = {
+        "好的，您在职吗？": ("好的，", "您在职吗？"), "谢谢": ("谢谢", ""), "行，先看。您来吗？再见": ("行，先看。", "您来吗？"), "": ("", ""),
+        "好滴您在职吗？": ("好滴", "您在职吗？"), "哦哦您在职吗？": ("哦哦", "您在职吗？"), "恩恩，，您在职吗?": ("恩恩，", "，您在职吗?"), "您在职吗？": ("", "您在职吗？"),
+        "先听课，再做题，行吗？": ("先听课，", "再做题，行吗？"), "先听课，今天晚上七点钟的直播能来吗？": ("先听课，", "今天晚上七点钟的直播能来吗？"), "甲<newline>乙 <newline> 丙？": ("甲<newline>乙", "丙？"),
+        "  ？": ("", "？"), None: None,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "c string").select("c", text.split_utterance(F.col("c")).alias("s")).collect()
+    assert {r.c: tuple(r.s) if r.s else None for r in rows} == cases
 
 
-def test_split_utterance_in_spark(spark):
-    assert tuple(one(spark, "谢谢", text.split_utterance)) == ("谢谢", "")
-    assert one(spark, None, text.split_utterance).statement is None
+def test_expected_utterance(spark):
+    cases = {
+        '{"提醒": "a"}': ("提醒", "a"), '{"a": "1", "b": "2"}': ("", ""), '{"a": 1}': ("", ""), '"x"': ("", "x"), "[1]": ("", ""), "5": ("", ""), " 好的 ": ("", "好的"), "{坏": ("", "{坏"), None: ("", ""),
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "c string").select("c", text.expected_utterance(F.col("c")).alias("s")).collect()
+    assert {r.c: tuple(r.s) for r in rows} == cases
+
+
+def test_expected_utterances_of_a_tree():
+    tree = {"a": {"预期话术": ["x", "y", 3], "b": {"预期话术": "z"}}, "c": [{"预期话术": {"k": "w"}}]}
+    assert list(scripts.expected_utterances(tree)) == ["x", "y", "z", "w"]
 
 
 def test_sentences(spark):
