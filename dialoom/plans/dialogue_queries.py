@@ -237,8 +237,8 @@ ORACLES = {
     "expected_parts": f"""WITH {_split_sql('SELECT row_order AS id, sent_text AS u FROM reflow_rows WHERE sent_text IS NOT NULL')},
 r AS (SELECT row_order, row_order % 5 AS kind, {_strip("replace(sent_text, chr(13) || chr(10), chr(10))")} AS u FROM reflow_rows WHERE sent_text IS NOT NULL),
 k AS (SELECT DISTINCT {_strip('script_text')} AS u, TRUE AS known FROM sop_scripts)
-SELECT row_order, CASE WHEN kind IN (1, 2, 4) OR (kind = 0 AND json_valid(u)) THEN '' WHEN known THEN '已定' ELSE statement END AS statement,
-  CASE WHEN kind IN (2, 4) OR (kind = 0 AND json_valid(u)) THEN '' WHEN kind = 1 OR known THEN u ELSE question END AS question FROM r JOIN parts ON id = row_order LEFT JOIN k USING (u)""",
+SELECT row_order, CASE WHEN kind IN (1, 2, 4) OR (kind = 0 AND json_valid(u) AND lower(u) <> 'nan') THEN '' WHEN known THEN '已定' ELSE statement END AS statement,
+  CASE WHEN kind IN (2, 4) OR (kind = 0 AND json_valid(u) AND lower(u) <> 'nan') THEN '' WHEN kind = 1 OR known THEN u ELSE question END AS question FROM r JOIN parts ON id = row_order LEFT JOIN k USING (u)""",
     "scan_project_blank": f"""SELECT row_order, {sql_blank('message')} AS blank,
   CASE WHEN lower({_strip("coalesce(message, '')")}) IN ('none', 'nan') THEN '' ELSE {_strip("coalesce(message, '')")} END AS value,
   lower({_strip("coalesce(rag, '')")}) NOT IN ('', 'nan', '[]') AS valid_rag FROM reflow_rows""",
