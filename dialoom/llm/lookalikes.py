@@ -80,7 +80,7 @@ def _kind(ch: str) -> str:
 
 
 # Common ideographs that the radical supplement lacks a compatibility mapping for.
-_RADICALS = {"⺀": "冫", "⺁": "厂", "⺄": "乙", "⺅": "亻", "⺆": "冂", "⺈": "刀", "⺉": "刂", "⺌": "小", "⺍": "小", "⺕": "彐", "⺗": "心", "⺘": "扌", "⺝": "月", "⺟": "母", "⺠": "民", "⺡": "氵", "⺣": "灬", "⺤": "爪", "⺥": "爪", "⺨": "犭", "⺩": "王", "⺪": "疋", "⺫": "目", "⺬": "示", "⺭": "礻", "⺮": "竹", "⺰": "纟", "⺶": "羊", "⺷": "羊", "⺸": "羊", "⺹": "老", "⺼": "肉", "⻀": "艹", "⻁": "虎", "⻂": "衤", "⻃": "西", "⻄": "西", "⻅": "见", "⻆": "角", "⻉": "贝", "⻋": "车", "⻌": "辶", "⻍": "辶", "⻎": "辶", "⻏": "阝", "⻐": "钅", "⻑": "長", "⻒": "镸", "⻓": "长", "⻔": "门", "⻕": "阜", "⻖": "阝", "⻗": "雨", "⻘": "青", "⻙": "韦", "⻚": "页", "⻛": "风", "⻜": "飞", "⻝": "食", "⻟": "飠", "⻠": "饣", "⻡": "首", "⻢": "马", "⻣": "骨", "⻤": "鬼", "⻥": "鱼", "⻦": "鸟", "⻧": "卤", "⻨": "麦", "⻩": "黄", "⻬": "齐", "⻮": "齿", "⻰": "龙", "⻱": "龟", "⻲": "亀", "⻳": "龟"}
+RADICALS = {"⺀": "冫", "⺁": "厂", "⺄": "乙", "⺅": "亻", "⺆": "冂", "⺈": "刀", "⺉": "刂", "⺌": "小", "⺍": "小", "⺕": "彐", "⺗": "心", "⺘": "扌", "⺝": "月", "⺟": "母", "⺠": "民", "⺡": "氵", "⺣": "灬", "⺤": "爪", "⺥": "爪", "⺨": "犭", "⺩": "王", "⺪": "疋", "⺫": "目", "⺬": "示", "⺭": "礻", "⺮": "竹", "⺰": "纟", "⺶": "羊", "⺷": "羊", "⺸": "羊", "⺹": "老", "⺼": "肉", "⻀": "艹", "⻁": "虎", "⻂": "衤", "⻃": "西", "⻄": "西", "⻅": "见", "⻆": "角", "⻉": "贝", "⻋": "车", "⻌": "辶", "⻍": "辶", "⻎": "辶", "⻏": "阝", "⻐": "钅", "⻑": "長", "⻒": "镸", "⻓": "长", "⻔": "门", "⻕": "阜", "⻖": "阝", "⻗": "雨", "⻘": "青", "⻙": "韦", "⻚": "页", "⻛": "风", "⻜": "飞", "⻝": "食", "⻟": "飠", "⻠": "饣", "⻡": "首", "⻢": "马", "⻣": "骨", "⻤": "鬼", "⻥": "鱼", "⻦": "鸟", "⻧": "卤", "⻨": "麦", "⻩": "黄", "⻬": "齐", "⻮": "齿", "⻰": "龙", "⻱": "龟", "⻲": "亀", "⻳": "龟"}
 
 
 def _pictorial(ch: str) -> bool:
@@ -123,7 +123,7 @@ def emoji_parts(text: str) -> set[int]:
 def _table(ch: str) -> str:
     kind = _kind(ch)
     if kind in ("full_width", "radical"):
-        return unicodedata.normalize("NFKC", _RADICALS.get(ch, ch))
+        return unicodedata.normalize("NFKC", RADICALS.get(ch, ch))
     return "" if kind == "invisible" else " " if kind == "space" else ch
 
 

@@ -1,15 +1,20 @@
 """Personal information inside free text (problem 7).
 
-Method: bootstrapped contextual extraction. Candidates of every type are cut out with the characters around them;
-(left, right) is a pattern, the candidate an instance. Seeds are the strict shapes (mail addresses, numbers with a
-valid birth date, dialling codes, street numbers) and, for names, what stands in a few given introductions. Spark
-then scores the pattern-instance graph in rounds: a pattern is as good as its distinct instances, an instance as good
-as its patterns (noisy-or) and its parts (given-name characters or words seen in seeds). Patterns above
-``min_confidence`` then find identifiers that no seed shape or list covers: names in any such place, and numbers in
-a looser form. An exact check of each type's form follows.
-
-Patterns need ``min_support`` distinct instances, and at least one in ``max_patterns`` of all edges, so at most
-``max_patterns`` are broadcast.
+Method: bootstrapped contextual extraction. Candidates of all five types are cut out with the characters around
+them; (left, right) is a pattern, the candidate an instance. Seeds are the strict shapes (mail addresses, numbers with
+a valid birth date, dialling codes, street numbers) and, for names, what stands in a few given introductions; the
+looser forms of every type (mail addresses with other signs, numbers of other lengths and groupings, clauses with a
+numbered place) are instances without a score of their own. Spark then scores the pattern-instance graph in rounds: a
+pattern is as good as its distinct instances, an instance as good as its patterns (noisy-or) and its parts (given-name
+characters or words seen in seeds). Patterns above ``min_confidence`` then find identifiers that no seed shape or list
+covers. An exact check of each type's form follows.
+
+Names that begin with a common surname are instances wherever they stand. Whatever else fills a whole short clause
+after a pattern's left side (two to four ideographs) is counted beside them: where names with a listed surname make up
+``min_purity`` of a pattern's fillings, any filling is a name, whatever its surname.
+
+Patterns need ``min_support`` distinct instances, at every size of the corpus. Of those above ``min_confidence`` the
+best ``max_patterns`` (by confidence, then support) are broadcast.
 
 Behaviour at the edges
 ----------------------
@@ -22,6 +27,7 @@ Behaviour at the edges
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dialoom.llm.lookalikes import LOOKALIKES, RADICALS
 from dialoom.session import ensure_checkpoint_dir
 
 TYPES = ("email", "id_number", "phone", "address", "person_name")
@@ -39,7 +46,7 @@ COMPOUND = "欧阳|太史|端木|上官|司马|东方|独孤|南宫|万俟|闻
 _HAN = "一-鿿"
 
 EMAIL = re.compile(
-    r"(?<![A-Za-z0-9._+\-])[A-Za-z0-9](?:[A-Za-z0-9._+\-]{0,62}[A-Za-z0-9])?\s?(?:@|[(\[]\s?at\s?[)\]])\s?"
+    r"(?<![A-Za-z0-9._+\-])[A-Za-z0-9](?:[A-Za-z0-9._+\-]*[A-Za-z0-9])?\s?(?:@|[(\[]\s?at\s?[)\]])\s?"
     r"[A-Za-z0-9\-]+(?:\s?(?:\.|[(\[]\s?dot\s?[)\]])\s?[A-Za-z0-9\-]*[A-Za-z][A-Za-z0-9\-]*)+", re.I,
 )
 ID_NUMBER = re.compile(
@@ -67,36 +74,64 @@ LEAD = re.compile(rf"^[{_HAN}]{{0,4}}?(?:家住|住在|单位在|地址写|址
 #: Numbers that stand after these are none of a person's.
 NOT_PERSONAL = re.compile(r"(?:订单|单号|流水号?|编号|学号|工号|题号|货号|发票号|验证码)(?:是|为)?[:： ]{0,2}$")
 HAN_NAME = re.compile(rf"(?=((?:{COMPOUND})[{_HAN}]{{1,2}}|[{SURNAMES}][{_HAN}]{{1,2}}))")
-LATIN_NAME = re.compile(r"(?<![A-Za-z])[A-Z][A-Za-z'’\-]{1,30} [A-Z][A-Za-z'’\-]{1,30}(?![A-Za-z])")
+LATIN_NAME = re.compile(r"(?<![A-Za-z])[A-Z][A-Za-z'’\-]+ [A-Z][A-Za-z'’\-]+(?![A-Za-z])")
 LOOSE_PHONE = re.compile(r"(?<![0-9A-Za-z.:\-])(?!\d{4}-\d\d-\d\d)\+?\d(?:[\d \-]{5,16})\d(?![0-9A-Za-z%:])")
+#: Looser forms of the other types: any sign between name and host, other lengths, a numbered place in a clause.
+LOOSE_EMAIL = re.compile(r"(?<![A-Za-z0-9._+\-])[A-Za-z0-9][A-Za-z0-9._+\-]* ?(?:[@#]|艾特|圈[aA]|(?<= )at(?= )) ?[A-Za-z0-9\-]+(?: ?(?:\.|点|(?<= )dot(?= )) ?[A-Za-z0-9\-]+)+", re.I)
+LOOSE_ID = re.compile(r"(?<![0-9A-Za-z.:\-])(?:\d(?:[- ]?\d){13,16}[- ]?[\dXx]|[A-Za-z]{1,2}\d{7,9})(?![0-9A-Za-z%:])")
+_PLACE = rf"(?=[^\n]*?\d)[{_HAN}]{{2,}}[{_HAN}0-9A-Za-z\- ]*?\d+ ?(?:号|栋|幢|座|单元|室|楼|层|弄|巷|期|房)[{_HAN}0-9A-Za-z\- ]*"
+_CLAUSE_END = r"(?=[\s，。！？；、,.!?;:：/\\|\"'“”‘’()（）\[\]【】<>《》「」{}…~～@]|$)"
+_CLAUSE_START = r"(?:(?<=[\s，。！？；、,.!?;:：/\\|\"'“”‘’()（）\[\]【】<>《》「」{}…~～@-])|^)"
+LOOSE_ADDRESS = re.compile(rf"{_CLAUSE_START}(?={_PLACE}{_CLAUSE_END})([{_HAN}]+[{_HAN}0-9A-Za-z\- ]*)")
+#: A clause that may be an introduction and a name.
+FILLED = re.compile(rf"{_CLAUSE_START}([{_HAN}]{{3,8}}){_CLAUSE_END}")
+#: What no name holds.
+NO_NAME = re.compile("什么|老师|同学|先生|女士|小姐|经理|主任|名字|[我你您他她它谁啥哪怎这那的了吗呢吧啊是不没有在和就都也还很]")
 #: Introductions whose contents are the first names known: (left, right), right "P" for a boundary.
 SEED_PATTERNS = (("^我叫", "P"), ("^姓名：", "P"), ("name is ", "P"), ("^联系人是", "P"), ("^收件人", "P"))
+NAMES = ("person_name", "filling")
 TITLES = re.compile(r"^(?:老师|同学|先生|女士|小姐|经理|主任|教授|医生|总|哥|姐|叔|阿姨)")
 _BOUNDARY = re.compile(r"[\s，。！？；、,.!?;:：/\\|\"'“”‘’()（）\[\]【】<>《》「」{}…~@-]")
-_ODD = re.compile("[\u00a0\u00ad\u1680\u180e\u2000-\u200f\u202a-\u202f\u205f-\u2064\u2066-\u206f\u3000\ufeff\uff02-\uff07\uff0a\uff0b\uff0d-\uff19\uff1c-\uff1e\uff20-\uff5e]")
+_ODD = re.compile(
+    "[\u00a0\u00ad\u0300-\u036f\u0370-\u04ff\u0500-\u052f\u1680\u180e\u1ab0-\u1aff\u1dc0-\u1dff\u2000-\u200f\u202a-\u202f\u205f-\u2064\u2066-\u206f\u20d0-\u20ff\u2e80-\u2fd5\u3000"
+    "\ufe00-\ufe0f\ufe20-\ufe2f\ufeff\uff02-\uff07\uff0a\uff0b\uff0d-\uff19\uff1c-\uff1e\uff20-\uff5e]"
+)
+
+
+@lru_cache(maxsize=1 << 12)
+def _plain(ch: str) -> str:
+    """The plain form of an odd character; nothing for what can't be seen and for separate accents."""
+    o = ord(ch)
+    if 0xFF02 <= o <= 0xFF5E:
+        return chr(o - 0xFEE0)
+    if o in (0xA0, 0x1680, 0x202F, 0x205F, 0x3000) or 0x2000 <= o <= 0x200A:
+        return " "
+    if 0x370 <= o <= 0x52F:
+        return LOOKALIKES.get(ch, ch)
+    return RADICALS.get(ch) or unicodedata.normalize("NFKC", ch) if 0x2E80 <= o <= 0x2FD5 else ""
+
 
 def fold(text: str) -> tuple[str, list[int] | None]:
     """The text in plain forms, and for each of its characters the place in the original (None: the same).
 
-    The written line breaks of a JSON text are read as line breaks (of the same length).
+    Full-width signs that Chinese text is punctuated with stay. The written line breaks of a JSON text are read as line
+    breaks (of the same length).
     """
     text = text.replace("\\n", "\n\n")
     if not _ODD.search(text):
         return text, None
-    out, at = [], []
-    for i, ch in enumerate(text):
-        o = ord(ch)
-        if not _ODD.match(ch):  # full-width signs that Chinese text is punctuated with stay, too
-            pass
-        elif o >= 0xFF02 and o != 0xFEFF:
-            ch = chr(o - 0xFEE0)
-        elif o in (0xA0, 0x1680, 0x202F, 0x205F, 0x3000) or 0x2000 <= o <= 0x200A:
-            ch = " "
-        else:
-            continue
-        out.append(ch)
-        at.append(i)
-    return "".join(out), [*at, len(text)]
+    out, at, last = [], [], 0
+    for m in _ODD.finditer(text):
+        i = m.start()
+        out.append(text[last:i])
+        at.extend(range(last, i))
+        plain = _plain(m[0])
+        out.append(plain)
+        at.extend([i] * len(plain))
+        last = i + 1
+    out.append(text[last:])
+    at.extend(range(last, len(text) + 1))
+    return "".join(out), at
 
 
 @lru_cache(maxsize=1 << 17)
@@ -126,8 +161,10 @@ def right_of(text: str, end: int) -> str:
 
 
 _AT_SIGN = re.compile(r"@|[(\[] ?at ?[)\]]", re.I)
+_ANY_AT = re.compile(r"[@#]|艾特|圈a| at ", re.I)
 _SEVEN = re.compile(rf"\d(?:[^\d]{{0,2}}\d){{6}}|[一幺][{_DIGIT}]{{10}}")
 _NUMBERED = re.compile(r"\d ?[号栋幢座单]|\d[A-Za-z]? [A-Z][A-Za-z']+ [A-Z]")
+_PLACED = re.compile(r"\d ?[号栋幢座单室楼层弄巷期房]")
 
 
 def strict(text: str) -> list[tuple[int, int, str]]:
@@ -158,9 +195,10 @@ def strict(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, str]], lefts: set | None = None) -> Iterator[tuple[str, int, int, str, str]]:
-    """(type, start, end, left, right) of everything that may be a name, or a number in a looser form.
+    """(type, start, end, left, right) of everything that may be a name, or personal data in a looser form.
 
-    ``lefts`` are the (type, left) that any pattern has: Chinese names elsewhere needn't be cut out.
+    Type ``filling`` is what fills a short clause after its first characters, with any first ideograph. ``lefts`` are
+    the (type, left) that any pattern has: what stands elsewhere needn't be cut out.
     """
     inside = lambda a, b: any(a < y and b > x for x, y, _ in taken)
     for m in HAN_NAME.finditer(text):
@@ -171,17 +209,34 @@ def candidates(text: str, taken: list[tuple[int, int, str]], lefts: set | None =
         for n in range(3 if full[:2] in _COMPOUND_SET else 2, len(full) + 1):
             if not inside(a, a + n):
                 yield "person_name", a, a + n, left, right_of(text, a + n)
+    for m in FILLED.finditer(text):
+        a, b = m.span()
+        for start in range(max(a + 1, b - 4), min(a + 4, b - 2) + 1):
+            left = "^" + text[a:start]
+            if (lefts is None or ("filling", left) in lefts) and not inside(start, b) and not NO_NAME.search(text, start, b):
+                yield "filling", start, b, left, "P"
     others = [("person_name", m) for m in LATIN_NAME.finditer(text)]
     if _SEVEN.search(text):
         others += [("phone", m) for m in LOOSE_PHONE.finditer(text) if 7 <= len(_DIGITS.findall(m[0])) <= 13]
+        others += [("id_number", m) for m in LOOSE_ID.finditer(text)]
+    if _ANY_AT.search(text):
+        others += [("email", m) for m in LOOSE_EMAIL.finditer(text)]
     for kind, m in others:
         if not inside(*m.span()):
             yield kind, m.start(), m.end(), left_of(text, m.start()), right_of(text, m.end())
+    if _PLACED.search(text):
+        for m in LOOSE_ADDRESS.finditer(text):
+            a, b = m.span()
+            b = a + len(text[a:b].rstrip())
+            for start in range(a + 1, min(a + 4, b - 5) + 1):
+                if not inside(start, b):
+                    yield "address", start, b, left_of(text, start), right_of(text, b)
 
 
 _DIGITS = re.compile(r"\d")
 _COMPOUND_SET = frozenset(COMPOUND.split("|"))
 EDGE = T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "left", "right", "instance")] + [T.StructField("seed", T.BooleanType())])
+PATTERN = ("kind", "left", "right")
 
 
 def edges(texts: DataFrame) -> DataFrame:
@@ -196,45 +251,49 @@ def edges(texts: DataFrame) -> DataFrame:
                 plain, _ = fold(text)
                 taken = strict(plain)
                 for a, b, kind in taken:
-                    if kind == "phone":
-                        rows.add((kind, left_of(plain, a), right_of(plain, b), plain[a:b], True))
+                    rows.add((kind, left_of(plain, a), right_of(plain, b), plain[a:b], True))
                 for kind, a, b, left, right in candidates(plain, taken):
                     rows.add((kind, left, right, plain[a:b], kind == "person_name" and (left, right) in SEED_PATTERNS))
             yield pd.DataFrame(list(rows), columns=EDGE.names)
 
-    return texts.select("text").mapInPandas(run, EDGE).groupBy("kind", "left", "right", "instance").agg(F.max("seed").alias("seed"))
+    return texts.select("text").mapInPandas(run, EDGE).groupBy(*PATTERN, "instance").agg(F.max("seed").alias("seed"))
 
 
 def induce(
-    texts: DataFrame, rounds: int = 3, min_confidence: float = 0.4, min_support: int = 3, max_patterns: int = 100_000
+    texts: DataFrame, rounds: int = 3, min_confidence: float = 0.4, min_support: int = 3, min_purity: float = 0.6, max_patterns: int = 1_000_000
 ) -> dict[tuple[str, str, str], float]:
     """High-confidence patterns (kind, left, right) with their confidence, learned from column ``text``."""
     ensure_checkpoint_dir(texts.sparkSession)
-    graph = edges(texts).checkpoint()
-    total = graph.count()
-    support = max(min_support, -(-total // max_patterns))
-    pattern = ["kind", "left", "right"]
+    # The graph itself is of hashes; names of patterns and instances stay in their own tables.
+    named = edges(texts).select(*PATTERN, "instance", "seed", F.xxhash64(*PATTERN).alias("p"), F.xxhash64("kind", "instance").alias("i")).checkpoint()
     # Patterns with too few distinct instances can't be kept; leaving them out first keeps the graph small.
-    busy = graph.groupBy(*pattern).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support)
-    graph = graph.join(busy, pattern).checkpoint()
-    nodes = graph.groupBy("kind", "instance").agg(F.max("seed").alias("seed"))
+    support = named.groupBy("p").agg(*[F.first(c).alias(c) for c in PATTERN], F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_support).checkpoint()
+    whole = named.join(support.select("p"), "p")
+    graph = whole.filter(F.col("kind") != "filling").select("p", "i", "kind", "instance", "seed").checkpoint()
+    nodes = graph.groupBy("i").agg(F.first("kind").alias("kind"), F.first("instance").alias("instance"), F.max("seed").alias("seed"))
+    graph = graph.select("p", "i")
     parts = nodes.withColumn(
         "part", F.explode(F.when(F.col("instance").contains(" "), F.split("instance", " ")).otherwise(F.split(F.substring("instance", 2, 9), "")))
     ).filter((F.col("kind") == "person_name") & (F.col("part") != ""))
     known = parts.filter("seed").groupBy("part").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("part", F.lit(1.0).alias("known"))
-    prior = parts.join(known, "part", "left").groupBy("kind", "instance").agg(F.avg(F.coalesce("known", F.lit(0.0))).alias("prior"))
+    prior = parts.join(known, "part", "left").groupBy("i").agg(F.avg(F.coalesce("known", F.lit(0.0))).alias("prior"))
     start = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("prior", F.lit(0.0)) * 0.5)
-    base = nodes.join(prior, ["kind", "instance"], "left").select("kind", "instance", "seed", F.coalesce("prior", F.lit(0.0)).alias("prior"), start.alias("score")).checkpoint()
-    scores, confidence = base.select("kind", "instance", "score"), None
+    base = nodes.join(prior, "i", "left").select("i", "seed", F.coalesce("prior", F.lit(0.0)).alias("prior"), start.alias("score")).checkpoint()
+    scores, confidence = base.select("i", "score"), None
     for _ in range(rounds):
-        confidence = graph.join(scores, ["kind", "instance"]).groupBy(*pattern).agg(F.avg("score").alias("mean"), F.count(F.lit(1)).alias("n"))
-        confidence = confidence.withColumn("confidence", F.col("mean") * F.col("n") / (F.col("n") + 1)).checkpoint()
-        reach = graph.join(confidence, pattern).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.99)))))).alias("reach"))
+        confidence = graph.join(scores, "i").groupBy("p").agg(F.avg("score").alias("mean"), F.count(F.lit(1)).alias("n"))
+        confidence = confidence.select("p", (F.col("mean") * F.col("n") / (F.col("n") + 1)).alias("confidence")).checkpoint()
+        reach = graph.join(confidence, "p").groupBy("i").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.99)))))).alias("reach"))
         rated = F.when(F.col("seed"), 1.0).otherwise(F.col("prior") * F.greatest(F.lit(0.5), F.col("reach")))
-        scores = base.join(reach, ["kind", "instance"]).select("kind", "instance", rated.alias("score"))
+        scores = base.join(reach, "i").select("i", rated.alias("score"))
     told = F.length(F.regexp_replace("left", r"[\^\s\p{P}0-9]", "")) > 0  # a boundary alone says nothing
-    kept = confidence.filter((F.col("confidence") >= min_confidence) & told).select(*pattern, "confidence").collect()  # max_patterns at most
-    return {(r.kind, r.left, r.right): r.confidence for r in kept}
+    kept = confidence.join(support, "p").filter((F.col("confidence") >= min_confidence) & told).select(*PATTERN, "confidence", "n")
+    # Of the fillings of a name pattern, those that begin with a listed surname.
+    listed = F.avg(F.col("instance").rlike(f"^(?:{COMPOUND}|[{SURNAMES}])").cast("double"))
+    pure = whole.filter(F.col("kind") == "filling").groupBy("left", "right").agg(listed.alias("purity"), F.count(F.lit(1)).alias("fillings")).filter(F.col("purity") >= min_purity)
+    free = kept.filter(F.col("kind") == "person_name").join(pure, ["left", "right"]).select(F.lit("filling").alias("kind"), "left", "right", (F.col("confidence") * F.col("purity")).alias("confidence"), F.col("fillings").alias("n"))
+    best = kept.unionByName(free).orderBy(F.desc("confidence"), F.desc("n"), *PATTERN).limit(max_patterns).collect()
+    return {(r.kind, r.left, r.right): r.confidence for r in best}
 
 
 def find(text: str, patterns: dict[tuple[str, str, str], float], lefts: set | None = None) -> list[tuple[int, int, str]]:
@@ -242,10 +301,11 @@ def find(text: str, patterns: dict[tuple[str, str, str], float], lefts: set | No
     taken = strict(text)
     best: dict[int, tuple[float, int, str]] = {}
     for kind, a, b, left, right in candidates(text, taken, lefts):
-        confidence = patterns.get((kind, left, right), 1.0 if kind == "person_name" and (left, right) in SEED_PATTERNS else 0.0)
+        confidence = patterns.get((kind, left, right), 1.0 if kind in NAMES and (left, right) in SEED_PATTERNS else 0.0)
         if not confidence:
             continue
-        if kind == "person_name" and TITLES.match(text[b:]) or (kind == "phone" and NOT_PERSONAL.search(text, max(0, a - 12), a)):
+        kind = "person_name" if kind == "filling" else kind
+        if kind == "person_name" and TITLES.match(text[b:]) or (kind in ("phone", "id_number") and NOT_PERSONAL.search(text, max(0, a - 12), a)):
             continue
         if a not in best or (confidence, b) > best[a][:2]:
             best[a] = (confidence, b, kind)
@@ -256,7 +316,7 @@ def find(text: str, patterns: dict[tuple[str, str, str], float], lefts: set | No
 
 
 def known_lefts(patterns: dict) -> set[tuple[str, str]]:
-    return {(kind, left) for kind, left, _ in patterns} | {("person_name", left) for left, _ in SEED_PATTERNS}
+    return {(kind, left) for kind, left, _ in patterns} | {(kind, left) for kind in NAMES for left, _ in SEED_PATTERNS}
 
 
 def mask(text: str, patterns: dict, lefts: set | None = None) -> tuple[str, list[str]]:

@@ -114,6 +114,35 @@ def test_types(text, kinds):
     assert P.mask(text, {})[1] == kinds
 
 
+@pytest.mark.parametrize("name", ["张伟", "仝志强", "冼星海", "麦嘉琪", "阿依古丽"])
+def test_names_of_any_surname_after_a_strong_pattern(name):
+    assert P.mask(f"你好，我叫{name}，想报名", {})[0] == "你好，我叫<person_name>，想报名"
+    patterns = {("person_name", "签的是", "P"): 0.9, ("filling", "^签的是", "P"): 0.9}
+    assert P.mask(f"签的是{name}", patterns, P.known_lefts(patterns))[1] == ["person_name"]
+
+
+@pytest.mark.parametrize("text", ["我叫什么", "我叫老师", "我叫你一声", "姓名：不填"])
+def test_fillings_that_are_no_names(text):
+    assert P.mask(text, {})[1] == []
+
+
+def test_contexts_find_looser_forms_of_every_type(spark):
+    texts = [f"邮箱是a{i}@x{i}.org" for i in range(20)] + [f"证件号：{110101 + i}19900101{1000 + i}" for i in range(20)]
+    texts += [f"住址在柳溪路{i + 1}号" for i in range(20)] + [f"地址写桐砂里{i + 1}号" for i in range(20)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    patterns = P.induce(df)
+    assert P.mask("邮箱是ab#x.org", patterns) == ("邮箱是<email>", ["email"])
+    assert P.mask("证件号：110101990101123", patterns) == ("证件号：<id_number>", ["id_number"])
+    assert P.mask("地址写幸福里三期西二门7层", patterns) == ("地址写<address>", ["address"])
+    assert P.mask("图号ab#x.org，单号110101990101123", patterns)[1] == []
+
+
+def test_odd_letters_and_accents_are_read_as_plain():
+    assert P.mask("nаme is Ilsа Quillfeather", {})[0] == "nаme is <person_name>"
+    assert P.mask("邮箱a\u0301b@x.org", {})[0] == "邮箱<email>"
+    assert P.mask("讲义寄到桐柳路４０号吧", {})[0] == "讲义寄到<address>吧"
+
+
 def test_rest_stays_to_the_character():
     assert P.mask("A，​我叫陆鹿，电话16482476710！", {})[0] == "A，​我叫<person_name>，电话<phone>！"
     assert P.mask("讲义寄到桐柳路40号吧", {})[0] == "讲义寄到<address>吧"
