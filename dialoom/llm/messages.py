@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Speaker and time heads of the line layouts.
-HEAD = r"^\s*(?:\[[^\]\n]{1,20}\](?:\[[^\]\n]{0,40}\])?|客户|销售|CSM|系统)\s*[:：]\s?"
+HEAD = r"^\s*(?:\[[^\]\n]++\](?:\[[^\]\n]*+\])?|客户|销售|CSM|系统)\s*[:：]\s?"
 
 
 def history_messages(history: Column) -> Column:

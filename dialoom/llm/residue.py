@@ -1,15 +1,15 @@
 """Template residue and error-page text (problem 6).
 
 Method: a regularised linear classifier over hashed character n-grams, length and title features (the n-grams of
-a segment's opening) scores every segment of every message. Its weak labels come from response statuses and
-phrases; segments whose only mark could also be a person's own word (``undefined``, ``XX``) stay unlabelled, so
-what surrounds such a mark decides. It is fitted on a bounded sample (``max_positive`` and ``max_negative``
-segments, both documented parameters, in hash order) and its threshold is set on hosts that the fit has not seen
-(``host`` is the sales desk): the largest with a recall of ``recall`` there. An exact check for a mark of any of
-the four kinds follows the classifier. A segment without a listed phrase counts above a stricter threshold, half the
-median score of those hosts' weak positives, if nothing in it shows a person speaking (``PERSON``) and it is not too
-short to tell. As it would be a weak negative itself, a cross-fit in two halves takes such segments out of the
-negatives first: those that the half without them scores that high.
+a segment's opening) scores every segment of every message, and its score alone decides. Its weak labels come from
+response statuses and phrases; segments whose only mark could also be a person's own word (``undefined``, ``XX``) stay
+unlabelled, so what surrounds such a mark decides. It is fitted on a bounded sample (``max_positive`` and
+``max_negative`` distinct segments, both documented parameters, in hash order); its threshold is the one with the best
+F1 on hosts that the fit has not seen (``host`` is the sales desk), in the middle of the gap there.
+
+No phrase list is complete, so a segment of residue without a listed phrase is among the weak negatives. A cross-fit
+over folds of equal openings takes out the negatives that a fit without their fold clearly scores as residue (above half
+the median of the positives there), if nothing in them shows a person speaking (``PERSON``) and they are not too short to tell.
 
 Behaviour at the edges
 ----------------------
@@ -22,6 +22,7 @@ Behaviour at the edges
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,37 +38,43 @@ LENGTH_STEPS = 12
 
 #: Marks of an unfilled slot that people don't type.
 SLOT = (
-    r"\{\{[^{}]{0,60}\}\}|[$#]\{[^{}]{0,60}\}|<<[^<>]{1,60}>>|@@[^@]{1,60}@@|\{%[^{}]{0,60}%\}|<%[^<>]{0,60}%>"
-    r"|\[\[[^\[\]]{1,60}\]\]|\{[\w. ]{1,40}\}|%\([^()]{1,40}\)s|%\d+\$s|N/A_NAME|__\w{1,40}?__"
-    r"|[（(【\[「][^）)】\]」]{0,20}(?:此处填|待填|请填写|插入|待补)[^）)】\]」]{0,30}[）)】\]」]|\*{2,}待定\*{2,}|\[object object\]"
+    r"\{\{[^{}]*+\}\}|[$#]\{[^{}]*+\}|<<[^<>]++>>|@@[^@]++@@|\{%[^{}]*%\}|<%[^<>]*%>"
+    r"|\[\[[^\[\]]++\]\]|\{[\w. ]++\}|%\([^()]++\)s|%\d+\$s|N/A_NAME|__\w+?__"
+    r"|[（(【\[「][^（(【\[「）)】\]」]*(?:此处填|待填|请填写|插入|待补)[^）)】\]」]*+[）)】\]」]|\*{2,}待定\*{2,}|\[object object\]"
 )
 #: Marks that a person may also mention.
 DOUBTFUL = r"XX+|某某某?|_{3,}|undefined|null|(?<![A-Za-z])nan(?![A-Za-z])|%[ds]|待定"
-FILLER = r"lorem\s+ipsum|ipsum\s+dolor|dolor\s+sit\s+amet|sit\s+amet|amet\s+consectetur|consectetur\s+adipiscing|sed\s+do\s+eiusmod|此处填写|\bTODO\b|\bTBD\b|占位文字|示例文[字本]|测试文本|测试内容|此处为文案|内容待定|文案整理中|(?:话术|文案|内容)待补充?|替换为实际内容|text goes here|replace before publishing"
+#: Phrases of filler texts, of error pages with their response statuses, and of notices that demand scripts.
+FILLER = (
+    r"lorem\s+ipsum", r"ipsum\s+dolor", r"dolor\s+sit\s+amet", r"sit\s+amet", r"amet\s+consectetur", r"consectetur\s+adipiscing", r"sed\s+do\s+eiusmod", "此处填写", r"\bTODO\b", r"\bTBD\b",
+    "占位文字", "示例文[字本]", "测试文本", "测试内容", "此处为文案", "内容待定", "文案整理中", "(?:话术|文案|内容)待补充?", "替换为实际内容", "text goes here", "replace before publishing",
+)
 STATUS = (
-    r"\b[45]\d\d\s+(?:bad request|unauthorized|forbidden|not found|method not allowed|request time-?out|too many requests|internal server error|bad gateway|service unavailable|gateway time-?out)"
-    r"|<html|</?h1>|<title>|traceback\b|(?:error|exception)\s+at\s+handler|[{,]\s*\"(?:code|msg|trace)\"\s*:"
-    r"|错误代码|服务器?(?:开小差|异常|繁忙|错误)|加载失败.{0,3}点击重试|页面走丢|页面不存在|链接已失效|an unexpected error has occurred|err_code_|server cannot process|site can.?t be reached|access denied|do(?:es)? not have permission"
-    r"|something went wrong|try again later|timed out while|page you requested|could not be found|会话已过期|重新登录后再访问|访问人数过多|系统繁忙|请稍后(?:再试|重试)|没有权限访问|无法打开此内容|访问的页面|即将返回首页"
-)
-SCRIPT = (
-    r"<noscript|启用\s*javascript|(?:enable|turn on)\s+(?:javascript|scripts?|scripting)|need to enable|requires? (?:scripting|javascript)"
-    r"|为了正常浏览|请打开\s*js|需要运行脚本|不支持脚本|脚本被禁用|请.{0,8}开启脚本"
-)
-CERTAIN = rf"(?iU)(?:{SLOT}|{FILLER}|{STATUS}|{SCRIPT})"
-EVIDENCE = rf"(?iU)(?:{SLOT}|{FILLER}|{STATUS}|{SCRIPT}|{DOUBTFUL})"
+    r"\b[45]\d\d\s+(?:bad request|unauthorized|forbidden|not found|method not allowed|request time-?out|too many requests|internal server error|bad gateway|service unavailable|gateway time-?out)",
+    "<html|</?h1>|<title>", r"traceback\b|(?:error|exception)\s+at\s+handler", r"[{,]\s*\"(?:code|msg|trace)\"\s*:",
+    "错误代码", "服务器?(?:开小差|异常|繁忙|错误)", "加载失败.{0,3}点击重试", "页面走丢", "页面不存在", "链接已失效", "an unexpected error has occurred", "err_code_", "server cannot process", "site can.?t be reached",
+    "access denied", "do(?:es)? not have permission", "something went wrong", "try again later", "timed out while", "page you requested", "could not be found", "会话已过期", "重新登录后再访问",
+    "访问人数过多", "系统繁忙", "请稍后(?:再试|重试)", "没有权限访问", "无法打开此内容", "访问的页面", "即将返回首页",
+)
+NOTICE = (
+    "<noscript", r"启用\s*javascript", r"(?:enable|turn on)\s+(?:javascript|scripts?|scripting)", "need to enable", r"requires? (?:scripting|javascript)", "为了正常浏览", r"请打开\s*js", "需要运行脚本", "不支持脚本",
+    "脚本被禁用", "请.{0,8}开启脚本",
+)
+PHRASES = FILLER + STATUS + NOTICE
 #: All slots and doubtful marks count as one sign for the n-grams, so the sentence around a mark decides.
 SIGN = re.compile(rf"(?i){SLOT}|{DOUBTFUL}")
+SIGN_FORM = "¤¤¤"
 #: Turns of phrase of somebody who talks about such things.
 OWN_WORDS = r"是什么意思|什么原因|我不会|怎么弄|怎么办|看不懂|我自己|吗\W*$|吧\W*$|是不是|对吗|打不开"
 
-#: Somebody who speaks, and the fewest characters that can tell; used where no phrase is listed, apart from the labels.
+#: Somebody who speaks, and the fewest characters that can tell: such segments stay weak negatives.
 PERSON = rf"(?i)我|咱|俺|\bI\b|\bmy\b|{OWN_WORDS}"
 LEAST_UNLISTED = 8
+FOLDS, FOLD_OPENING = 3, 3
 
 
 #: Line and sentence ends, media and line-break tokens, and a gap between two runs of Chinese.
-CUT = r"[\n\r。！？；]+|<(?:newline|image_\d+|voice_\d+)>|\[image:[^\]\n]{0,80}\]|(?<=[\u4e00-\u9fff\])0-9])\s+(?=[\u4e00-\u9fff【{$#<\[])"
+CUT = r"[\n\r。！？；]+|<(?:newline|image_\d+|voice_\d+)>|\[image:[^\]\n]*+\]|(?<=[一-鿿\])0-9])\s+(?=[一-鿿【{$#<\[])"
 
 
 def segments(text: Column) -> Column:
@@ -78,7 +85,8 @@ def segments(text: Column) -> Column:
 
 def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, feature, value) triples of a batch of texts, all vectorised."""
-    texts = [SIGN.sub("\u00a4", t).lower() for t in texts]
+    written = np.array([len(t) for t in texts], dtype=np.int64)
+    texts = [SIGN.sub(SIGN_FORM, t).lower() for t in texts]
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     codes = np.where((codes >= 48) & (codes <= 57), np.uint64(48), codes)
@@ -104,19 +112,18 @@ def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     d = np.concatenate(docs) if docs else np.zeros(0, np.int64)
     f = np.concatenate(feats).astype(np.int64) if feats else np.zeros(0, np.int64)
     value = 1.0 / np.sqrt(np.maximum(1, np.bincount(d, minlength=len(texts))))
-    size = np.minimum(LENGTH_STEPS - 1, np.log2(np.maximum(1, lengths)).astype(np.int64))
+    size = np.minimum(LENGTH_STEPS - 1, np.log2(np.maximum(1, written)).astype(np.int64))
     every = np.arange(len(texts))
     return np.concatenate([d, every]), np.concatenate([f, (1 << BITS) + size]), np.concatenate([value[d], np.ones(len(texts))])
 
 
 @dataclass
 class Residue:
-    """A fitted classifier: one weight per hashed feature and length step, and the thresholds with and without a listed phrase."""
+    """A fitted classifier: one weight per hashed feature and length step, the threshold, and how unseen hosts were judged."""
 
     weights: np.ndarray
     threshold: float
     unseen: dict[str, float]
-    strict: float = float("inf")
 
     def score(self, texts: list[str]) -> np.ndarray:
         d, f, v = _features(texts)
@@ -142,29 +149,43 @@ def _unlisted_text(text: str) -> bool:
 
 
 def _without_suspects(texts: list[str], labels: np.ndarray) -> np.ndarray:
-    """Places of the rows to fit on: all but the negatives that a fit on the other half takes for residue."""
-    half, suspect = np.arange(len(texts)) % 2, np.zeros(len(texts), bool)
-    for h in (0, 1):
-        fit, rest = np.flatnonzero(half != h), np.flatnonzero(half == h)
-        if not labels[fit].any() or not labels[rest].any():
+    """Places of the rows to fit on: all but the negatives that a fit on the other folds takes for residue.
+
+    Texts that open alike are in one fold, so copies of an unlisted template don't vouch for each other.
+    """
+    fold, suspect = np.array([zlib.crc32(t[:FOLD_OPENING].encode("utf-8", "replace")) % FOLDS for t in texts]), np.zeros(len(texts), bool)
+    for k in range(FOLDS):
+        fit, rest = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if not labels[fit].any() or labels[fit].all() or not len(rest):
             continue
-        scores = Residue(fit_linear([texts[i] for i in fit], labels[fit]), 0.0, {}).score([texts[i] for i in rest])
-        high = (labels[rest] == 0) & (scores >= max(0.0, float(np.median(scores[labels[rest] == 1])) / 2))
-        suspect[[i for i in rest[high] if _unlisted_text(texts[i])]] = True
+        scores = Residue(fit_linear([texts[i] for i in fit], labels[fit], rounds=60), 0.0, {}).score([texts[i] for i in rest])
+        own = scores[labels[rest] == 1]
+        clear = max(0.0, float(np.median(own)) / 2) if len(own) else 0.0
+        suspect[[i for i in rest[(labels[rest] == 0) & (scores > clear)] if _unlisted_text(texts[i])]] = True
     return np.flatnonzero(~suspect)
 
 
+def best_threshold(scores: np.ndarray, truth: np.ndarray) -> float:
+    """The cut with the best F1, in the middle between the two scores that it parts."""
+    order = np.argsort(-scores, kind="stable")
+    s, hits = scores[order], np.cumsum(truth[order])
+    f1 = 2 * hits / (np.arange(1, len(s) + 1) + max(1, truth.sum()))
+    f1[:-1][s[:-1] == s[1:]] = -1.0  # equal scores can't be parted
+    at = int(np.argmax(f1))
+    return float((s[at] + s[at + 1]) / 2 if at + 1 < len(s) else s[at])
+
+
 def train(
-    pieces: DataFrame, host_col: str, max_positive: int = 4000, max_negative: int = 8000, recall: float = 0.998, held_out: int = 5, without: str | None = None
+    pieces: DataFrame, host_col: str, max_positive: int = 4000, max_negative: int = 8000, held_out: int = 5, withheld: frozenset[str] = frozenset()
 ) -> Residue | None:
     """Fit on a bounded sample of weakly labelled segments (column ``segment``); None without a weak positive.
 
-    One host in ``held_out``, by hash, is kept from the fit: what only such hosts say sets the thresholds.
-    ``without``: segments of this pattern are left out, to measure the strict threshold on a family of phrases not seen.
+    One host in ``held_out``, by hash, is kept from the fit: what only such hosts say sets the threshold.
+    ``withheld``: phrases that the labels don't know, to measure how far the classifier reaches beyond its lists.
     """
-    if without is not None:
-        pieces = pieces.filter(~F.col("segment").rlike(without))
-    label = F.when(F.col("segment").rlike(CERTAIN), 1).when(~F.col("segment").rlike(EVIDENCE) | F.col("segment").rlike(OWN_WORDS), 0)
+    listed = "|".join([SLOT, *(x for x in PHRASES if x not in withheld)])
+    certain, evidence = rf"(?iU)(?:{listed})", rf"(?iU)(?:{listed}|{DOUBTFUL})"
+    label = F.when(F.col("segment").rlike(certain), 1).when(~F.col("segment").rlike(evidence) | F.col("segment").rlike(OWN_WORDS), 0)
     kept_out = F.pmod(F.xxhash64(F.coalesce(F.col(host_col), F.lit(""))), F.lit(held_out)) == 0
     distinct = pieces.select("segment", kept_out.alias("out")).groupBy("segment").agg(F.bool_and("out").alias("unseen"))
     once = distinct.select("segment", "unseen", label.alias("label")).filter(F.col("label").isNotNull()).persist()
@@ -179,14 +200,11 @@ def train(
     fitted = [r for r in rows if not r.unseen] or rows
     texts, labels = [r.segment for r in fitted], np.array([float(r.label) for r in fitted])
     kept = _without_suspects(texts, labels)
-    weights = fit_linear([texts[i] for i in kept], labels[kept])
-    model = Residue(weights, 0.0, {})
+    model = Residue(fit_linear([texts[i] for i in kept], labels[kept]), 0.0, {})
     unseen = [r for r in rows if r.unseen]
-    judge = unseen if any(r.label for r in unseen) else rows
+    judge = unseen if len({r.label for r in unseen}) == 2 else rows
     scores, truth = model.score([r.segment for r in judge]), np.array([r.label for r in judge])
-    positive = np.sort(scores[truth == 1])
-    model.threshold = min(0.0, float(positive[int((1 - recall) * len(positive))]))
-    model.strict = max(0.0, float(np.median(positive)) / 2)
+    model.threshold = best_threshold(scores, truth)
     hit = scores >= model.threshold
     model.unseen = {"segments": len(judge), "precision": float(truth[hit].mean()) if hit.any() else 1.0, "recall": float(hit[truth == 1].mean())}
     return model
@@ -198,17 +216,12 @@ def found(fields: DataFrame, id_cols: list[str], messages_col: str, host_col: st
     model = model or train(pieces, host_col)
     if model is None:
         return fields.select(*id_cols).limit(0)
-    shared = fields.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.threshold, model.strict))
+    shared = fields.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.threshold))
 
-    @F.pandas_udf("int")
-    def level(texts: pd.Series) -> pd.Series:
-        """2 above the strict threshold, 1 above the other one."""
-        weights, threshold, strict = shared.value
+    @F.pandas_udf("boolean")
+    def is_residue(texts: pd.Series) -> pd.Series:
+        weights, threshold = shared.value
         place, once = pd.factorize(texts)  # talk repeats itself: each text of a batch is scored once
-        scores = Residue(weights, threshold, {}).score(once.tolist())
-        return pd.Series(((scores >= threshold).astype(np.int32) + ((scores >= threshold) & (scores >= strict)))[place])
+        return pd.Series((Residue(weights, threshold, {}).score(once.tolist()) >= threshold)[place])
 
-    segment = F.col("segment")
-    unlisted = (F.col("level") == 2) & (F.length("segment") >= LEAST_UNLISTED) & ~segment.rlike(PERSON)
-    judged = pieces.withColumn("level", level("segment")).filter((F.col("level") >= 1) & (segment.rlike(EVIDENCE) | unlisted))
-    return judged.select(*id_cols).distinct()
+    return pieces.filter(is_residue("segment")).select(*id_cols).distinct()
