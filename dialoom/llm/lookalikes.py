@@ -1,9 +1,12 @@
 """Visually identical text with different characters (problem 5).
 
-Method: a trie of the corpus's own clean words is walked by a weighted edit automaton. Look-alike letters,
-full-width forms, separate accents and ignorable characters cost nothing, anything else costs more than the
-allowed zero; of the words reached at the end of a token the most frequent spelling is taken. Tokens that reach
-none, and everything between tokens, are normalised by table (the same zero-cost relation without a vocabulary).
+Method: a trie of the corpus's own clean words is walked by a weighted edit automaton. Each unit of a token (a
+character with the accents and hidden characters after it) may be read as itself, as its look-alike, its plain or its
+composed form at no cost; any other letter, a letter more or a letter less costs one each, which the limit of
+``MAX_COST`` (zero) rules out. Of the words reached at the end of a token the cheapest and then most frequent spelling
+is taken, and the kinds of the zero-cost edits on the way to it are the oddities of the token: a row is found by the
+edits that its tokens took. Tokens that reach no word, and everything between tokens, are normalised by table (the same
+zero-cost relation without a vocabulary), with the kinds of the substitutions made.
 
 The vocabulary is counted over all texts. Words of at least ``min_share`` of all word occurrences are kept, so
 the trie has at most ``1 / min_share`` words whatever the size of the corpus; a rarer word is normalised by table.
@@ -14,6 +17,9 @@ Behaviour at the edges
 * an emoji's own joiners, variation selectors and tags stay, ordinary Chinese punctuation stays;
 * precomposed accents stay; a base letter with a separate accent becomes the precomposed letter where there is one;
 * words wholly in another script stay; texts of any length are handled whole; ties of frequency go to the smaller word;
+* ligatures, mathematical letters and digits and Roman numerals take their plain form, kind ``compatibility``, which is
+  none of the six KINDS of oddity;
+* a letter of another script that looks like no Latin one stays within its word;
 * the given columns are added under the names asked for; other columns pass through.
 """
 
@@ -28,11 +34,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Letters of other scripts and the Latin letters that they look like.
+# Letters of other scripts and the Latin letters that they look like, script by script.
 LOOKALIKES = dict(
     zip(
-        "АВЕЗКМНОРСТУХабвгеёзикмнопрстухѕіјһԁԛԝѵЅІЈ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορτυικχγ",
-        "ABE3KMHOPCTYXa6Breë3ukMHonpcTyxsijhdqwvSIJ" + "ABEZHIKMNOPTYXavoptuikxy",
+        "АВЕЗКМНОРСТУХЅІЈЬҮҺӀԌԚԜѴабвгеёзикмнопрстухѕіјһӏԁԛԝѵьүѡ"  # Cyrillic
+        "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿανορτυικχγηωϲϳ"  # Greek
+        "ՍՏՕՀԼազհյոռսցօքլ"  # Armenian
+        "ᎠᎡᎢᎥᎩᎪᎫᎬᎷᎻᎽᏀᏂᏃᏎᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏳᏴᎳ"  # Cherokee
+        "ⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲓⲟⲣⲥⲭ"  # Coptic
+        "ჿႽ"  # Georgian
+        "וןס"  # Hebrew
+        "اه",  # Arabic
+        "ABE3KMHOPCTYXSIJbYhIGQWVa6Breë3ukMHonpcTyxsijhldqwvbyw"
+        "ABEZHIKMNOPTYXCJavoptuikxynwcj"
+        "USOZLwqhjnnugofl"
+        "DRTiyAJEMHYGhZ4bRWSVSLCPKdGBW"
+        "BHIKMNOPCTYXiopcx"
+        "oS"
+        "llo"
+        "lo",
         strict=True,
     )
 )
@@ -40,11 +60,13 @@ OTHER_SCRIPTS = "CYRILLIC|GREEK|ARMENIAN|CHEROKEE|COPTIC|GEORGIAN|HEBREW|ARABIC|
 _JAVA_OTHER = r"\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}\p{IsCherokee}\p{IsCoptic}\p{IsGeorgian}\p{IsHebrew}\p{IsArabic}\p{IsThai}\p{IsDevanagari}"
 #: Texts without any of these are already in the one form; the automaton isn't run on them.
 SUSPECT = (
-    r"[０-９Ａ-Ｚａ-ｚ⺀-⻳⼀-⿕ᅟᅠㅤﾠ]|[\p{Zs}&&[^ ]]|\p{Cf}|\p{Mn}|\p{Me}"
+    r"[０-９Ａ-Ｚａ-ｚ⺀-⻳⼀-⿕ᅟᅠㅤﾠ\x{2100}-\x{2188}\x{fb00}-\x{fb06}\x{1d400}-\x{1d7ff}]|[\p{Zs}&&[^ ]]|\p{Cf}|\p{Mn}|\p{Me}"
     rf"|\p{{IsLatin}}[{_JAVA_OTHER}]|[{_JAVA_OTHER}]\p{{IsLatin}}"
 )
 WORD = r"[A-Za-zÀ-ÖØ-öø-ɏ]{2,}"
 KINDS = ("full_width", "combining", "invisible", "space", "mixed_script", "radical")
+#: What the edits of the automaton beyond the free ones cost, and the most that a token may cost.
+OTHER_EDIT, MAX_COST = 1, 0
 _FILLERS = "ᅟᅠㅤﾠ"
 
 
@@ -74,6 +96,8 @@ def _kind(ch: str) -> str:
         return "invisible"
     if category == "Zs":
         return "space"
+    if category in ("Lu", "Ll", "Lo", "Nl", "Nd") and unicodedata.decomposition(ch).startswith(("<font>", "<compat>")) and unicodedata.normalize("NFKC", ch).isascii():
+        return "compatibility"
     if category in ("Mn", "Me") and (0x300 <= o <= 0x36F or 0x1AB0 <= o <= 0x1AFF or 0x1DC0 <= o <= 0x1DFF or 0x20D0 <= o <= 0x20FF or 0xFE20 <= o <= 0xFE2F):
         return "combining"
     return ""
@@ -122,43 +146,105 @@ def emoji_parts(text: str) -> set[int]:
 @lru_cache(maxsize=1 << 16)
 def _table(ch: str) -> str:
     kind = _kind(ch)
-    if kind in ("full_width", "radical"):
+    if kind in ("full_width", "radical", "compatibility"):
         return unicodedata.normalize("NFKC", RADICALS.get(ch, ch))
     return "" if kind == "invisible" else " " if kind == "space" else ch
 
 
+@lru_cache(maxsize=1 << 16)
+def _readings(unit: str) -> tuple[tuple[str, frozenset[str]], ...]:
+    """What a unit may be read as at no cost: (character of a word, kinds of the edits), the fewest edits first.
+
+    A unit is a character with the separate accents and hidden characters after it.
+    """
+    base, marks = unit[0], "".join(c for c in unit[1:] if _kind(c) == "combining")
+    edits = frozenset(filter(None, map(_kind, unit)))
+    plain = _table(base)
+    forms = [(plain, edits)] if len(plain) == 1 else []
+    if base in LOOKALIKES:
+        forms.append((LOOKALIKES[base], edits | {"mixed_script"}))
+    out: dict[str, frozenset[str]] = {}
+    for form, kinds in forms:
+        whole = unicodedata.normalize("NFC", form + marks)
+        for c in (whole, form):  # the accent composed, or left out
+            if len(c) == 1:
+                out.setdefault(c, kinds)
+    return tuple(out.items())
+
+
+def units(token: str) -> list[str]:
+    """The characters of a token, each with the accents and hidden characters after it."""
+    out: list[str] = []
+    for ch in token:
+        if out and _kind(ch) in ("combining", "invisible"):
+            out[-1] += ch
+        else:
+            out.append(ch)
+    return out
+
+
 class Trie:
-    """Words as nested dicts over their decomposed characters; the empty key holds (count, spelling)."""
+    """Words as nested dicts over their composed characters; the empty key holds (count, spelling)."""
 
     def __init__(self, words: dict[str, int]) -> None:
         self.root: dict = {}
         for word, count in words.items():
             node = self.root
-            for ch in unicodedata.normalize("NFD", word):
+            for ch in unicodedata.normalize("NFC", word):
                 node = node.setdefault(ch, {})
             best = node.get("")
             if best is None or (-count, word) < (-best[0], best[1]):
                 node[""] = (count, word)
 
-    def spelling(self, token: str) -> str | None:
-        """The most frequent word within zero cost of the token, if any. States are trie nodes."""
-        states = [self.root]
-        for ch in token:
-            if _kind(ch) == "invisible":
-                continue
-            options = set(unicodedata.normalize("NFD", ch)) if len(unicodedata.normalize("NFD", ch)) == 1 else None
-            if options is None:  # a precomposed letter is read as its parts
-                for part in unicodedata.normalize("NFD", ch):
-                    states = [s[part] for s in states if part in s]
-                if not states:
-                    return None
-                continue
-            options |= {_table(ch), LOOKALIKES.get(ch, ch)}
-            states = [s[c] for s in states for c in options if c in s and c]
+    def walk(self, token: str, max_cost: int = MAX_COST) -> tuple[str, frozenset[str]] | None:
+        """The cheapest, then most frequent word within ``max_cost`` of a token and the kinds of the free edits to it.
+
+        The automaton's states are nodes of the trie with the cost and the free edits of the best way to them.
+        """
+        states: dict[int, tuple[int, frozenset[str], dict]] = {id(self.root): (0, frozenset(), self.root)}
+
+        def reach(found: dict, node: dict, cost: int, kinds: frozenset[str]) -> None:
+            held = found.get(id(node))
+            if cost <= max_cost and (held is None or (cost, len(kinds)) < (held[0], len(held[1]))):
+                found[id(node)] = (cost, kinds, node)
+                if cost + OTHER_EDIT <= max_cost:  # a letter that the token lacks
+                    for c, below in node.items():
+                        if c:
+                            reach(found, below, cost + OTHER_EDIT, kinds)
+
+        if OTHER_EDIT <= max_cost:
+            reach(start := {}, self.root, 0, frozenset())
+            states = start
+        for unit in units(token):
+            found: dict[int, tuple[int, frozenset[str], dict]] = {}
+            for cost, kinds, node in states.values():
+                for c, edits in _readings(unit):
+                    if c in node:
+                        reach(found, node[c], cost, kinds | edits)
+                if cost + OTHER_EDIT <= max_cost:
+                    reach(found, node, cost + OTHER_EDIT, kinds)  # a letter too many
+                    for c, below in node.items():  # another letter
+                        if c:
+                            reach(found, below, cost + OTHER_EDIT, kinds)
+            states = found
             if not states:
                 return None
-        found = [s[""] for s in states if "" in s]
-        return min(found, key=lambda x: (-x[0], x[1]))[1] if found else None
+        ends = [(cost, -node[""][0], node[""][1], kinds) for cost, kinds, node in states.values() if "" in node]
+        return min(ends)[2:] if ends else None
+
+    def spelling(self, token: str, max_cost: int = MAX_COST) -> str | None:
+        found = self.walk(token, max_cost)
+        return found and found[0]
+
+
+def by_table(token: str) -> tuple[str, frozenset[str]]:
+    """A token that reaches no word, character by character: its plain form and the kinds of the substitutions."""
+    scripts = {_script(c) for c in token}
+    kinds = set(filter(None, map(_kind, token)))
+    if {"L", "O"} <= scripts:
+        kinds.add("mixed_script")
+    plain = "".join(LOOKALIKES.get(c, c) if "L" in scripts and _script(c) == "O" else _table(c) for c in token)
+    return unicodedata.normalize("NFC", plain), frozenset(kinds)
 
 
 def unify_text(text: str, trie: Trie | None) -> tuple[str, list[str]]:
@@ -178,18 +264,12 @@ def unify_text(text: str, trie: Trie | None) -> tuple[str, list[str]]:
             j += 1
         if j > i:
             token = text[i:j]
-            odd = {k for k in map(_kind, token) if k}
-            if scripts == {"L", "O"}:
-                odd.add("mixed_script")
-            kinds |= odd
-            if odd:
-                word = trie.spelling(token) if trie else None
-                if word is None:
-                    plain = "".join(LOOKALIKES.get(c, c) if "L" in scripts and _script(c) == "O" else _table(c) for c in token)
-                    word = unicodedata.normalize("NFC", plain)
-                out.append(word)
-            else:
+            if token.isascii() or scripts == {"O"} and not any(map(_kind, token)):
                 out.append(token)
+            else:
+                word, edits = (trie and "L" in scripts and trie.walk(token)) or by_table(token)
+                kinds |= edits
+                out.append(word if edits else token)
             i = j
             continue
         kind = "" if i in own else _kind(text[i])
@@ -210,11 +290,11 @@ def suspect(text: Column) -> Column:
 
 def vocabulary(texts: DataFrame, min_share: float = 1e-4, min_count: int = 3) -> dict[str, int]:
     """Clean words of column ``text`` with their counts: at most 1 / min_share of them."""
-    words = texts.select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(WORD), 0)).alias("word")).groupBy("word").count()
-    ensure = words.select("word", "count", F.lit(1).alias("all"))
-    total = ensure.groupBy("all").agg(F.sum("count").alias("total"))
-    kept = ensure.join(F.broadcast(total), "all").filter((F.col("count") >= min_count) & (F.col("count") >= F.col("total") * min_share))
-    return {r["word"]: r["count"] for r in kept.select("word", "count").collect()}
+    words = texts.select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(WORD), 0)).alias("word")).groupBy("word").count().persist()
+    total = words.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    kept = words.filter((F.col("count") >= min_count) & (F.col("count") >= total * min_share)).collect()
+    words.unpersist()
+    return {r["word"]: r["count"] for r in kept}
 
 
 def unify(df: DataFrame, text_col: str, words: dict[str, int], out_col: str = "unified", kinds_col: str = "kinds") -> DataFrame:

@@ -25,7 +25,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = stacked(spark, sf_dir)
     words = lookalikes.vocabulary(texts)
     odd = texts.filter(lookalikes.suspect(F.col("text")))
-    return lookalikes.unify(odd, "text", words).filter(F.size("kinds") > 0).select("source_table", "row_key")
+    return lookalikes.unify(odd, "text", words).filter(F.arrays_overlap("kinds", F.array(*map(F.lit, lookalikes.KINDS)))).select("source_table", "row_key")
 
 
 def p5_unified(spark: SparkSession, sf_dir: str) -> DataFrame:

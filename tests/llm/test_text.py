@@ -29,6 +29,10 @@ TRIE = L.Trie({"résumé": 3, "Word": 9, "word": 2, "café": 5})
         ("👩‍🏫❤️💪🏻 1️⃣", "👩‍🏫❤️💪🏻 1️⃣", []),
         ("好️‍的", "好的", ["invisible"]),
         ("\t\n ", "\t\n ", []),
+        ("Ꮯat ցold", "Cat gold", ["mixed_script"]),
+        ("ﬁne 𝐖ord Ⅻ", "fine Word XII", ["compatibility"]),
+        ("Wоrdі", "Wordi", ["mixed_script"]),
+        ("сор", "сор", []),
         ("", "", []),
     ],
 )
@@ -36,6 +40,23 @@ def test_one_form(text, form, kinds):
     assert L.unify_text(text, TRIE) == (form, kinds)
 
 
+def test_automaton_costs():
+    trie = L.Trie({"word": 5, "ward": 9, "world": 1})
+    assert trie.walk("wоrd") == ("word", frozenset({"mixed_script"}))
+    assert trie.walk("wrd") is None
+    assert trie.walk("wrd", 1)[0] == "ward"  # a letter too few; the more frequent word
+    assert trie.walk("woord", 1)[0] == "word"
+    assert trie.walk("wоrlds", 1) == ("world", frozenset({"mixed_script"}))
+    assert trie.walk("xyz", 2) is None
+
+
+def test_edits_decide_the_kinds():
+    trie = L.Trie({"café": 9, "cafe": 3})
+    assert trie.walk("cafe\u0301") == ("café", frozenset({"combining"}))
+    assert trie.walk("café") == ("café", frozenset())
+    assert L.Trie({"cafe": 3}).walk("cafe\u0301") == ("cafe", frozenset({"combining"}))
+
+
 @settings(max_examples=300)
 @given(st.text(alphabet="aWord éо́​ｗ中，⼀ 👩‍🏫️1", max_size=20))
 def test_one_form_is_stable(text):
