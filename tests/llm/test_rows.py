@@ -129,7 +129,7 @@ def test_any_filter_size_gives_the_same(spark):
     for i, c, t in rows:
         first.setdefault((c, t), i)
     expected = sorted((first[c, t], i) for i, c, t in rows if first[c, t] != i)
-    for options in ({}, {"max_filter_bytes": 4096, "bits_per_row": 1}, {"hot_groups": 1}):
+    for options in ({}, {"max_filter_bytes": 64}, {"range_rows": 7}, {"range_rows": 50, "max_filter_bytes": 16}, {"hot_groups": 1}):
         assert copies(spark, rows, **options) == expected
     df = spark.createDataFrame([(*r, 1, 1, 1, 1) for r in rows], CASES)
     collapsed = D.collapse(df, "case_id", "latest_message", ["customer_id"]).collect()
@@ -142,21 +142,42 @@ def test_any_filter_size_gives_the_same(spark):
 def test_merged_filter_misses_no_repeat(parts):
     import numpy as np
 
-    bits = 1 << 15
-    once, again = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-    for p in parts:
-        values, counts = np.unique(np.array(p, dtype=np.int64), return_counts=True)
-        o, a = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        if len(values):
-            at = D._positions(values, bits)
-            D._put(a, at[counts > 1])
-            D._put(o, at)
-        again |= a | (once & o)
-        once |= o
-    every = [x for p in parts for x in p]
-    repeated = np.array([x for x in set(every) if every.count(x) > 1], dtype=np.int64)
-    if len(repeated):
-        assert D._has(again, D._positions(repeated, bits)).all()
+    for ranges in (1, 3):
+        partials = defaultdict(list)
+        for p in parts:
+            values, counts = np.unique(np.array(p, dtype=np.int64), return_counts=True)
+            for place, hashes, again in D.partial(values, counts > 1, ranges):
+                partials[place].append((hashes, again))
+        for folds in (0, 2):
+            filters = {k: D.merge(v) for k, v in partials.items()}
+            for _ in range(folds):
+                filters = {k: D.fold(f) for k, f in filters.items()}
+            every = [x for p in parts for x in p]
+            repeated = np.array([x for x in set(every) if every.count(x) > 1], dtype=np.int64)
+            assert D.Repeats(filters, ranges).has(repeated).all()
+
+
+@pytest.mark.parametrize("ranges", [1, 8])
+def test_few_singletons_pass_at_any_size(ranges):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    single, twice = rng.integers(-(2**63), 2**63 - 1, 200_000 * ranges), rng.integers(-(2**63), 2**63 - 1, 20_000 * ranges)
+    partials = defaultdict(list)
+    for p in (np.concatenate([single[::2], twice]), np.concatenate([single[1::2], twice])):
+        for place, hashes, again in D.partial(p, np.zeros(len(p), bool), ranges):
+            partials[place].append((hashes, again))
+    repeats = D.Repeats({k: D.merge(v) for k, v in partials.items()}, ranges)
+    assert repeats.has(twice).all()
+    assert repeats.has(single).mean() < 0.02
+    assert len(repeats.bitmap) <= 4.5 * len(twice)
+
+
+def test_items_of_any_length_and_runs_of_any_length(spark):
+    name = "名" * 200
+    assert copies(spark, [(1, "c", f"y:2, {name}:1"), (2, "c", f"{name}:1,y:2"), (3, "c", f"y：2{'。' * 300}{name}：1")]) == [(1, 2), (1, 3)]
+    long = [(1, "c", "a" + " " * 100_000 + "b"), (2, "c", "a" + "。" * 100_000 + "b"), (3, "c", ", " * 50_000 + "ab")]
+    assert copies(spark, long) == [(1, 2), (1, 3)]
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracles()))
