@@ -11,7 +11,7 @@ Behaviour at the edges
 * a message sent again (same conversation and id) counts once, as its earliest loaded copy (then smallest row);
 * a null message id, or ids that are not exactly 1..n, break the conversation; blank texts count for the ids only;
 * a non-blank message without time or with an unknown or null role breaks the conversation;
-* equal times are ordered by message id; texts of any length are kept whole; further columns are ignored.
+* equal times are ordered by message id; texts of any length are kept whole (``with_texts``); further columns are ignored.
 """
 
 from __future__ import annotations
@@ -212,3 +212,14 @@ def rebuild(messages: DataFrame, partitions: int | None = None) -> DataFrame:
 
     role = F.element_at(F.array(F.lit("customer"), F.lit("sales"), F.lit("system")), F.col("code") + 1)
     return ordered.mapInPandas(number, "file_id string, seq int, msg_id long, code int").select("file_id", "seq", "msg_id", role.alias("role"))
+
+
+def with_texts(messages: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(file_id, seq, role, msg_id, at, text): ``rebuild`` with each message's time and whole text.
+
+    Texts take no part in the sort: they are joined to the kept messages, once, by conversation and id.
+    """
+    kept = rebuild(messages, partitions)
+    told = F.min_by(F.struct(F.col("dialogue_time").alias("at"), F.col("processed_text").alias("text")), F.struct("loaded_at", "row_id")).alias("m")
+    texts = messages.filter(F.col("file_id").isNotNull()).groupBy("file_id", F.col("msg_id").cast("long").alias("msg_id")).agg(told)
+    return kept.join(texts, ["file_id", "msg_id"]).select("file_id", "seq", "role", "msg_id", "m.at", "m.text")

@@ -27,6 +27,8 @@ from dialoom.functions.blank import is_blank
 from dialoom.session import ensure_checkpoint_dir
 
 TYPES = ("prose", "list", "table", "junk")
+#: Vote vectors that are broadcast at most; more of them are joined by shuffle.
+MAX_BROADCAST = 1 << 17
 _HAN = r"[\p{IsHan}]"
 _WORD = r"[\p{IsHan}]|[\p{L}&&[^\p{IsHan}]][\p{L}\p{M}'’\-&&[^\p{IsHan}]]*|\p{N}+"
 _ENDS = r"[。！？；.!?;…：:”\"’)）]\s*$"
@@ -116,6 +118,7 @@ def _functions() -> list[tuple[str, str, Column]]:
         ("sentences", "prose", q("stops").between(0.004, 0.08) & (q("mean_line") >= 18) & (q("symbols") < 0.12)),
         ("long_lines", "prose", (q("mean_line") >= 40) & (q("short_lines") < 0.55) & (q("strung") < 0.11) & (q("common") > 0.08)),
         ("worded", "prose", (q("common") >= F.when(q("han") > 0.3, 0.07).otherwise(0.2)) & (q("row_lines") < 0.5) & (q("short_lines") < 0.6) & (q("strung") < 0.12) & (q("marked_lines") < 0.5)),
+        ("ended", "prose", (q("punct_lines") >= 0.6) & (q("mean_line") >= 16) & (q("symbols") < 0.12) & (q("row_lines") < 0.5) & (q("strung") < 0.12) & (q("common") > 0.08)),
         ("rows", "table", (q("row_lines") >= 0.6) & (q("lines") >= 3) & (q("common") < 0.17)),
         ("cells", "table", q("digits").between(0.05, 0.4) & (q("lines") >= 4) & (q("mean_line") < 60) & (q("row_lines") > 0.4)),
         ("delimited", "table", ((q("strung") >= 0.2) | (q("symbols") >= 0.1)) & (q("row_lines") >= 0.5) & (q("lines") >= 3)),
@@ -183,7 +186,8 @@ def types(df: DataFrame, id_col: str, text_col: str, lang_col: str, common_words
     ensure_checkpoint_dir(df.sparkSession)
     measured = statistics(df.select(id_col, text_col, lang_col), text_col, lang_col, common_words)
     voted = measured.filter(~is_blank(F.col(text_col))).select(F.col(id_col).alias("id"), votes().alias("votes")).checkpoint()
-    counts = {r.votes: r["count"] for r in voted.groupBy("votes").count().collect()}  # 2 ** 22 vectors at most
+    counts = {r.votes: r["count"] for r in voted.groupBy("votes").count().collect()}  # 2 ** 23 vectors at most
     learned = [(m, TYPES[int(p.argmax())], float(p.max())) for m, p in learn(counts).items()]
     table = df.sparkSession.createDataFrame(learned, "votes int, kind string, probability double")
-    return voted.join(F.broadcast(table), "votes").select("id", "kind", "probability")
+    table = F.broadcast(table) if len(learned) <= MAX_BROADCAST else table
+    return voted.join(table, "votes").select("id", "kind", "probability")

@@ -20,6 +20,11 @@ def p2_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("file_id").agg(F.count(F.lit(1)).alias("messages"), F.count_if(F.col("role") == "customer").alias("customer_messages"), F.count_if(F.col("role") == "sales").alias("sales_messages"))
 
 
+def p2_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of kept conversations with role, time and text."""
+    return conversations.with_texts(table(spark, sf_dir, "chat_messages"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases that repeat an earlier one of the same customer but for formatting."""
     cases = spread(table(spark, sf_dir, "testset").select("case_id", "customer_id", "latest_message"))
@@ -32,14 +37,14 @@ def p3_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatting_duplicates.collapse(cases, "case_id", "latest_message", ["customer_id"])
 
 
-QUERIES = {"p2_found": p2_found, "p2_roles": p2_roles, "p3_found": p3_found, "p3_collapsed": p3_collapsed}
+QUERIES = {"p2_found": p2_found, "p2_roles": p2_roles, "p2_dialogues": p2_dialogues, "p3_found": p3_found, "p3_collapsed": p3_collapsed}
 
 _P2 = r"""
 WITH once AS (
   SELECT file_id, msg_id, arg_min(struct_pack(t := processed_text, r := sender_role, ts := dialogue_time), struct_pack(l := loaded_at, i := row_id)) AS m
   FROM chat_messages WHERE file_id IS NOT NULL GROUP BY file_id, msg_id),
 flat AS (
-  SELECT file_id, msg_id, m.ts AS ts, coalesce(regexp_matches(m.t, '^[\s\p{Z}]*((?i:nan|none)|\[\]|\{\})?[\s\p{Z}]*$'), TRUE) AS blank,
+  SELECT file_id, msg_id, m.ts AS ts, m.t AS t, coalesce(regexp_matches(m.t, '^[\s\p{Z}]*((?i:nan|none)|\[\]|\{\})?[\s\p{Z}]*$'), TRUE) AS blank,
          lower(regexp_replace(m.r, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS r FROM once),
 coded AS (
   SELECT *, CASE WHEN r IN ('客户', 'customer') THEN 'C' WHEN r IN ('csm', 'sales') OR r LIKE '销售%' THEN 'S' WHEN r IN ('系统', 'system') THEN 'Y' ELSE 'X' END AS code FROM flat),
@@ -53,5 +58,6 @@ kept AS (
 """
 ORACLES = {
     "p2_found": _P2 + "SELECT file_id, CAST(seq AS INT) AS seq, msg_id FROM ranked WHERE file_id IN (SELECT file_id FROM ids) AND file_id IN (SELECT file_id FROM kept)",
+    "p2_dialogues": _P2 + "SELECT file_id, CAST(seq AS INT) AS seq, CASE code WHEN 'C' THEN 'customer' WHEN 'S' THEN 'sales' ELSE 'system' END AS role, msg_id, ts AS \"at\", t AS text FROM ranked WHERE file_id IN (SELECT file_id FROM ids) AND file_id IN (SELECT file_id FROM kept)",
     "p2_roles": _P2 + "SELECT file_id, count(*) AS messages, count(*) FILTER (WHERE code = 'C') AS customer_messages, count(*) FILTER (WHERE code = 'S') AS sales_messages FROM ranked WHERE file_id IN (SELECT file_id FROM ids) AND file_id IN (SELECT file_id FROM kept) GROUP BY file_id",
 }
