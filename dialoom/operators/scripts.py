@@ -82,20 +82,35 @@ def small(df: DataFrame, limit: int = MAX_SCRIPTS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def vectors(texts: DataFrame, key: str, col: Column) -> DataFrame:
-    """(key, gram, tf, norm): bigram counts of a text with the length of the count vector."""
-    grams = texts.select(key, F.explode(T.char_ngrams(col, (2,))).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf"))
-    norms = grams.groupBy(key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    return grams.join(norms, key)
+def _distinct(messages: DataFrame) -> DataFrame:
+    """(id, text) of the distinct texts; the id, a digest, stands for the text in every row that is shuffled."""
+    return messages.select("text").distinct().select(F.unhex(F.md5("text")).alias("id"), "text")
+
+
+def _length(grams: Column) -> Column:
+    """The Euclidean length of the count vector of an array of grams, within the row: runs of the sorted array."""
+    start = F.struct(F.lit("").alias("gram"), F.lit(0).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("total"))
+
+    def step(state: Column, gram: Column) -> Column:
+        run = F.when(gram == state["gram"], state["run"] + 1).otherwise(F.lit(0).cast("bigint"))
+        return F.struct(gram.alias("gram"), run.alias("run"), (state["total"] + 2 * run + 1).alias("total"))
+
+    return F.sqrt(F.aggregate(F.sort_array(grams), start, step, lambda s: s["total"]))
 
 
 def cosine_matches(messages: DataFrame, scripts: DataFrame, threshold: float) -> DataFrame:
-    """(text, script_id, similarity) of distinct texts and scripts whose bigram cosine reaches the threshold."""
-    texts = messages.select("text").distinct()
-    left = vectors(texts, "text", T.match_key(F.col("text")))
-    right = vectors(scripts.select("script_id", "script_text"), "script_id", T.match_key(F.col("script_text"))).select("script_id", "gram", F.col("tf").alias("s_tf"), F.col("norm").alias("s_norm"))
-    dots = left.join(small(right, 40 * MAX_SCRIPTS), "gram").groupBy("text", "script_id", "norm", "s_norm").agg(F.sum(F.col("tf") * F.col("s_tf")).alias("dot"))
-    return dots.select("text", "script_id", F.round(F.col("dot") / (F.col("norm") * F.col("s_norm")), 6).alias("similarity")).filter(F.col("similarity") >= threshold)
+    """(text, script_id, similarity) of distinct texts and scripts whose bigram cosine reaches the threshold.
+
+    Every occurrence of a bigram in a text adds its count in the script, so texts need no counting of their own.
+    """
+    texts = _distinct(messages)
+    counted = scripts.select("script_id", F.explode(T.char_ngrams(T.match_key(F.col("script_text")), (2,))).alias("gram")).groupBy("script_id", "gram").agg(F.count(F.lit(1)).alias("tf"))
+    norms = scripts.select("script_id", _length(T.char_ngrams(T.match_key(F.col("script_text")), (2,))).alias("s_norm"))
+    right = counted.join(small(norms), "script_id")
+    grams = texts.select("id", T.char_ngrams(T.match_key(F.col("text")), (2,)).alias("grams")).select("id", _length(F.col("grams")).alias("norm"), F.explode("grams").alias("gram"))
+    dots = grams.join(small(right, 40 * MAX_SCRIPTS), "gram").groupBy("id", "script_id").agg(F.sum("tf").alias("dot"), F.first("norm").alias("norm"), F.first("s_norm").alias("s_norm"))
+    found = dots.select("id", "script_id", F.round(F.col("dot") / (F.col("norm") * F.col("s_norm")), 6).alias("similarity")).filter(F.col("similarity") >= threshold)
+    return found.join(texts, "id").select("text", "script_id", "similarity")
 
 
 def tfidf_matches(messages: DataFrame, scripts: DataFrame, threshold: float) -> DataFrame:
@@ -108,11 +123,12 @@ def tfidf_matches(messages: DataFrame, scripts: DataFrame, threshold: float) ->
     idf = grams.groupBy("gram").agg((F.log((1 + total) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
     weights = grams.join(idf, "gram").withColumn("w", F.col("tf") * F.col("idf"))
     weights = weights.join(weights.groupBy("script_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n")), "script_id").select("script_id", "gram", (F.col("w") / F.col("n")).alias("sw"))
-    texts = messages.select("text").distinct()
-    own = texts.select("text", F.explode(T.char_ngrams(F.lower("text"))).alias("gram")).groupBy("text", "gram").agg(F.count(F.lit(1)).alias("tf")).join(small(idf, 200 * MAX_SCRIPTS), "gram").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = own.groupBy("text").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
-    dots = own.join(small(weights, 200 * MAX_SCRIPTS), "gram").groupBy("text", "script_id").agg(F.sum(F.col("w") * F.col("sw")).alias("dot"))
-    return dots.join(norms, "text").select("text", "script_id", F.round(F.col("dot") / F.col("n"), 6).alias("similarity")).filter(F.col("similarity") >= threshold)
+    texts = _distinct(messages)
+    own = texts.select("id", F.explode(T.char_ngrams(F.lower("text"))).alias("gram")).groupBy("id", "gram").agg(F.count(F.lit(1)).alias("tf")).join(small(idf, 200 * MAX_SCRIPTS), "gram").withColumn("w", F.col("tf") * F.col("idf"))
+    norms = own.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
+    dots = own.join(small(weights, 200 * MAX_SCRIPTS), "gram").groupBy("id", "script_id").agg(F.sum(F.col("w") * F.col("sw")).alias("dot"))
+    found = dots.join(norms, "id").select("id", "script_id", F.round(F.col("dot") / F.col("n"), 6).alias("similarity")).filter(F.col("similarity") >= threshold)
+    return found.join(texts, "id").select("text", "script_id", "similarity")
 
 
 def lexical_matches(messages: DataFrame, scripts: DataFrame, threshold: float) -> DataFrame:
@@ -131,10 +147,13 @@ def sequence_or_cosine(messages: DataFrame, scripts: DataFrame, threshold: float
 
 
 def _candidates(messages: DataFrame, scripts: DataFrame) -> DataFrame:
-    texts = messages.select("text").distinct()
-    gram = lambda c: F.explode(F.array_distinct(T.char_ngrams(T.match_key(c), (2,))))
-    right = scripts.select("script_id", "script_text", gram(F.col("script_text")).alias("gram"))
-    return texts.select("text", gram(F.col("text")).alias("gram")).join(small(right, 40 * MAX_SCRIPTS), "gram").select("text", "script_id", "script_text").distinct()
+    """Pairs of distinct texts and scripts that share a character of their match keys: no measure here gives a pair
+    without one anything but zero. Each script is found through its characters, so a text meets it at most once."""
+    texts = _distinct(messages)
+    chars = lambda c: F.explode(F.array_distinct(F.filter(F.split(T.match_key(c), ""), lambda x: x != "")))
+    right = scripts.select("script_id", chars(F.col("script_text")).alias("char"))
+    pairs = texts.select("id", chars(F.col("text")).alias("char")).join(small(right, 40 * MAX_SCRIPTS), "char").select("id", "script_id").distinct()
+    return pairs.join(texts, "id").join(small(scripts.select("script_id", "script_text")), "script_id").select("text", "script_id", "script_text")
 
 
 def best_per_path(matches: DataFrame, scripts: DataFrame) -> DataFrame:
@@ -163,14 +182,6 @@ def chains(messages: DataFrame, by_path: DataFrame) -> DataFrame:
     return levels.join(best, ["conv_id", "prefix"]).select("conv_id", "path", "level", "b.pos", "b.similarity")
 
 
-def rank_chains(chain_rows: DataFrame) -> DataFrame:
-    """The best path of each conversation: coverage share, coverage, weakest and strongest link, then the shorter path."""
-    scored = chain_rows.groupBy("conv_id", "path").agg(F.count(F.lit(1)).alias("covered"), F.min("similarity").alias("weakest"), F.max("similarity").alias("strongest"), F.max("pos").alias("last_pos"))
-    share = F.col("covered") / F.greatest(F.size("path") - 1, F.lit(1))
-    rank = F.struct(share.alias("a"), F.col("covered"), F.col("weakest"), F.col("strongest"), (-F.size("path")).alias("b"), F.array_join("path", ">").alias("c"))
-    return scored.groupBy("conv_id").agg(F.max_by(F.struct("path", "covered", "weakest", "strongest", "last_pos"), rank).alias("m")).select("conv_id", "m.*")
-
-
 def monotone_chain(hits: DataFrame) -> DataFrame:
     """Per conversation and path the chain whose levels occur in order: each level's best message at or after the one
     before; where there is none, its best message anywhere. ``hits``: conv_id, path, level, pos, similarity.
@@ -252,9 +263,7 @@ def predicted_paths(scripts: DataFrame, levels: int = 9) -> DataFrame:
     return scripts.sparkSession.createDataFrame(out, "path array<string>, predicted array<string>")
 
 
-def unmatched_levels(best: DataFrame, chain_rows: DataFrame) -> DataFrame:
-    """For each conversation's best path the levels that no message matched, as text. ``best``: conv_id, path."""
-    levels = best.select("conv_id", "path", F.explode(F.sequence(F.lit(2), F.greatest(F.size("path"), F.lit(2)))).alias("level"))
-    missing = levels.join(chain_rows.select("conv_id", "path", "level"), ["conv_id", "path", "level"], "left_anti")
-    told = missing.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.col("level").cast("int"))), lambda n: F.concat(F.lit("第"), n.cast("string"), F.lit("级未匹配"))), "；").alias("missing"))
-    return best.select("conv_id").join(told, "conv_id", "left").select("conv_id", F.coalesce("missing", F.lit("")).alias("missing"))
+def unmatched_levels(path: Column, links: Column) -> Column:
+    """The levels of a path that no message matched, as text. ``links``: array of structs with a level."""
+    missing = F.filter(F.sequence(F.lit(2), F.greatest(F.size(path), F.lit(2))), lambda n: ~F.exists(links, lambda x: x["level"] == n))
+    return F.array_join(F.transform(missing, lambda n: F.concat(F.lit("第"), n.cast("string"), F.lit("级未匹配"))), "；")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from dialoom.functions import text as T
 from dialoom.operators import dialogue as D
 from dialoom.operators import scripts as S
+from dialoom.operators import tagging as G
 from dialoom.plans.dialogue_queries import MESSAGES, SALES, match_key_sql
-from dialoom.session import table
+from dialoom.session import ensure_checkpoint_dir, table
 
 COSINE, TFIDF, LEXICAL = 0.6, 0.5, 0.6
 
@@ -69,10 +70,60 @@ def script_chains(spark, sf_dir):
     return S.chains(_sales(spark, sf_dir), by_path).select("conv_id", F.array_join("path", ">").alias("path"), "level", "pos", "similarity")
 
 
-def chain_rank(spark, sf_dir):
-    by_path = S.best_per_path(cosine_match(spark, sf_dir), _scripts(spark, sf_dir))
-    best = S.rank_chains(S.chains(_sales(spark, sf_dir), by_path))
-    return best.select("conv_id", F.array_join("path", ">").alias("path"), F.col("covered").cast("int").alias("covered"), "weakest", "strongest", "last_pos")
+def _tagging(spark, sf_dir):
+    """(sales messages, all their hits, candidate chains, paths) of the corpus; hits are found once."""
+    ensure_checkpoint_dir(spark)
+    rows = D.messages(table(spark, sf_dir, "tagging_corpus").select("conv_id", "final_context"), "conv_id", "final_context")
+    sales = G.until_last_customer(rows, D.is_sales(F.col("speaker")), F.col("speaker") == "客户")
+    scripts = _scripts(spark, sf_dir)
+    paths = G.path_table(scripts)
+    found = G.hits(sales, S.best_per_path(S.cosine_matches(sales, scripts, COSINE), scripts)).checkpoint()
+    return sales, found, G.candidates(found, paths).checkpoint(), paths
+
+
+def _shown(matched):
+    return matched.select("conv_id", F.array_join("path", ">").alias("path"), "covered", "weakest", "strongest", "pos", F.array_join(F.transform("links", lambda x: F.concat_ws(":", x["level"], x["pos"])), " ").alias("links"))
+
+
+def regular_match(spark, sf_dir):
+    """The path of the newest message with one."""
+    return _shown(G.regular(_tagging(spark, sf_dir)[2]))
+
+
+def strong_match(spark, sf_dir):
+    """The best path whose second level is matched almost to the letter."""
+    return _shown(G.strong(_tagging(spark, sf_dir)[2]))
+
+
+def fallback_match(spark, sf_dir):
+    """The best path over all messages, for every conversation with a hit."""
+    _, found, chosen, paths = _tagging(spark, sf_dir)
+    return _shown(G.fallback(found, chosen, paths))
+
+
+def merged_match(spark, sf_dir):
+    """Validated, regular and fallback match put together."""
+    sales, found, chosen, paths = _tagging(spark, sf_dir)
+    scripts = _scripts(spark, sf_dir)
+    matches = S.cosine_matches(sales, scripts, G.FILLED)
+    whole = G.merged(G.base_match(found, chosen, paths), G.strong(chosen), sales, matches, scripts, S.predicted_paths(scripts))
+    return whole.select("conv_id", F.array_join("path", ">").alias("path"), "method", "tail", F.array_join(F.transform("levels", lambda x: F.concat_ws(":", x["level"], x["pos"])), " ").alias("levels"))
+
+
+def all_level_match(spark, sf_dir):
+    """The best script of every level of each sales message's best path."""
+    return G.all_level_best(cosine_match(spark, sf_dir), _scripts(spark, sf_dir), 0.7).select("text", F.array_join("path", ">").alias("path"), "level", "script_id", "similarity")
+
+
+def best_candidate(spark, sf_dir):
+    """The nearest script of every sales message that shares a bigram with one, whatever the score."""
+    return G.best_candidate(S.cosine_matches(_sales(spark, sf_dir), _scripts(spark, sf_dir), 0.0))
+
+
+def targeted_match(spark, sf_dir):
+    """The latest match of the own node, else of any."""
+    labels = table(spark, sf_dir, "tagging_corpus").select("conv_id", "sop_l1", "sop_l2")
+    return G.targeted_then_nearest(_sales(spark, sf_dir), cosine_match(spark, sf_dir), _scripts(spark, sf_dir), labels)
 
 
 def sentencewise_match(spark, sf_dir):
@@ -120,12 +171,11 @@ def predicted_paths(spark, sf_dir):
 
 
 def unmatched_levels(spark, sf_dir):
-    by_path = S.best_per_path(cosine_match(spark, sf_dir), _scripts(spark, sf_dir))
-    chains = S.chains(_sales(spark, sf_dir), by_path)
-    return S.unmatched_levels(S.rank_chains(chains).select("conv_id", "path"), chains)
+    best = G.regular(_tagging(spark, sf_dir)[2])
+    return best.select("conv_id", S.unmatched_levels(F.col("path"), F.col("links")).alias("missing"))
 
 
-QUERIES = {f.__name__: f for f in (cosine_match, tfidf_match, lexical_match, sequence_match, latest_match_top1, node_verdict, own_node_match, best_per_path, script_chains, chain_rank, sentencewise_match, keyword_patterns, alias_lookup, branch_paths, template_hits, first_hit, predicted_paths, unmatched_levels)}
+QUERIES = {f.__name__: f for f in (cosine_match, tfidf_match, lexical_match, sequence_match, latest_match_top1, node_verdict, own_node_match, best_per_path, script_chains, regular_match, strong_match, fallback_match, merged_match, all_level_match, best_candidate, targeted_match, sentencewise_match, keyword_patterns, alias_lookup, branch_paths, template_hits, first_hit, predicted_paths, unmatched_levels)}
 
 
 def _grams(key: str, sizes: tuple[int, ...]) -> str:
@@ -146,6 +196,15 @@ hits AS (SELECT conv_id, pos, path, similarity FROM sales JOIN bpp USING (text)
 lev AS (SELECT DISTINCT conv_id, path, unnest(range(2, len(path) + 1)) AS level FROM hits),
 pre AS (SELECT conv_id, path AS prefix, arg_max(struct_pack(pos := pos, similarity := similarity), struct_pack(s := similarity, p := pos)) AS b FROM hits GROUP BY 1, 2),
 chn AS (SELECT l.conv_id, l.path, l.level, p.b.pos AS pos, p.b.similarity AS similarity FROM lev l JOIN pre p ON p.conv_id = l.conv_id AND p.prefix = l.path[1:l.level])"""
+_CAND = f"""{_COSINE},
+lastc AS (SELECT conv_id, max(pos) AS lc FROM msgs WHERE speaker = '客户' GROUP BY 1),
+ht AS (SELECT s.conv_id, s.pos, b.path, b.similarity, b.script_id FROM sales s JOIN lastc USING (conv_id) JOIN bpp b USING (text) WHERE s.pos <= lc),
+ord AS (SELECT path, min(node_order) AS node_order FROM sop_scripts GROUP BY 1),
+lvl AS (SELECT conv_id, pos, path, unnest(range(2, len(path) + 1)) AS level FROM ht WHERE len(path) >= 2),
+lnk AS (SELECT l.conv_id, l.pos, l.path, l.level, arg_max(struct_pack(pos := h.pos, s := h.similarity), struct_pack(s := h.similarity, p := h.pos)) AS b FROM lvl l JOIN ht h ON h.conv_id = l.conv_id AND h.path = l.path[1:l.level] AND h.pos <= l.pos GROUP BY 1, 2, 3, 4),
+cand AS (SELECT conv_id, pos, path, CAST(count(*) AS INT) AS covered, min(b.s) AS weakest, max(b.s) AS strongest, round(sum(b.s), 6) AS total, max(b.pos) AS last_pos, max(b.pos) FILTER (WHERE level = 2) AS second_pos, max(b.s) FILTER (WHERE level = 2) AS second_similarity,
+  list(b.pos) AS spots, list(level) AS lv, string_agg(level || ':' || b.pos, ' ' ORDER BY level) AS links, any_value(node_order) AS node_order FROM lnk JOIN ord USING (path) GROUP BY 1, 2, 3)"""
+_SHOWN = "conv_id, array_to_string(path, '>') AS path, covered, weakest, strongest, pos, links"
 _TFIDF = f"""
 {MESSAGES.strip()},
 tx AS (SELECT DISTINCT text FROM msgs WHERE {SALES}),
@@ -165,7 +224,25 @@ ORACLES = {
     "own_node_match": f"WITH {_COSINE} SELECT s.conv_id, s.pos, c.script_id, c.similarity FROM sales s JOIN cosm c USING (text) JOIN tagging_corpus t ON t.conv_id = s.conv_id JOIN sop_scripts q ON q.script_id = c.script_id AND q.path[1] = t.sop_l1 AND q.path[2] = t.sop_l2 QUALIFY row_number() OVER (PARTITION BY s.conv_id ORDER BY s.pos DESC, c.similarity DESC, c.script_id) = 1",
     "best_per_path": f"WITH {_COSINE} SELECT text, array_to_string(path, '>') AS path, similarity, script_id FROM bpp",
     "script_chains": f"WITH {_COSINE} SELECT conv_id, array_to_string(path, '>') AS path, CAST(level AS INT) AS level, pos, similarity FROM chn",
-    "chain_rank": f"WITH {_COSINE}, sc AS (SELECT conv_id, path, count(*) AS covered, min(similarity) AS weakest, max(similarity) AS strongest, max(pos) AS last_pos FROM chn GROUP BY 1, 2) SELECT conv_id, array_to_string(path, '>') AS path, CAST(covered AS INT) AS covered, weakest, strongest, last_pos FROM sc QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY covered / greatest(len(path) - 1, 1) DESC, covered DESC, weakest DESC, strongest DESC, len(path), array_to_string(path, '>') DESC) = 1",
+    "regular_match": f"WITH {_CAND} SELECT {_SHOWN} FROM cand QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC, covered / (len(path) - 1) DESC, covered DESC, weakest DESC, strongest DESC, len(path), node_order) = 1",
+    "strong_match": f"WITH {_CAND} SELECT {_SHOWN} FROM cand WHERE second_similarity >= CASE WHEN contains(path[2], '二次跟进') THEN 0.85 ELSE 0.95 END QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY contains(path[2], '二次跟进') DESC, covered / (len(path) - 1) DESC, covered DESC, second_pos DESC, weakest DESC, second_similarity DESC, strongest DESC, len(path), pos DESC, node_order) = 1",
+    "fallback_match": f"""WITH {_CAND}, deep AS (SELECT {_SHOWN} FROM cand JOIN (SELECT conv_id, max(pos) AS last_hit FROM ht GROUP BY 1) USING (conv_id)
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY list_contains(spots, last_hit) DESC, covered DESC, weakest DESC, last_pos DESC, len(path), total DESC, pos, node_order) = 1),
+lone AS (SELECT conv_id, array_to_string(h.path, '>') AS path, CAST(1 AS INT) AS covered, similarity AS weakest, similarity AS strongest, pos, len(h.path) || ':' || pos AS links FROM ht h JOIN ord USING (path) WHERE conv_id NOT IN (SELECT conv_id FROM deep)
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY similarity DESC, pos, node_order) = 1)
+SELECT * FROM deep UNION ALL SELECT * FROM lone""",
+    "unmatched_levels": f"""WITH {_CAND}, best AS (SELECT conv_id, path, lv FROM cand QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC, covered / (len(path) - 1) DESC, covered DESC, weakest DESC, strongest DESC, len(path), node_order) = 1)
+SELECT conv_id, array_to_string(list_transform(list_filter(range(2, greatest(len(path), 2) + 1), lambda n: NOT list_contains(lv, n)), lambda n: '第' || n || '级未匹配'), '；') AS missing FROM best""",
+    "all_level_match": f"""WITH {_COSINE}, j AS (SELECT *, CASE WHEN script_type = '参考话术' THEN 0 ELSE 1 END AS kind FROM cosm JOIN sop_scripts USING (script_id) WHERE similarity >= 0.7),
+b AS (SELECT text, path AS best FROM j QUALIFY row_number() OVER (PARTITION BY text ORDER BY similarity DESC, len(path) DESC, kind, node_order, script_pos, script_id) = 1)
+SELECT text, array_to_string(best, '>') AS path, CAST(len(path) AS INT) AS level, script_id, similarity FROM j JOIN b USING (text) WHERE best[1:len(path)] = path
+  QUALIFY row_number() OVER (PARTITION BY text, len(path) ORDER BY similarity DESC, kind, node_order, script_pos, script_id) = 1""",
+    "best_candidate": f"WITH {_COSINE} SELECT text, script_id, similarity FROM (SELECT text, script_id, round(sum(tg.tf * sg.tf) / (any_value(tn.n) * any_value(sn.n)), 6) AS similarity FROM tg JOIN sg USING (g) JOIN tn USING (text) JOIN sn USING (script_id) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY text ORDER BY similarity DESC, script_id) = 1",
+    "targeted_match": f"""WITH {_COSINE}, r AS (SELECT s.conv_id, s.pos, c.script_id, c.similarity, coalesce(q.path[1] = t.sop_l1 AND q.path[2] = t.sop_l2, FALSE) AS targeted FROM sales s JOIN cosm c USING (text) JOIN sop_scripts q USING (script_id) JOIN tagging_corpus t ON t.conv_id = s.conv_id)
+SELECT conv_id, pos, script_id, similarity, targeted FROM r QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY targeted DESC, pos DESC, similarity DESC, script_id) = 1""",
+    "predicted_paths": """WITH RECURSIVE n AS (SELECT DISTINCT path[1:i] AS p FROM (SELECT path, unnest(range(1, len(path) + 1)) AS i FROM sop_scripts)),
+w AS (SELECT p AS path, p AS spot FROM n UNION ALL SELECT w.path, c.spot FROM w JOIN (SELECT p[1:len(p) - 1] AS up, arg_min(p, p[-1]) AS spot FROM n WHERE len(p) > 1 GROUP BY 1) c ON c.up = w.spot WHERE len(w.spot) < 9)
+SELECT array_to_string(path, '>') AS path, array_to_string(arg_max(spot, len(spot)), '>') AS predicted FROM w GROUP BY path""",
     "keyword_patterns": rf"""WITH p AS (SELECT script_id AS pattern_id, list_filter(string_split_regex({_NOISE}, '[\s\p{{Z}}，,。！？!?；;：:、()（）\[\]{{}}<>《》“”"''·…~～❤-]+'), lambda x: length(x) >= 2) AS kw FROM sop_scripts),
 r AS (SELECT DISTINCT sent_text AS text FROM reflow_rows WHERE sent_text IS NOT NULL), c AS (SELECT text, {_CLEAN.format('text')} AS clean FROM r),
 m AS (SELECT text, pattern_id, len(list_filter(kw, lambda k: contains(clean, k))) AS matched, round(len(list_filter(kw, lambda k: contains(clean, k))) / len(kw), 6) AS ratio, greatest(2, ceil(0.35 * len(kw))) AS mm FROM c, p WHERE len(kw) > 0)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from dialoom.functions import questions, text
 from dialoom.functions.blank import is_blank, strip
-from dialoom.operators import dialogue, payload, propagation, reports, sampling, scripts
-from dialoom.session import ship
+from dialoom.operators import dialogue, payload, propagation, reports, sampling, scripts, tagging
+from dialoom.session import ensure_checkpoint_dir, ship
 from dialoom.sources import files
 
 Tables = dict[str, DataFrame]
@@ -86,15 +86,29 @@ def process_reflow(spark: SparkSession, t: Tables, p: dict) -> Tables:
     return {"rows": named, "customers": customers, "distribution": sizes, "quotas": quotas, "sample": sampling.draw(customers, "sop_l1", quotas, "row_order")}
 
 
-@program(("conversations", "scripts"), similarity_threshold=Parameter(float, 0.6), history_column=Parameter(str, "final_context"))
+@program(
+    ("conversations", "scripts"), similarity_threshold=Parameter(float, 0.6), sequence_threshold=Parameter(float, 0.4), history_column=Parameter(str, "final_context"),
+    strong_validation=Parameter(bool, True), strong_threshold=Parameter(float, tagging.STRONG), follow_up_threshold=Parameter(float, tagging.STRONG_FOLLOW_UP),
+)
 def run_sop_pipeline(spark: SparkSession, t: Tables, p: dict) -> Tables:
-    """Conversations tagged with the best-covered path of the script tree, and their chains."""
+    """Conversations tagged with a path of the script tree: the newest message's path, else the best one over all
+    messages, carried on from a strongly validated path where there is one; and what each method found."""
+    ensure_checkpoint_dir(spark)
     column = files.resolve_column(t["conversations"], [p["history_column"], "history", "final_context"])
-    sales = dialogue.messages(t["conversations"].select("conv_id", column), "conv_id", column).filter(dialogue.is_sales(F.col("speaker"))).select("conv_id", "pos", "text")
-    by_path = scripts.best_per_path(scripts.cosine_matches(sales, t["scripts"], p["similarity_threshold"]), t["scripts"])
-    chains = scripts.chains(sales, by_path)
-    best = scripts.rank_chains(chains)
-    return {"tagged": t["conversations"].join(best, "conv_id", "left"), "chains": chains}
+    rows = dialogue.messages(t["conversations"].select("conv_id", column), "conv_id", column)
+    sales = tagging.until_last_customer(rows, dialogue.is_sales(F.col("speaker")), F.col("speaker") == "客户")
+    paths = tagging.path_table(t["scripts"])
+    by_path = scripts.best_per_path(scripts.sequence_or_cosine(sales, t["scripts"], p["similarity_threshold"], p["sequence_threshold"]), t["scripts"])
+    found = tagging.hits(sales, by_path).checkpoint()
+    chosen = tagging.candidates(found, paths).checkpoint()
+    base = tagging.base_match(found, chosen, paths)
+    validated = tagging.strong(chosen, p["strong_threshold"], p["follow_up_threshold"])
+    if not p["strong_validation"]:
+        validated = validated.limit(0)
+    near = scripts.cosine_matches(sales, t["scripts"], tagging.FILLED)
+    whole = tagging.merged(base, validated, sales, near, t["scripts"], scripts.predicted_paths(t["scripts"]))
+    told = whole.withColumn("missing", scripts.unmatched_levels(F.col("path"), F.col("levels")))
+    return {"tagged": t["conversations"].join(told, "conv_id", "left"), "base": base, "validated": validated}
 
 
 @program(("conversations", "scripts"), mode=Parameter(str, "both"), similarity_threshold=Parameter(float, 0.6))
