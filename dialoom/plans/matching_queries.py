@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialoom.functions import text as T
+from dialoom.operators import compliance
 from dialoom.operators import dialogue as D
 from dialoom.operators import scripts as S
 from dialoom.operators import tagging as G
@@ -145,6 +146,23 @@ def keyword_patterns(spark, sf_dir):
     return S.keyword_hits(table(spark, sf_dir, "reflow_rows").select(F.col("sent_text").alias("text")).filter("text is not null"), patterns)
 
 
+def compliance_hits(spark, sf_dir):
+    """The best pattern of each sent text: the scripts' pieces, of every other script the first one mandatory."""
+    words = T.keywords(F.col("script_text"))
+    patterns = _scripts(spark, sf_dir).withColumn("keywords", words).filter(F.size("keywords") > 0).select(
+        F.col("script_id").alias("pattern_id"), F.col("path")[0].alias("category"), F.concat(F.lit("p"), "script_id").alias("name"), "keywords",
+        F.when(F.col("script_id") % 2 == 1, F.slice("keywords", 1, 1)).otherwise(F.array().cast("array<string>")).alias("mandatory"),
+        F.lit(2).alias("min_matches"), F.lit(0.45).alias("min_ratio"), F.lit("").alias("template"), F.lit(0.88).alias("fuzzy_threshold"),
+    )
+    return compliance.hits(table(spark, sf_dir, "reflow_rows").select(F.col("sent_text").alias("text")).filter("text is not null"), patterns, ("需求了解", "开场与破冰"))
+
+
+def compliance_totals(spark, sf_dir):
+    """How many replies hit a pattern, of all."""
+    found = compliance_hits(spark, sf_dir).select(F.col("text").alias("sent_text"), F.lit(True).alias("hit"))
+    return table(spark, sf_dir, "reflow_rows").select("sent_text").join(found, "sent_text", "left").agg(F.count(F.lit(1)).alias("rows"), F.count("hit").alias("hits"))
+
+
 def alias_lookup(spark, sf_dir):
     """Sub-themes whose topic a sent text names."""
     topic = F.regexp_replace("sub_theme_alt", "^(?:提醒|发送|预约|了解|确认)|说明$", "")
@@ -175,7 +193,7 @@ def unmatched_levels(spark, sf_dir):
     return best.select("conv_id", S.unmatched_levels(F.col("path"), F.col("links")).alias("missing"))
 
 
-QUERIES = {f.__name__: f for f in (cosine_match, tfidf_match, lexical_match, sequence_match, latest_match_top1, node_verdict, own_node_match, best_per_path, script_chains, regular_match, strong_match, fallback_match, merged_match, all_level_match, best_candidate, targeted_match, sentencewise_match, keyword_patterns, alias_lookup, branch_paths, template_hits, first_hit, predicted_paths, unmatched_levels)}
+QUERIES = {f.__name__: f for f in (cosine_match, tfidf_match, lexical_match, sequence_match, latest_match_top1, node_verdict, own_node_match, best_per_path, script_chains, regular_match, strong_match, fallback_match, merged_match, all_level_match, best_candidate, targeted_match, sentencewise_match, keyword_patterns, compliance_hits, compliance_totals, alias_lookup, branch_paths, template_hits, first_hit, predicted_paths, unmatched_levels)}
 
 
 def _grams(key: str, sizes: tuple[int, ...]) -> str:
@@ -216,7 +234,15 @@ tn AS (SELECT text, sqrt(sum(w * w)) AS n FROM tw GROUP BY 1)
 SELECT text, script_id, similarity FROM (SELECT text, script_id, round(sum(tw.w * sw.w / sn.n) / any_value(tn.n), 6) AS similarity FROM tw JOIN sw USING (g) JOIN sn USING (script_id) JOIN tn USING (text) GROUP BY 1, 2) WHERE similarity >= {TFIDF}"""
 _CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(replace({0}, '<newline>', ' '), '\[[^\]]+\]\([^)]+\)|\[[^\]]+\.(png|jpg|jpeg|gif|pdf|docx?)\]', ' ', 'g'), '(?i)\{{ *"bucketName"[^{{}}]*\}}|\b\d{{1,3}};rgb:[0-9a-fA-F/]+\b', ' ', 'g'), '[\s\p{{Z}}\x{{85}}\x0b]+', ' ', 'g'))"""
 _NOISE = r"""regexp_replace(regexp_replace(replace(script_text, '<newline>', ' '), '\[[^\]]+\]\([^)]+\)|\[[^\]]+\.(png|jpg|jpeg|gif|pdf|docx?)\]', ' ', 'g'), '(?i)\{ *"bucketName"[^{}]*\}|\b\d{1,3};rgb:[0-9a-fA-F/]+\b', ' ', 'g')"""
+_HITS = rf"""WITH p AS (SELECT script_id AS pattern_id, path[1] AS category, list_filter(string_split_regex({_NOISE}, '[\s\p{{Z}}，,。！？!?；;：:、()（）\[\]{{}}<>《》“”"''·…~～❤-]+'), lambda x: length(x) >= 2) AS kw FROM sop_scripts),
+r AS (SELECT DISTINCT sent_text AS text FROM reflow_rows WHERE sent_text IS NOT NULL), c AS (SELECT text, {_CLEAN.format('text')} AS clean FROM r),
+m AS (SELECT text, pattern_id, category, kw, list_filter(kw, lambda k: contains(clean, k)) AS f FROM c, p WHERE len(kw) > 0),
+hits AS (SELECT text, pattern_id, category, 'p' || pattern_id AS name, CAST(len(f) AS INT) AS matched, round(len(f) / len(kw), 4) AS score FROM m
+  WHERE len(f) > 0 AND (len(f) >= 2 OR len(f) / len(kw) >= 0.45) AND (pattern_id % 2 = 0 OR list_contains(f, kw[1]))
+  QUALIFY row_number() OVER (PARTITION BY text ORDER BY round(len(f) / len(kw), 9) DESC, len(f) DESC, CASE category WHEN '需求了解' THEN 1 WHEN '开场与破冰' THEN 2 ELSE 99 END, pattern_id) = 1)"""
 ORACLES = {
+    "compliance_hits": f"{_HITS} SELECT * FROM hits",
+    "compliance_totals": f"{_HITS} SELECT count(*) AS rows, count(h.text) AS hits FROM reflow_rows r LEFT JOIN hits h ON h.text = r.sent_text",
     "cosine_match": f"WITH {_COSINE} SELECT * FROM cosm",
     "tfidf_match": f"WITH {_TFIDF}",
     "latest_match_top1": f"WITH {_COSINE} SELECT conv_id, m.pos AS pos, m.text AS text, m.script_id AS script_id, m.similarity AS similarity FROM late",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from dialoom.functions import questions, text
 from dialoom.functions.blank import is_blank, strip
-from dialoom.operators import dialogue, payload, propagation, reports, sampling, scripts, tagging
+from dialoom.operators import compliance, dialogue, payload, propagation, reports, sampling, scripts, tagging
 from dialoom.session import ensure_checkpoint_dir, ship
 from dialoom.sources import files
 
@@ -158,10 +158,9 @@ def select_client_cases(spark: SparkSession, t: Tables, p: dict) -> Tables:
 
 @program(("replies", "patterns"), column=Parameter(str, "sent_text"))
 def detect_scripted_replies(spark: SparkSession, t: Tables, p: dict) -> Tables:
-    """Replies that follow a keyword pattern, with the pattern and its score; rows without a hit keep defaults."""
-    hits = scripts.keyword_hits(t["replies"].select(F.col(p["column"]).alias("text")).filter("text is not null"), t["patterns"])
-    joined = t["replies"].join(hits.withColumnRenamed("text", p["column"]), p["column"], "left")
-    return {"rows": joined.withColumns({"is_hit": F.col("pattern_id").isNotNull(), "ratio": F.coalesce("ratio", F.lit(0.0))})}
+    """Replies that follow a pattern (``files.load_patterns``), with it and its score; the number of hits."""
+    rows = compliance.annotate(t["replies"], p["column"], t["patterns"])
+    return {"rows": rows, "totals": rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if("is_hit").alias("hits"))}
 
 
 @program(("labels", "schema"))

@@ -6,10 +6,13 @@ import json
 from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dialoom.functions import text
+from dialoom.functions.blank import strip
+
 FORMATS = {".parquet": "parquet", ".csv": "csv", ".json": "json", ".jsonl": "json", ".orc": "orc", ".txt": "text"}
 MAX_TREE_BYTES = 64 << 20
 
@@ -43,8 +46,15 @@ def ids_from_name(name: Column) -> dict[str, Column]:
 
 
 def with_row_order(df: DataFrame) -> DataFrame:
-    """Number rows in the order of files and of rows within them: every ordered rule needs it made once, at ingest."""
-    return df.withColumn("row_order", F.monotonically_increasing_id())
+    """Number the rows of a Parquet scan in the order of files (by path) and of rows within them.
+
+    Every ordered rule needs this number, made once, at ingest. It comes from the file's path and the row's place in it,
+    so neither the packing of splits nor a task's retry changes it; the offsets are one small row per file.
+    """
+    placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
+    sizes = placed.groupBy("__file").agg((F.max("__place") + 1).alias("__rows"))
+    before = F.coalesce(F.sum("__rows").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(F.broadcast(sizes.select("__file", before.alias("__before"))), "__file").withColumn("row_order", F.col("__before") + F.col("__place")).drop("__file", "__place", "__before")
 
 
 def read_tree(path: str) -> dict:
@@ -59,21 +69,42 @@ def read_tree(path: str) -> dict:
     return tree if isinstance(tree, dict) else {}
 
 
+# Default share of keywords, and that of one category.
+MIN_RATIO, CATEGORY_RATIO = 0.45, {"province_analysis": 0.5}
+
+
 def load_patterns(spark: SparkSession, entries: list[dict]) -> DataFrame:
-    """Keyword patterns from configuration: derived keywords, default thresholds, the last entry of a (category, text) wins."""
-    import math
-    import re
-
-    kept: dict[tuple[str, str], tuple] = {}
-    for e in entries:
-        text, category = str(e.get("text") or "").strip(), str(e.get("category") or "general")
-        if not text:
-            continue
-        words = e.get("keywords") or [w for w in re.split(r"[\s，,。！？!?；;：:、()（）\[\]{}<>《》“”\"'·…~～❤-]+", text) if len(w) >= 2]
-        least = e.get("min_matches") or max(2, math.ceil(0.35 * len(words)))
-        kept[category, text] = (category, str(e.get("name") or text[:20]), text, words, int(least), float(e.get("min_ratio") or 0.45))
-    rows = [(i, *r) for i, r in enumerate(sorted(kept.values(), key=lambda r: (r[0], r[1])))]
-    return spark.createDataFrame(rows, "pattern_id long, category string, name string, text string, keywords array<string>, min_matches int, min_ratio double")
+    """Keyword patterns from configuration, ordered by category and name; the last entry of a (category, text) wins.
+
+    Entries without text, category or keywords are left out. Keywords not given are the text's pieces. For
+    ``operators.compliance``: pattern_id, category, name, text, source, keywords, mandatory, min_matches, min_ratio,
+    template, fuzzy_threshold.
+    """
+    given = "n int, name string, category string, text string, source string, keywords array<string>, mandatory array<string>, min_matches int, min_ratio double, template string, fuzzy_threshold double"
+    number = lambda v, kind: kind(v) if isinstance(v, int | float) and not isinstance(v, bool) else None
+    words = lambda v: [w.strip() for w in v if w.strip()] if v is not None else None
+    rows = [
+        (n, e.get("name") or f"pattern_{n}", str(e.get("category") or ""), str(e.get("text") or ""), e.get("source") or "custom", words(e.get("keywords")), words(e.get("mandatory_keywords") or []),
+         number(e.get("min_matches"), int), number(e.get("min_ratio"), float), e.get("template") or "", number(e.get("fuzzy_threshold"), float))
+        for n, e in enumerate(entries, 1)
+    ]
+    df = spark.createDataFrame(rows, given).withColumns({"text": text.without_attachments(F.col("text")), "category": strip(F.col("category"))})
+    df = df.withColumn("keywords", F.coalesce("keywords", F.array_sort(F.array_distinct(text.keywords(F.col("text")))))).filter("text <> '' and category <> '' and size(keywords) > 0")
+    ratio = F.coalesce("min_ratio", *[F.when(F.col("category") == c, r) for c, r in CATEGORY_RATIO.items()], F.lit(MIN_RATIO))
+    df = df.withColumns({"min_matches": F.coalesce("min_matches", F.greatest(F.lit(2), F.ceil(F.size("keywords") * 0.35).cast("int"))), "min_ratio": ratio, "fuzzy_threshold": F.coalesce("fuzzy_threshold", F.lit(0.88))})
+    kept = df.withColumn("last", F.row_number().over(Window.partitionBy("category", "text").orderBy(F.desc("n")))).filter("last = 1")
+    order = F.row_number().over(Window.orderBy("category", "name", "n"))  # a configuration, not data
+    return kept.withColumn("pattern_id", order.cast("long")).drop("n", "last")
+
+
+def read_sheets(spark: SparkSession, folder: str, names: Iterable[str], suffix: str = "") -> dict[str, DataFrame]:
+    """The sheets that ``write_sheets`` wrote; a name that isn't there is an error of the reader."""
+    return {name: read(spark, f"{folder}/{name.replace('/', '_')}{suffix}") if suffix else spark.read.parquet(f"{folder}/{name.replace('/', '_')}") for name in names}
+
+
+def overlay(defaults: dict, path: str | None) -> dict:
+    """Settings: the defaults with the values of a small JSON file over them; an unreadable or missing file changes nothing."""
+    return {**defaults, **(read_tree(path) if path else {})}
 
 
 def resolve_column(df: DataFrame, candidates: Iterable[str]) -> str:
@@ -85,11 +116,30 @@ def resolve_column(df: DataFrame, candidates: Iterable[str]) -> str:
     return found
 
 
+def first_filled(df: DataFrame, columns: Iterable[str]) -> str | None:
+    """The first of the columns that holds any value (to sort by), None if none does. One pass over them."""
+    there = [c for c in columns if c in df.columns]
+    counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(there)]).first() if there else ()
+    return next((c for i, c in enumerate(there) if counts[i]), None)
+
+
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Result columns under their output names; names that the table lacks are passed over."""
+    return df.withColumnsRenamed({k: v for k, v in names.items() if k in df.columns})
+
+
 def project(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """A fixed column order, with empty strings for what is missing."""
     return df.select(*[F.col(c) if c in df.columns else F.lit("").alias(c) for c in columns])
 
 
+def write_rows(spark: SparkSession, rows: list[dict], path: str) -> None:
+    """A few rows from the driver as a table; no rows, or rows that are no dicts, are an error."""
+    if not rows or not all(isinstance(r, dict) for r in rows):
+        raise ValueError("rows must be a non-empty list of dicts")
+    write(spark.createDataFrame(rows), path)
+
+
 def write(df: DataFrame, path: str, mode: str = "overwrite", max_rows: int | None = None, partition_by: Iterable[str] = ()) -> None:
     """Write in the format of the suffix (Parquet without one), optionally in parts of at most ``max_rows``."""
     writer = df.write.mode(mode).format(FORMATS.get(Path(path).suffix.lower(), "parquet"))
