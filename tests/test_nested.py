@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from dialoom.operators import nested as N
+from dialoom.operators import payload
 
 SCHEMA = "case_id long, rag string, thought_unit string"
 
@@ -109,3 +110,30 @@ def test_objects_in_any_array_are_nodes_and_plain_arrays_stay(spark):
 def test_what_stands_beside_a_ruled_array_is_kept():
     rag = {"code": 0, "data": {"page": {"n": 1}, "recall": [{"a": 1}]}, "extra": [{"b": 2}]}
     assert [(n[0], n[5]) for n in N.traverse(json.dumps(rag), "rag")] == [("rag", ""), ("recall", "recall"), ("object", "extra"), ("object", "page")]
+
+
+def test_fields_come_from_their_store(spark):
+    user = {"db_name": "用户信息库", "content": str([{"批次ID": "", "标签": "t"}, {"批次ID": "b1", "用户昵称": "n"}])}
+    survey = {"db_name": "调查问卷库", "content": [{"问卷标题": "q", "问卷内容": json.dumps([{"a": 1}, {"b": 2}]), "批次ID": "no"}]}
+    sales = {"db_name": "销售信息库", "content": {"直播课时间": "20:00", "试学链接": "x"}}
+    again = {"db_name": "用户信息库", "content": [{"批次ID": "b2"}]}
+    rows = [(1, json.dumps({"data": {"recall": [survey, user, sales, again]}}, ensure_ascii=False), None), (2, "{'damaged': '批次ID', '批次ID': 'b9', 'x", None), (3, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.case_id: r for r in payload.entry_fields(df, "case_id").collect()}
+    assert set(got) == {1, 2}
+    assert (got[1].batch_id, got[1].tags, got[1].nickname, got[1].live_time, got[1].trial_link) == ("b1", "t", "n", "20:00", "x")
+    assert json.loads(got[1].questionnaire_content) == [{"a": 1}, {"b": 2}]
+    assert got[2].batch_id == "b9"
+    assert payload.entry_fields(df, "case_id", last_wins=("batch_id",)).filter("case_id = 1").first().batch_id == "b2"
+
+
+def test_unit_fields(spark):
+    units = [
+        {"endpoint_step": "普通", "knowledge_scenario_result": True, "rag_history_chat_request_body": {"node_1st": "A", "node_2nd": ""}},
+        {"endpoint_step": "强遵循", "reference_script": ["s"], "task_theme": "T", "rag_chat_result": json.dumps([{"db_name": "用户信息库", "content": [{"周期标签": {"行课期": 1}}]}], ensure_ascii=False)},
+    ]
+    df = spark.createDataFrame([(1, None, json.dumps(units, ensure_ascii=False)), (2, None, "{}"), (3, None, None)], SCHEMA)
+    got = {r.case_id: tuple(r)[1:] for r in payload.unit_labels(df, "case_id").collect()}
+    assert got[1] == ("T", None, True, False, True, "A", None, '["s"]')
+    assert got[2] == (None, None, False, False, False, None, None, None) and 3 not in got
+    assert [tuple(r) for r in payload.unit_cycle_label(df, "case_id").collect()] == [(1, '{"行课期": 1}')]
