@@ -143,7 +143,7 @@ def preprocess_client_cases(spark: SparkSession, t: Tables, p: dict) -> Tables:
     replies = propagation.first_reply(t["rows"]).select("row_order", "reply_ai", "reply_sent", "reply_audit")
     standard = cases.join(replies, "row_order", "left").withColumn("history", dialogue.standardise(F.col("history")))
     per_sales = standard.groupBy("sales_id").agg(F.countDistinct("customer_id").alias("customers"), F.count(F.lit(1)).alias("cases"))
-    return {"cases": standard, "per_sales": per_sales, "quality": reports.quality_metrics(standard, ["history", "message", "day_rag"])}
+    return {"cases": standard, "per_sales": per_sales, "quality": reports.quality_metrics(standard, ["history", "message", "day_rag", "given"], ["sales_id", "customer_id"], ["rag_source"])}
 
 
 @program(("cases",), total=Parameter(int, 300), guaranteed=Parameter(int, 5))
@@ -153,7 +153,9 @@ def select_client_cases(spark: SparkSession, t: Tables, p: dict) -> Tables:
     sizes = cases.groupBy(F.col("cycle").alias("stratum")).agg(F.count(F.lit(1)).alias("size"))
     quotas = sampling.two_phase(sizes, p["total"], p["guaranteed"])
     chosen = sampling.draw(cases, "cycle", quotas, "case_id")
-    return {"selected": chosen, "quotas": quotas, "coverage": reports.coverage(cases, chosen, "cycle")}
+    return {
+        "selected": chosen, "quotas": quotas, "coverage": reports.coverage_of(cases, chosen, ["cycle", "sales_id", "message_type"]), "plan": reports.selection_plan(quotas, chosen, "cycle"),
+    }
 
 
 @program(("replies", "patterns"), column=Parameter(str, "sent_text"))

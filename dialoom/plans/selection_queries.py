@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dialoom.operators import ordered
 from dialoom.operators import reports as R
 from dialoom.operators import sampling as S
 from dialoom.plans.propagation_queries import blank as sql_blank
@@ -144,13 +145,54 @@ def sales_summary(spark, sf_dir):
 
 
 def quality_metrics(spark, sf_dir):
-    return R.quality_metrics(table(spark, sf_dir, "testset"), ["history", "latest_message", "rag", "thought_unit", "node_1", "node_2", "reference_script", "expected_reply"])
+    """Totals, non-blank values, sources, list lengths and flags of the test set."""
+    return R.quality_metrics(
+        table(spark, sf_dir, "testset"), ["history", "latest_message", "rag", "thought_unit", "node_1", "node_2", "reference_script", "expected_reply", "tags", "nickname", "batch_id", "questionnaire_title", "questionnaire_id", "rag_source"],
+        ["sales_id", "customer_id"], ["rag_source", "thought_unit_source"], ["last_sales_messages", "alternative_replies"], ["is_question"],
+    )
 
 
 def coverage_report(spark, sf_dir):
+    """Planned and actual cases of each cycle."""
+    return R.selection_plan(two_phase_quota(spark, sf_dir), two_phase_sample(spark, sf_dir), "cycle")
+
+
+def coverage_dimensions(spark, sf_dir):
+    """Cases chosen of those available, by cycle, desk and type."""
     cases = _cases(spark, sf_dir)
     chosen = cases.join(two_phase_sample(spark, sf_dir).select("case_id"), "case_id", "left_semi")
-    return R.coverage(cases, chosen, "cycle").withColumn("effect", R.deviation_class(F.col("chosen"), F.lit(20)))
+    return R.coverage_of(cases, chosen, ["cycle", "sales_id", "message_type"])
+
+
+def question_rates(spark, sf_dir):
+    """Questions of each desk, and their rate."""
+    return R.rates(table(spark, sf_dir, "testset"), ["sales_id"], F.col("is_question"))
+
+
+def top_distributions(spark, sf_dir):
+    """Histograms of cycle, type and question; of desks the ten with most cases (a top-k report)."""
+    return R.top_values(distributions(spark, sf_dir), {"sales": 10})
+
+
+def scenario_statistics(spark, sf_dir):
+    return R.scenario_statistics(distributions(spark, sf_dir), {"cycle": "周期-", "type": "类型-", "question": "疑问-"})
+
+
+def customers_per_desk(spark, sf_dir):
+    """Customers of each desk and name, the largest first."""
+    rows = table(spark, sf_dir, "reflow_rows").groupBy("sales_id", "sales_name").agg(F.countDistinct("customer_id").alias("customers"))
+    return rows.orderBy(F.desc("customers"), "sales_id", "sales_name")
+
+
+def target_nodes(spark, sf_dir):
+    """Customer rows of the wanted first-level nodes."""
+    wanted = [r.task_theme for r in table(spark, sf_dir, "sop_schema").filter("task_pos < 2").select("task_theme").distinct().collect()]  # a fixed table
+    return table(spark, sf_dir, "reflow_rows").filter((F.col("sender") == "客户") & F.col("sop_l1").isin(wanted)).select("row_order", "sop_l1")
+
+
+def id_range(spark, sf_dir):
+    """The messages 10 to 20 of every conversation, in order."""
+    return table(spark, sf_dir, "chat_messages").filter("file_id is not null").filter(F.col("msg_id").between(10, 20)).select("row_id", "file_id", "msg_id").orderBy("file_id", "msg_id", "row_id")
 
 
 def lead_expected_reply(spark, sf_dir):
@@ -164,7 +206,8 @@ def lead_expected_reply(spark, sf_dir):
 def customer_ordinal(spark, sf_dir):
     """Each customer's number within the desk, by first appearance."""
     first = table(spark, sf_dir, "reflow_rows").filter("sender = '客户'").groupBy("sales_id", "customer_id").agg(F.min("row_order").alias("first_row"))
-    return first.withColumn("ordinal", F.row_number().over(Window.partitionBy("sales_id").orderBy("first_row")))
+    # A running count in buckets: a desk with a third of all customers isn't one window.
+    return ordered.running_sum(first, ["sales_id"], "first_row", F.lit(1), "ordinal").withColumn("ordinal", F.col("ordinal").cast("int"))
 
 
 def hierarchical_fill(spark, sf_dir):
@@ -185,7 +228,7 @@ def cycle_membership(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (largest_remainder, stratified_sample, two_phase_quota, two_phase_sample, diverse_sample, quality_sample, anti_used, keyword_filter_readmit, time_of_day_filter, cycle_description, dedup_variants, delivered_again, multi_key_sort_topk, union_with_lineage, union_distinct, set_operations, histogram_share, distributions, sales_summary, quality_metrics, coverage_report, lead_expected_reply, customer_ordinal, hierarchical_fill, round_robin, cycle_membership)
+    for f in (largest_remainder, stratified_sample, two_phase_quota, two_phase_sample, diverse_sample, quality_sample, anti_used, keyword_filter_readmit, time_of_day_filter, cycle_description, dedup_variants, delivered_again, multi_key_sort_topk, union_with_lineage, union_distinct, set_operations, histogram_share, distributions, sales_summary, quality_metrics, coverage_report, coverage_dimensions, question_rates, top_distributions, scenario_statistics, customers_per_desk, target_nodes, id_range, lead_expected_reply, customer_ordinal, hierarchical_fill, round_robin, cycle_membership)
 }
 
 _CYCLE = """cyc AS (SELECT *, CASE WHEN coalesce(cardinality(cycle_label), 0) > 0 THEN array_to_string(list_transform(list_sort(list_transform(map_entries(cycle_label), lambda e: struct_pack(r := CASE e.key WHEN '行课期' THEN 0 WHEN '服务期' THEN 1 ELSE 2 END, k := e.key, v := e.value))), lambda e: e.k || '第' || e.v || '天'), ' + ') ELSE '未知周期' END AS cycle FROM testset)"""
@@ -230,11 +273,30 @@ SELECT 'preferred', arg_min(case_id, struct_pack(a := NOT coalesce(is_question,
     "distributions": f"""WITH {_CYCLE} SELECT 'cycle' AS dimension, cycle AS value, count(*) AS rows FROM cyc GROUP BY ALL UNION ALL SELECT 'type', message_type, count(*) FROM cyc GROUP BY ALL
 UNION ALL SELECT 'question', CAST(is_question AS VARCHAR), count(*) FROM cyc GROUP BY ALL UNION ALL SELECT 'sales', sales_id, count(*) FROM cyc GROUP BY ALL""",
     "sales_summary": "SELECT sales_id, arg_min(sales_name, row_order) AS sales_name, count(*) AS all_rows, count(DISTINCT customer_id) AS customers, count(*) FILTER (WHERE sender = '客户') AS customer_rows, round(count(*) FILTER (WHERE sender = '客户') / count(DISTINCT customer_id), 6) AS rows_per_customer FROM reflow_rows GROUP BY sales_id",
-    "quality_metrics": " UNION ALL ".join(["SELECT 'rows' AS metric, count(*) AS value FROM testset", *[f"SELECT 'present_{c}', count(*) FILTER (WHERE NOT {sql_blank(c)}) FROM testset" for c in ("history", "latest_message", "rag", "thought_unit", "node_1", "node_2", "reference_script", "expected_reply")]]),
+    "quality_metrics": " UNION ALL ".join([
+        "SELECT 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM testset",
+        *[f"SELECT 'present_{c}', count(*) FILTER (WHERE NOT {sql_blank(c)}) FROM testset" for c in ("history", "latest_message", "rag", "thought_unit", "node_1", "node_2", "reference_script", "expected_reply", "tags", "nickname", "batch_id", "questionnaire_title", "questionnaire_id", "rag_source")],
+        *[f"SELECT 'distinct_{c}', count(DISTINCT {c}) FROM testset" for c in ("sales_id", "customer_id")], "SELECT 'true_is_question', count(*) FILTER (WHERE is_question) FROM testset",
+        *[f"SELECT 'average_{c}', round(avg(len({c})) FILTER (WHERE len({c}) > 0), 4) FROM testset" for c in ("last_sales_messages", "alternative_replies")],
+        *[f"SELECT 'source_{c}_' || coalesce({c}, 'none'), count(*) FROM testset GROUP BY {c}" for c in ("rag_source", "thought_unit_source")],
+    ]),
     "coverage_report": f"""WITH {_PHASES},
 two AS (SELECT case_id, cycle FROM (SELECT case_id, cycle, quota, row_number() OVER (PARTITION BY cycle ORDER BY md5(CAST(case_id AS VARCHAR)), case_id) AS n FROM cyc JOIN quo ON stratum = cycle) WHERE n <= quota),
-c AS (SELECT cycle AS value, count(*) AS available, count(*) FILTER (WHERE case_id IN (SELECT case_id FROM two)) AS chosen FROM cyc GROUP BY 1)
-SELECT value, available, chosen, round(chosen / available, 6) AS rate, CASE WHEN abs(chosen - 20) / 20 <= 0.1 THEN 'within 10 %' WHEN abs(chosen - 20) / 20 <= 0.2 THEN 'within 20 %' WHEN abs(chosen - 20) / 20 <= 0.3 THEN 'within 30 %' ELSE 'over 30 %' END AS effect FROM c""",
+c AS (SELECT stratum, size, quota, (SELECT count(*) FROM two WHERE cycle = stratum) AS actual FROM quo), d AS (SELECT *, CASE WHEN quota > 0 THEN abs(actual - quota) / quota ELSE 1 END AS d FROM c)
+SELECT stratum, size, quota, actual, CASE WHEN d <= 0.1 THEN 'within 10 %' WHEN d <= 0.2 THEN 'within 20 %' WHEN d <= 0.3 THEN 'within 30 %' ELSE 'over 30 %' END AS effect FROM d""",
+    "coverage_dimensions": f"""WITH {_PHASES},
+two AS (SELECT case_id FROM (SELECT case_id, quota, row_number() OVER (PARTITION BY cycle ORDER BY md5(CAST(case_id AS VARCHAR)), case_id) AS n FROM cyc JOIN quo ON stratum = cycle) WHERE n <= quota),
+l AS (SELECT case_id, unnest([struct_pack(d := 'cycle', v := cycle), struct_pack(d := 'sales_id', v := sales_id), struct_pack(d := 'message_type', v := message_type)]) AS x FROM cyc)
+SELECT x.d AS dimension, x.v AS value, count(*) AS available, count(*) FILTER (WHERE case_id IN (SELECT case_id FROM two)) AS chosen, round(count(*) FILTER (WHERE case_id IN (SELECT case_id FROM two)) / count(*), 6) AS rate FROM l GROUP BY 1, 2""",
+    "question_rates": "SELECT sales_id, count(*) AS rows, count(*) FILTER (WHERE is_question) AS flagged, round(count(*) FILTER (WHERE is_question) / count(*), 6) AS rate FROM testset GROUP BY sales_id",
+    "top_distributions": f"""WITH {_CYCLE}, d AS (SELECT 'cycle' AS dimension, cycle AS value, count(*) AS rows FROM cyc GROUP BY ALL UNION ALL SELECT 'type', message_type, count(*) FROM cyc GROUP BY ALL
+UNION ALL SELECT 'question', CAST(is_question AS VARCHAR), count(*) FROM cyc GROUP BY ALL UNION ALL SELECT 'sales', sales_id, count(*) FROM cyc GROUP BY ALL)
+SELECT * FROM d QUALIFY dimension <> 'sales' OR row_number() OVER (PARTITION BY dimension ORDER BY rows DESC, value NULLS FIRST) <= 10""",
+    "scenario_statistics": f"""WITH {_CYCLE} SELECT '周期-' || coalesce(cycle, '') AS scenario, count(*) AS rows FROM cyc GROUP BY cycle UNION ALL SELECT '类型-' || coalesce(message_type, ''), count(*) FROM cyc GROUP BY message_type
+UNION ALL SELECT '疑问-' || coalesce(CAST(is_question AS VARCHAR), ''), count(*) FROM cyc GROUP BY is_question""",
+    "customers_per_desk": "SELECT sales_id, sales_name, count(DISTINCT customer_id) AS customers FROM reflow_rows GROUP BY 1, 2",
+    "target_nodes": "SELECT row_order, sop_l1 FROM reflow_rows WHERE sender = '客户' AND sop_l1 IN (SELECT task_theme FROM sop_schema WHERE task_pos < 2)",
+    "id_range": "SELECT row_id, file_id, msg_id FROM chat_messages WHERE file_id IS NOT NULL AND msg_id BETWEEN 10 AND 20",
     "lead_expected_reply": """WITH n AS (SELECT case_id, latest_message, lead(last_sales_messages) OVER (PARTITION BY customer_id ORDER BY message_time NULLS FIRST, case_id) AS nx FROM testset),
 u AS (SELECT case_id, CASE WHEN coalesce(trim(latest_message), '') <> '' AND len(nx) > 0 THEN nx END AS nx FROM n)
 SELECT case_id, coalesce(nx[1], '') AS expected, CASE WHEN len(nx) > 1 THEN array_to_string(nx[2:], '|') ELSE '' END AS alternatives FROM u""",
