@@ -27,6 +27,23 @@ def source(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | N
     return reader.parquet(f"{sf_dir}/{name}.parque[t]")
 
 
+def staged(rows: DataFrame, order: str, parts: int = 4) -> DataFrame:
+    """The rows as a stream of at least ``parts`` micro-batches, in ``order``: each part is written after the one before.
+
+    For tables that lie in one file; cuts are approximate quantiles, rows without an order come first.
+    """
+    spark = rows.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/staged-{uuid.uuid4().hex}"
+    place = F.coalesce((instant(order) if dict(rows.dtypes)[order].startswith("timestamp") else F.col(order)).cast("double"), F.lit(float("-inf")))
+    marked = rows.withColumn("__place", place)
+    cuts = marked.filter(F.col("__place") > float("-inf")).approxQuantile("__place", [i / parts for i in range(1, parts)], 0.01) or [0.0] * (parts - 1)
+    edges = [float("-inf"), *cuts, float("inf")]
+    for i, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
+        part = marked.filter((F.col("__place") >= low) & ((F.col("__place") < high) if i + 1 < parts else F.lit(True)))
+        part.drop("__place").coalesce(1).write.parquet(f"{folder}/part={i:04d}")
+    return spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def instant(c: str) -> Column:
     """A time without zone as the instant that it is in UTC, whatever the session's zone: what event time needs."""
     return F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(c)).cast("timestamp")
@@ -55,14 +72,18 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.parquet(f"{folder}/rows").drop("batch")
 
 
-def windowed_counts(events: DataFrame, at: str, width: str, late: str, *keys: str) -> DataFrame:
-    """Rows and values per window of event time; rows later than ``late`` behind the newest no longer count."""
-    grouped = events.withColumn(at, instant(at)).withWatermark(at, late).groupBy(F.window(at, width).alias("w"), *keys)
+def windowed_counts(events: DataFrame, at: str, width: str, late: str, *keys: str, slide: str | None = None) -> DataFrame:
+    """Rows and values per tumbling window of event time, or per window of ``width`` that begins every ``slide``.
+
+    In ``append`` mode a window is given once, when the newest row is ``late`` past its end; its state is dropped then,
+    and rows that come for it afterwards no longer count.
+    """
+    grouped = events.withColumn(at, instant(at)).withWatermark(at, late).groupBy((F.window(at, width, slide) if slide else F.window(at, width)).alias("w"), *keys)
     return grouped.agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 4).alias("total")).select(wall_time("w.start").alias("window_start"), *keys, "events", "total")
 
 
 def sessions(events: DataFrame, at: str, gap: str, late: str, *keys: str) -> DataFrame:
-    """Runs of a key's rows with no pause of ``gap`` or more."""
+    """Runs of a key's rows with no pause of ``gap`` or more; given and dropped as ``windowed_counts`` are."""
     grouped = events.withColumn(at, instant(at)).withWatermark(at, late).groupBy(F.session_window(at, gap).alias("w"), *keys)
     return grouped.agg(F.count(F.lit(1)).alias("events")).select(*keys, wall_time("w.start").alias("session_start"), wall_time("w.end").alias("session_end"), "events")
 
