@@ -188,9 +188,9 @@ def monotone_chain(hits: DataFrame) -> DataFrame:
 
     A path has at most a handful of levels, so the fold runs over one small array per (conversation, path).
     """
-    by_level = hits.groupBy("conv_id", "path", "level").agg(F.collect_list(F.struct(F.col("similarity").cast("double").alias("similarity"), F.col("pos").cast("int").alias("pos"))).alias("found"))
+    by_level = hits.groupBy("conv_id", "path", "level").agg(F.collect_list(F.struct(F.col("similarity").cast("double").alias("similarity"), F.col("pos").cast("long").alias("pos"))).alias("found"))
     whole = by_level.groupBy("conv_id", "path").agg(F.sort_array(F.collect_list(F.struct("level", "found"))).alias("levels"))
-    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<level:int,pos:int,similarity:double>>").alias("chain"))
+    start = F.struct(F.lit(-1).cast("long").alias("at"), F.array().cast("array<struct<level:int,pos:bigint,similarity:double>>").alias("chain"))
 
     def step(state: Column, level: Column) -> Column:
         later = F.array_max(F.filter(level["found"], lambda f: f["pos"] >= state["at"]))
@@ -217,10 +217,33 @@ def keyword_hits(replies: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def alias_hits(texts: DataFrame, aliases: DataFrame, limit: int = MAX_SCRIPTS) -> DataFrame:
-    """(text, canonical) of the aliases that a text holds, through each alias's first bigram. ``aliases``: canonical, alias."""
-    known = aliases.withColumn("gram", F.substring("alias", 1, 2)).filter(F.length("alias") >= 2)
-    grams = texts.select("text", F.explode(F.array_distinct(T.char_ngrams(F.col("text"), (2,)))).alias("gram"))
-    return grams.join(small(known, limit), "gram").filter(F.col("text").contains(F.col("alias"))).select("text", "canonical").distinct()
+    """(text, canonical) of the aliases that a text holds, found through an alias's first two characters, or its only one.
+
+    ``aliases``: canonical, alias. Other columns of it are given, too.
+    """
+    known = aliases.filter("alias <> ''").withColumn("__gram", F.substring("alias", 1, 2))
+    grams = _distinct(texts).select("id", F.explode(F.array_distinct(T.char_ngrams(F.col("text"), (1, 2)))).alias("__gram"))
+    pairs = grams.join(small(known, limit), "__gram").drop("__gram").join(_distinct(texts), "id")
+    return pairs.filter(F.col("text").contains(F.col("alias"))).drop("id", "alias").distinct()
+
+
+def resolve_aliases(texts: DataFrame, aliases: DataFrame, families: list[list[str]]) -> DataFrame:
+    """(text, items): the canonical names that a text's aliases stand for, in any letter case, sorted.
+
+    ``aliases``: family, canonical, alias; a canonical name stands for itself. ``families`` are tried in turn: a group of
+    families counts only where no group before it in the same list was hit, e.g. ``[["module", "province"], ["exam"]]``.
+    """
+    both = aliases.select("family", "canonical", F.lower("alias").alias("alias")).unionByName(aliases.select("family", "canonical", F.lower("canonical").alias("alias"))).distinct()
+    named = texts.select(F.col("text").alias("__text"), F.lower("text").alias("text")).distinct()
+    found = named.join(alias_hits(named.select("text"), both), "text").groupBy("__text").agg(F.collect_set(F.struct("family", "canonical")).alias("hits"))
+    of = lambda family: F.transform(F.filter("hits", lambda h: h["family"] == family), lambda h: h["canonical"])
+    chosen = []
+    for chain in families:
+        value = of(chain[-1])
+        for family in reversed(chain[:-1]):
+            value = F.when(F.size(of(family)) > 0, of(family)).otherwise(value)
+        chosen.append(value)
+    return found.select(F.col("__text").alias("text"), F.array_sort(F.array_distinct(F.concat(*chosen))).alias("items"))
 
 
 def best_script_verdict(node: Column, predicted: Column) -> Column:
@@ -237,12 +260,21 @@ def template_hits(replies: DataFrame, scripts: DataFrame, threshold: float = 0.8
     return scored.filter(F.col("similarity") >= threshold).select("text", "script_id", "similarity")
 
 
+def exact_matches(messages: DataFrame, scripts: DataFrame) -> DataFrame:
+    """(text, script_id, similarity 1) of texts that are a script, to the character."""
+    same = small(scripts.select("script_id", F.trim("script_text").alias("text")))
+    return _distinct(messages).select("text", F.trim("text").alias("__t")).join(same.withColumnRenamed("text", "__t"), "__t").select("text", "script_id", F.lit(1.0).alias("similarity"))
+
+
 def first_hit(messages: DataFrame, matches: DataFrame, scripts: DataFrame) -> DataFrame:
-    """One node for each message: the deepest level first, then the tree's order. ``messages``: conv_id, pos, text."""
-    nodes = scripts.select("script_id", "depth", "node_order", "script_pos", "path")
+    """One node for each message: the deepest level first, then the tree's order, with the node's first script as the
+    replacement. ``messages``: conv_id, pos, text; ``matches`` by membership (``exact_matches``) or by similarity."""
+    order = F.struct("script_type", "script_pos", "script_id")
+    heads = scripts.groupBy("path").agg(F.min_by("script_text", order).alias("replacement"))
+    nodes = scripts.select("script_id", "depth", "node_order", "script_pos", "path").join(small(heads), "path")
     hits = messages.join(matches, "text").join(small(nodes), "script_id")
     rank = F.struct((-F.col("depth")).alias("d"), F.col("node_order"), F.col("script_pos"), F.col("script_id"))
-    return hits.groupBy("conv_id", "pos").agg(F.min_by(F.struct("script_id", "depth", "path"), rank).alias("b")).select("conv_id", "pos", "b.*")
+    return hits.groupBy("conv_id", "pos").agg(F.min_by(F.struct("script_id", "depth", "path", "replacement"), rank).alias("b")).select("conv_id", "pos", "b.*")
 
 
 def predicted_paths(scripts: DataFrame, levels: int = 9) -> DataFrame:

@@ -10,11 +10,13 @@ Null texts match nothing; repeated messages are told apart by their position; ti
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dialoom.operators.scripts import small
+from dialoom.operators.scripts import monotone_chain, small
 
 # Thresholds of the strong validation, and of second follow-ups, which go first; their mark.
 STRONG, STRONG_FOLLOW_UP = 0.95, 0.85
@@ -191,3 +193,105 @@ def merged(base: DataFrame, validated: DataFrame, messages: DataFrame, matches:
     plan = F.udf(carry_on, f"struct<path:array<string>,tail:string,levels:array<{LINK}>>", useArrow=True)
     method = F.when(F.col("v_path").isNull(), F.col("method")).otherwise("strong")
     return rows.select("conv_id", method.alias("method"), plan("path", "links", "v_path", "v_links", "predicted", "offers").alias("m")).select("conv_id", "m.path", "method", "m.tail", "m.levels")
+
+
+#: Sentences of a message that a spot has room for.
+SPOT = 1 << 20
+
+
+def sentence_hits(sentences: DataFrame, by_path: DataFrame) -> DataFrame:
+    """(conv_id, spot, path, depth, similarity) of the sentences (conv_id, pos, place, text); a spot orders sentences."""
+    spot = (F.col("pos").cast("long") * SPOT + F.col("place")).alias("spot")
+    return sentences.join(by_path, "text").filter("depth >= 2").select("conv_id", spot, "path", "depth", "similarity")
+
+
+def sentencewise(found: DataFrame, branches: DataFrame) -> DataFrame:
+    """One path for each conversation by its sentences' chains, whose levels occur in order: (conv_id, path, links).
+
+    Paths of two levels come first: the one whose deepest message is the latest, then by coverage, its share, weakest
+    and average link, length, and the later first message. It is carried on to a longer path that is hit at every level,
+    chosen by the same rank. Where no path of two levels is hit, the longer ones compete. ``branches``: path.
+    """
+    levels = branches.select("path", F.explode(F.sequence(F.lit(2), F.size("path"))).alias("level")).withColumn("prefix", F.expr("slice(path, 1, level)"))
+    rows = found.select("conv_id", F.col("path").alias("prefix"), F.col("spot").alias("pos"), "similarity").join(small(levels), "prefix").drop("prefix")
+    chains = monotone_chain(rows).groupBy("conv_id", "path").agg(F.sort_array(F.collect_list(F.struct("level", F.col("pos").alias("spot"), "similarity"))).alias("links"))
+    message = lambda x: F.floor(x["spot"] / SPOT)
+    scores = F.transform("links", lambda x: x["similarity"])
+    covered, depth = F.size("links"), F.size("path")
+    average = F.round(F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / covered, 6)
+    rank = [
+        F.array_max(F.transform("links", message)), covered, covered / (depth - 1), F.array_min(scores), average, depth, -F.array_min(F.transform("links", message)), F.array_join("path", "\1"),
+    ]
+    ranked = chains.withColumn("rank", F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)])).withColumn("whole", F.struct("path", "links"))
+    best = lambda rows: rows.groupBy("conv_id").agg(F.max_by("whole", "rank").alias("m"))
+    second = best(ranked.filter(depth == 2))
+    other = best(ranked.filter(depth > 2).join(second.select("conv_id"), "conv_id", "left_anti"))
+    longer = ranked.filter((depth > 2) & (covered == depth - 1)).join(second.select("conv_id", F.col("m.path").alias("head")), "conv_id").filter(F.slice("path", 1, 2) == F.col("head"))
+    carried = best(longer).withColumnRenamed("m", "further")
+    first = second.join(carried, "conv_id", "left").select("conv_id", F.coalesce("further", "m").alias("m"))
+    return first.unionByName(other).select("conv_id", "m.path", "m.links")
+
+
+def extend_branch(chosen: DataFrame, found: DataFrame, most_levels: int) -> DataFrame:
+    """``sentencewise`` paths carried on, child by child, by sentences strictly after the last link: of the children hit
+    there the best sentence counts, then the earliest, then the last name. At most ``most_levels`` levels are there."""
+    hits = found.select("conv_id", F.col("spot").alias("at"), F.col("path").alias("to"), "depth", F.col("similarity").alias("score"))
+    for _ in range(most_levels - 2):
+        step = chosen.withColumn("last", F.element_at("links", -1)["spot"]).join(hits, "conv_id")
+        step = step.filter((F.col("at") > F.col("last")) & (F.col("depth") == F.size("path") + 1) & (F.slice("to", F.lit(1), F.size("path")) == F.col("path")))
+        rank = F.struct("score", -F.col("at"), F.element_at("to", -1))
+        link = F.struct(F.col("depth").alias("level"), F.col("at").alias("spot"), F.col("score").alias("similarity"))
+        best = step.groupBy("conv_id").agg(F.max_by(F.struct("to", link.alias("link")), rank).alias("n"))
+        chosen = chosen.join(best, "conv_id", "left").select(
+            "conv_id", F.coalesce("n.to", "path").alias("path"), F.when(F.col("n").isNotNull(), F.concat("links", F.array("n.link"))).otherwise(F.col("links")).alias("links")
+        )
+    return chosen
+
+
+def node_table(tree: dict, meta: tuple[str, ...], children_of: str = "children") -> list[dict]:
+    """Rows (path, next_action, expected, info, children) of a nested tree: what each node tells to do, to say (label to
+    text; plain texts under the empty label, of a list the first) and to find out, and its children in order."""
+    out, stack = [], [((k,), v) for k, v in reversed(list(tree.items())) if k not in meta and isinstance(v, dict)]
+    action, said, info = "下一步动作", "预期话术", "关键信息"
+    while stack:
+        path, node = stack.pop()
+        below = [(k, v) for k, v in node.items() if isinstance(v, dict) and k not in meta]
+        words = node.get(said)
+        expected = {str(k): v for k, v in words.items() if isinstance(v, str)} if isinstance(words, dict) else {"": x for x in (words[:1] if isinstance(words, list) else [words]) if isinstance(x, str)}
+        value = node.get(info)
+        notes = [str(x) for x in value if x not in (None, "")] if isinstance(value, list) else [json.dumps(value, ensure_ascii=False)] if isinstance(value, dict) and value else [str(value)] if value not in (None, "", {}) else []
+        out.append({"path": list(path), "next_action": str(node.get(action) or ""), "expected": expected, "info": notes, children_of: [k for k, _ in below]})
+        stack += [((*path, k), v) for k, v in reversed(below)]
+    return out
+
+
+NODES = "path array<string>, next_action string, expected map<string,string>, info array<string>, children array<string>"
+#: Nodes of so many levels or fewer list all children's notes; deeper ones only the next node's.
+LISTED_LEVELS = 3
+ANSWER = "客户回复"
+
+
+def expected_fields(chosen: DataFrame, nodes: DataFrame, items: DataFrame) -> DataFrame:
+    """What to say, do and find out at each conversation's node: (conv_id, next_action, utterances, notes).
+
+    ``chosen``: conv_id, path, predicted (may be null), text (the last customer message); ``nodes``: NODES, small;
+    ``items``: text, items (``scripts.resolve_aliases``). ``utterances`` are those under the items' labels, with or
+    without the mark of an answer before them; all of the node's where none fits. ``notes`` (child to notes) are of all
+    children, or, below LISTED_LEVELS, of the next node: the predicted one, the one that the next action names, or the
+    only one.
+    """
+    here = small(nodes)
+    notes = small(nodes.select(F.slice("path", F.lit(1), F.size("path") - 1).alias("path"), F.element_at("path", -1).alias("child"), "info").filter("size(path) > 0 and size(info) > 0")
+                  .groupBy("path").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("child", "info")))).alias("all_notes")))
+    rows = chosen.join(here, "path").join(notes, "path", "left").join(items.withColumnRenamed("items", "__items"), "text", "left")
+    depth = F.size("path")
+    ahead = F.when(F.size("predicted") > depth, F.try_element_at("predicted", depth + 1))
+    named = F.try_element_at(F.filter("children", lambda c: F.col("next_action") == c), F.lit(1))
+    within = F.try_element_at(F.filter("children", lambda c: F.col("next_action").contains(c)), F.lit(1))
+    lone = F.when(F.size("children") == 1, F.col("children")[0])
+    following = F.coalesce(F.when(F.array_contains("children", ahead), ahead), named, within, lone)
+    none = F.create_map().cast("map<string,array<string>>")
+    told = F.coalesce("all_notes", none)
+    told = F.when(depth <= LISTED_LEVELS, told).otherwise(F.map_filter(told, lambda k, _: F.coalesce(k == following, F.lit(False))))
+    fits = F.map_filter("expected", lambda k, _: F.arrays_overlap(F.coalesce("__items", F.array().cast("array<string>")), F.array(k, F.regexp_replace(k, f"^{ANSWER}", ""))))
+    return rows.select("conv_id", "next_action", F.when(F.size(fits) > 0, fits).otherwise(F.col("expected")).alias("utterances"), told.alias("notes"))

@@ -127,15 +127,34 @@ def targeted_match(spark, sf_dir):
     return G.targeted_then_nearest(_sales(spark, sf_dir), cosine_match(spark, sf_dir), _scripts(spark, sf_dir), labels)
 
 
+def _sentence_hits(spark, sf_dir):
+    parts = _sales(spark, sf_dir).select("conv_id", "pos", F.posexplode(T.sentences(F.col("text"))).alias("place", "text"))
+    return G.sentence_hits(parts, S.best_per_path(S.cosine_matches(parts, _scripts(spark, sf_dir), COSINE), _scripts(spark, sf_dir)))
+
+
+def _sentencewise(spark, sf_dir, extended):
+    ensure_checkpoint_dir(spark)
+    found = _sentence_hits(spark, sf_dir).checkpoint()
+    chosen = G.sentencewise(found, S.branch_paths(_scripts(spark, sf_dir)).select("path"))
+    chosen = G.extend_branch(chosen, found, 4) if extended else chosen
+    spots = F.transform("links", lambda x: F.concat_ws(":", x["level"], F.floor(x["spot"] / G.SPOT), x["spot"] % G.SPOT))
+    return chosen.select("conv_id", F.array_join("path", ">").alias("path"), F.array_join(spots, " ").alias("links"))
+
+
 def sentencewise_match(spark, sf_dir):
-    """Chains over single sentences whose levels occur in order."""
-    parts = _sales(spark, sf_dir).select("conv_id", "pos", F.explode(T.sentences(F.col("text"))).alias("text"))
-    by_path = S.best_per_path(S.cosine_matches(parts, _scripts(spark, sf_dir), COSINE), _scripts(spark, sf_dir))
-    hits = parts.join(by_path.filter("depth >= 2"), "text")
-    paths = hits.select("conv_id", "path").distinct()
-    levels = paths.select("conv_id", "path", F.explode(F.sequence(F.lit(2), F.size("path"))).alias("level")).withColumn("prefix", F.expr("slice(path, 1, level)"))
-    found = levels.join(hits.select("conv_id", F.col("path").alias("prefix"), "pos", "similarity"), ["conv_id", "prefix"]).drop("prefix")
-    return S.monotone_chain(found).select("conv_id", F.array_join("path", ">").alias("path"), "level", "pos", "similarity")
+    """The path of each conversation by single sentences whose levels occur in order."""
+    return _sentencewise(spark, sf_dir, False)
+
+
+def sentencewise_extended(spark, sf_dir):
+    """That path carried on by later sentences."""
+    return _sentencewise(spark, sf_dir, True)
+
+
+def exact_hit(spark, sf_dir):
+    """The node of every message that is one of its scripts, and the node's first script."""
+    sales = _sales(spark, sf_dir)
+    return S.first_hit(sales, S.exact_matches(sales, _scripts(spark, sf_dir)), _scripts(spark, sf_dir)).select("conv_id", "pos", "script_id", "replacement")
 
 
 def keyword_patterns(spark, sf_dir):
@@ -193,7 +212,7 @@ def unmatched_levels(spark, sf_dir):
     return best.select("conv_id", S.unmatched_levels(F.col("path"), F.col("links")).alias("missing"))
 
 
-QUERIES = {f.__name__: f for f in (cosine_match, tfidf_match, lexical_match, sequence_match, latest_match_top1, node_verdict, own_node_match, best_per_path, script_chains, regular_match, strong_match, fallback_match, merged_match, all_level_match, best_candidate, targeted_match, sentencewise_match, keyword_patterns, compliance_hits, compliance_totals, alias_lookup, branch_paths, template_hits, first_hit, predicted_paths, unmatched_levels)}
+QUERIES = {f.__name__: f for f in (cosine_match, tfidf_match, lexical_match, sequence_match, latest_match_top1, node_verdict, own_node_match, best_per_path, script_chains, regular_match, strong_match, fallback_match, merged_match, all_level_match, best_candidate, targeted_match, sentencewise_match, sentencewise_extended, exact_hit, keyword_patterns, compliance_hits, compliance_totals, alias_lookup, branch_paths, template_hits, first_hit, predicted_paths, unmatched_levels)}
 
 
 def _grams(key: str, sizes: tuple[int, ...]) -> str:
@@ -273,7 +292,11 @@ SELECT array_to_string(path, '>') AS path, array_to_string(arg_max(spot, len(spo
 r AS (SELECT DISTINCT sent_text AS text FROM reflow_rows WHERE sent_text IS NOT NULL), c AS (SELECT text, {_CLEAN.format('text')} AS clean FROM r),
 m AS (SELECT text, pattern_id, len(list_filter(kw, lambda k: contains(clean, k))) AS matched, round(len(list_filter(kw, lambda k: contains(clean, k))) / len(kw), 6) AS ratio, greatest(2, ceil(0.35 * len(kw))) AS mm FROM c, p WHERE len(kw) > 0)
 SELECT text, pattern_id, CAST(matched AS INT) AS matched, ratio FROM m WHERE matched > 0 AND (matched >= mm OR ratio >= 0.45) QUALIFY row_number() OVER (PARTITION BY text ORDER BY ratio DESC, matched DESC, pattern_id) = 1""",
-    "alias_lookup": "SELECT DISTINCT r.sent_text AS text, s.sub_id AS canonical FROM (SELECT DISTINCT sent_text FROM reflow_rows WHERE sent_text IS NOT NULL) r, (SELECT sub_id, regexp_replace(sub_theme_alt, '^(提醒|发送|预约|了解|确认)|说明$', '', 'g') AS alias FROM sop_schema) s WHERE length(alias) >= 2 AND contains(r.sent_text, alias)",
+    "alias_lookup": "SELECT DISTINCT r.sent_text AS text, s.sub_id AS canonical FROM (SELECT DISTINCT sent_text FROM reflow_rows WHERE sent_text IS NOT NULL) r, (SELECT sub_id, regexp_replace(sub_theme_alt, '^(提醒|发送|预约|了解|确认)|说明$', '', 'g') AS alias FROM sop_schema) s WHERE alias <> '' AND contains(r.sent_text, alias)",
+    "exact_hit": f"""WITH {MESSAGES.strip()}, sales AS (SELECT conv_id, pos, text FROM msgs WHERE {SALES}),
+first AS (SELECT path, arg_min(script_text, struct_pack(a := script_type, b := script_pos, c := script_id)) AS replacement FROM sop_scripts GROUP BY path)
+SELECT s.conv_id, s.pos, q.script_id, f.replacement FROM sales s JOIN sop_scripts q ON trim(s.text, ' ') = trim(q.script_text, ' ') JOIN first f ON f.path = q.path
+  QUALIFY row_number() OVER (PARTITION BY s.conv_id, s.pos ORDER BY q.depth DESC, q.node_order, q.script_pos, q.script_id) = 1""",
     "branch_paths": "SELECT DISTINCT array_to_string(path[1:n], '>') AS path, CAST(n AS INT) AS depth FROM (SELECT path, unnest(range(2, len(path) + 1)) AS n FROM sop_scripts)",
     "first_hit": f"WITH {_COSINE} SELECT s.conv_id, s.pos, c.script_id, q.depth FROM sales s JOIN cosm c USING (text) JOIN sop_scripts q ON q.script_id = c.script_id QUALIFY row_number() OVER (PARTITION BY s.conv_id, s.pos ORDER BY q.depth DESC, q.node_order, q.script_pos, q.script_id) = 1",
 }

@@ -101,3 +101,44 @@ def test_reordered_and_single_characters_are_candidates(spark):
     texts = spark.createDataFrame([("ab",), ("好",), (None,), ("zz",)], "text string")
     tree = spark.createDataFrame([(1, "ba"), (2, "好")], "script_id long, script_text string")
     assert {(r.text, r.script_id, r.similarity) for r in S.lexical_matches(texts, tree, 0.5).collect()} == {("ab", 1, 1.0), ("好", 2, 1.0)}
+
+
+def sentence(conv, pos, place, path, similarity):
+    return (conv, pos * G.SPOT + place, path, len(path), similarity)
+
+
+def test_sentencewise_prefers_two_levels_and_carries_on(spark):
+    hits = spark.createDataFrame([
+        sentence(1, 0, 0, ["A", "a"], 0.9), sentence(1, 0, 1, ["A", "a", "x"], 0.8), sentence(1, 3, 0, ["A", "b"], 0.7),
+        sentence(2, 0, 0, ["A", "a"], 0.9), sentence(2, 1, 0, ["A", "a", "x"], 0.8), sentence(2, 2, 1, ["A", "a", "x", "y"], 0.7),
+        sentence(3, 5, 0, ["A", "a", "x"], 0.8),
+        sentence(4, 1, 1, ["A", "a"], 0.9), sentence(4, 1, 0, ["A", "a", "x"], 0.95),
+    ], "conv_id long, spot long, path array<string>, depth int, similarity double")
+    branches = spark.createDataFrame([(p,) for _, p, _ in TREE if len(p) > 1], "path array<string>")
+    chosen = G.sentencewise(hits, branches)
+    got = {r.conv_id: (">".join(r.path), [x.level for x in r.links]) for r in chosen.collect()}
+    assert got == {1: ("A>b", [2]), 2: ("A>a>x>y", [2, 3, 4]), 3: ("A>a>x", [3]), 4: ("A>a>x", [2, 3])}
+    start = spark.createDataFrame([(2, ["A", "a"], [(2, 0, 0.9)]), (4, ["A", "a"], [(2, G.SPOT + 1, 0.9)])], "conv_id long, path array<string>, links array<struct<level:int,spot:long,similarity:double>>")
+    longer = {r.conv_id: ">".join(r.path) for r in G.extend_branch(start, hits, 4).collect()}
+    assert longer == {2: "A>a>x>y", 4: "A>a"}
+
+
+def test_aliases_by_family(spark):
+    aliases = spark.createDataFrame([("module", "资料", "资料分析"), ("module", "言语", "y"), ("province", "浙江", "浙"), ("exam", "国考", "国家")], "family string, canonical string, alias string")
+    texts = spark.createDataFrame([("我考浙江的资料分析",), ("我在浙国家",), ("Y不好",), ("无",), (None,)], "text string")
+    got = {r.text: r["items"] for r in S.resolve_aliases(texts, aliases, [["module", "province"], ["exam"]]).collect()}
+    assert got == {"我考浙江的资料分析": ["资料"], "我在浙国家": ["国考", "浙江"], "Y不好": ["言语"]}
+
+
+def test_expected_fields(spark):
+    tree = {"A": {"下一步动作": "去a", "预期话术": {"客户回复资料": "p", "言语": "q"}, "a": {"关键信息": ["i"], "预期话术": ["r", "s"]}, "b": {"关键信息": "j"}, "c": {}}}
+    nodes = spark.createDataFrame(G.node_table(tree, S.SCRIPT_LISTS + S.NODE_DATA), G.NODES)
+    chosen = spark.createDataFrame([(1, ["A"], None, "资料"), (2, ["A"], None, "x"), (3, ["A", "a"], None, None), (4, ["Z"], None, "x")], "conv_id long, path array<string>, predicted array<string>, text string")
+    items = spark.createDataFrame([("资料", ["资料"])], "text string, items array<string>")
+    got = {r.conv_id: (r.next_action, r.utterances, r.notes) for r in G.expected_fields(chosen, nodes, items).collect()}
+    assert got == {1: ("去a", {"客户回复资料": "p"}, {"a": ["i"], "b": ["j"]}), 2: ("去a", {"客户回复资料": "p", "言语": "q"}, {"a": ["i"], "b": ["j"]}), 3: ("", {"": "r"}, {})}
+    deep = {"A": {"B": {"C": {"D": {"下一步动作": "再去F", "E": {"关键信息": "e"}, "F": {"关键信息": "f"}}}}}}
+    nodes = spark.createDataFrame(G.node_table(deep, S.SCRIPT_LISTS + S.NODE_DATA), G.NODES)
+    at = ["A", "B", "C", "D"]
+    chosen = spark.createDataFrame([(1, at, [*at, "E"], "x"), (2, at, at, "x")], "conv_id long, path array<string>, predicted array<string>, text string")
+    assert {r.conv_id: r.notes for r in G.expected_fields(chosen, nodes, items).collect()} == {1: {"E": ["e"]}, 2: {"F": ["f"]}}
