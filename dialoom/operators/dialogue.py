@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.functions.blank import is_blank, strip
@@ -89,10 +89,13 @@ def last_customer_message(history: Column) -> Column:
 
 
 def last_customer_block(history: Column) -> Column:
-    """The last head line that names the customer, with its continuation lines, head kept."""
-    clean = F.array_join(F.filter(F.transform(F.split(F.coalesce(history, F.lit("")), r"\r\n|\n|\r"), lambda x: F.rtrim(x)), lambda x: x != ""), "\n")
-    chunks = F.filter(F.split(F.regexp_replace(clean, r"(?m)^(?=\[)", _CUT), _CUT), lambda c: c.contains(CUSTOMER))
-    return F.coalesce(F.rtrim(F.try_element_at(chunks, F.lit(-1))), F.lit(""))
+    """The last line that names the customer with the lines after it, up to the next head; stripped lines, head kept.
+
+    A head is a line that begins with a bracketed name. Further lines that name the customer within a block belong to it.
+    """
+    chunks = F.split(F.regexp_replace(F.array_join(lines(history), "\n"), r"(?m)^(?=\[[^\]\n]+\])", _CUT), _CUT)
+    named = F.filter(F.transform(chunks, lambda c: F.regexp_extract(c, r"(?s)(?:^|\n)([^\n]*\[客户\].*)$", 1)), lambda c: c != "")
+    return F.coalesce(strip(F.try_element_at(named, F.lit(-1))), F.lit(""))
 
 
 def trailing_customer_block(parsed: Column) -> Column:
@@ -106,7 +109,7 @@ def customer_turns(history: Column) -> Column:
     return F.regexp_count(F.coalesce(history, F.lit("")), F.lit(r"\[客户\]"))
 
 
-_ANY_HEAD = r"(?:\[([^\]\n]{1,40})\](?:\[([^\]\n]{1,40})\])?|(客户|销售|CSM|系统))[^\S\n]*[:：]"
+_ANY_HEAD = r"(?:\[([^\]\n]++)\](?:\[([^\]\n]++)\])?|(客户|销售|CSM|系统))[^\S\n]*[:：]"
 
 
 def parse_any(history: Column) -> Column:
@@ -152,3 +155,25 @@ def transcripts(rows: DataFrame, chunk: int = 1000) -> DataFrame:
     ordered = once.groupBy("file_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("msg_id", "m"))).alias("ms"))
     text = lambda keep: F.array_join(F.transform(F.filter("ms", keep), lambda m: m["m"]["line"]), "\n")
     return ordered.select("file_id", "chunk", text(lambda m: F.lit(True)).alias("full"), text(lambda m: ~m["m"]["image"]).alias("plain"))
+
+
+def reply_blocks(rows: DataFrame, is_anchor: Column) -> DataFrame:
+    """For each anchor the customer messages that answer it: (conv_id, pos, script, block, last_pos, closed).
+
+    ``rows``: conv_id, pos, speaker, ts, text. The block is the first run of customer messages after the anchor, behind
+    further sales messages at most; each line keeps its own time. ``closed`` tells whether a sales message follows it.
+    An anchor that another speaker, or nothing, comes after has none.
+    """
+    conv = Window.partitionBy("conv_id").orderBy("pos")
+    side = F.when(is_sales(F.col("speaker")), "s").when(F.col("speaker") == "客户", "c").otherwise("o")
+    sided = rows.withColumns({"__side": side, "__anchor": F.coalesce(is_anchor, F.lit(False))})
+    runs = sided.withColumn("__new", (F.col("__side") != F.coalesce(F.lag("__side").over(conv), F.lit(""))).cast("int")).withColumn("__run", F.sum("__new").over(conv))
+    after = Window.partitionBy("conv_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = runs.withColumn("__next", F.last(F.when(F.col("__side") != "s", F.struct("__side", "__run")), ignorenulls=True).over(after)).withColumn("__follow", F.lead("__side").over(conv))
+    line = F.concat(F.lit("[客户]["), F.coalesce("ts", F.lit("")), F.lit("]："), "text")
+    told = ahead.filter("__side = 'c'").groupBy("conv_id", "__run").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("block"), F.max("pos").alias("last_pos"),
+        F.coalesce(F.max_by("__follow", "pos") == "s", F.lit(False)).alias("closed"),
+    )
+    anchors = ahead.filter("__anchor and __side = 's' and __next.__side = 'c'").select("conv_id", "pos", F.col("text").alias("script"), F.col("__next.__run").alias("__run"))
+    return anchors.join(told, ["conv_id", "__run"]).select("conv_id", "pos", "script", "block", "last_pos", "closed")

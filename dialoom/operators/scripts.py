@@ -137,6 +137,12 @@ def lexical_matches(messages: DataFrame, scripts: DataFrame, threshold: float) -
     return pairs.withColumn("similarity", F.round(lexical_similarity(T.match_key(F.col("text")), T.match_key(F.col("script_text"))), 6)).filter(F.col("similarity") >= threshold).select("text", "script_id", "similarity")
 
 
+def composite_matches(messages: DataFrame, scripts: DataFrame, threshold: float) -> DataFrame:
+    """The better of the lexical similarity and the TF-IDF cosine, where it reaches the threshold."""
+    both = lexical_matches(messages, scripts, threshold).unionByName(tfidf_matches(messages, scripts, threshold))
+    return both.groupBy("text", "script_id").agg(F.max("similarity").alias("similarity"))
+
+
 def sequence_or_cosine(messages: DataFrame, scripts: DataFrame, threshold: float, sequence_threshold: float = 0.4) -> DataFrame:
     """The cosine where it reaches the threshold, else the sequence ratio where that reaches its own: the cheap
     measure first, the alignment only for what it leaves."""

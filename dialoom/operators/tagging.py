@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dialoom.functions import text as T
 from dialoom.operators.scripts import monotone_chain, small
 
 # Thresholds of the strong validation, and of second follow-ups, which go first; their mark.
@@ -171,6 +172,41 @@ def carry_on(path: list | None, links: list | None, v_path: list | None, v_links
     return list(predicted[: max(levels)]) if max(levels) > depth else list(v_path), "成功" if found else "失败", [levels[k] for k in sorted(levels)]
 
 
+# Why a stored node is not confirmed.
+NO_LABEL, NO_HISTORY, NO_SALES, NO_SCRIPTS, NO_MATCH = "缺少SOP节点标签", "缺少历史对话", "历史对话中没有销售侧消息", "SOP节点未找到参考话术", "未找到满足阈值的匹配"
+
+
+def verify(conversations: DataFrame, sales: DataFrame, matches: DataFrame, scripts: DataFrame) -> DataFrame:
+    """Whether a reply of each conversation matches a script of its stored node, the latest such reply, or why not.
+
+    ``conversations``: conv_id, final_context, sop_l1, sop_l2; ``sales``: conv_id, pos, ts, text. Labels are looked up as
+    they stand, else by their match keys. (conv_id, match_status, match_hit, match_reason, latest_sales_message,
+    latest_sales_time, pos, script_id, similarity, turn_from_last).
+    """
+    nodes = scripts.filter(F.size("path") > 1).select("script_id", F.col("path")[0].alias("n1"), F.col("path")[1].alias("n2"))
+    keyed = nodes.select("*", T.match_key(F.col("n1")).alias("k1"), T.match_key(F.col("n2")).alias("k2"))
+    stored = conversations.select("conv_id", "final_context", "sop_l1", "sop_l2")
+    labels = stored.select("sop_l1", "sop_l2").distinct().select("*", T.match_key(F.col("sop_l1")).alias("k1"), T.match_key(F.col("sop_l2")).alias("k2"))
+    refs = labels.join(small(keyed), ["k1", "k2"]).withColumn("exact", (F.col("n1") == F.col("sop_l1")) & (F.col("n2") == F.col("sop_l2")))
+    own = refs.groupBy("sop_l1", "sop_l2").agg(F.collect_set(F.struct("exact", "script_id")).alias("refs"))  # a node's scripts
+    own = own.select("sop_l1", "sop_l2", F.when(F.exists("refs", lambda r: r["exact"]), F.filter("refs", lambda r: r["exact"])).otherwise(F.col("refs")).alias("refs"))
+    known = stored.join(own, ["sop_l1", "sop_l2"], "left")
+    hit = sales.join(matches, "text").join(known.select("conv_id", F.explode("refs.script_id").alias("script_id")), ["conv_id", "script_id"])
+    found = hit.groupBy("conv_id").agg(F.max_by(F.struct("pos", "script_id", "similarity"), F.struct("pos", "similarity", -F.col("script_id"))).alias("m"))
+    said = sales.groupBy("conv_id").agg(F.max_by(F.struct("text", "ts"), "pos").alias("last"), F.sort_array(F.collect_list("pos")).alias("places"))
+    rows = known.join(said, "conv_id", "left").join(found, "conv_id", "left")
+    reason = (
+        F.when(F.col("sop_l1").isNull() | F.col("sop_l2").isNull(), NO_LABEL).when(F.trim(F.coalesce("final_context", F.lit(""))) == "", NO_HISTORY).when(F.col("last").isNull(), NO_SALES)
+        .when(F.col("refs").isNull(), NO_SCRIPTS).when(F.col("m").isNull(), NO_MATCH).otherwise("")
+    )
+    status = reason == ""
+    turn = F.when(status, F.size(F.filter("places", lambda x: x >= F.col("m.pos"))))
+    return rows.select(
+        "conv_id", status.alias("match_status"), F.when(status, "是").otherwise("否").alias("match_hit"), reason.alias("match_reason"), F.coalesce("last.text", F.lit("")).alias("latest_sales_message"),
+        F.coalesce("last.ts", F.lit("")).alias("latest_sales_time"), "m.pos", "m.script_id", "m.similarity", turn.alias("turn_from_last"),
+    )
+
+
 def merged(base: DataFrame, validated: DataFrame, messages: DataFrame, matches: DataFrame, scripts: DataFrame, predicted: DataFrame) -> DataFrame:
     """The strongly validated path, carried on: (conv_id, path, method, tail, levels).
 

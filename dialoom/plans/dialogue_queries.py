@@ -155,6 +155,12 @@ def case_contexts(spark, sf_dir):
     )
 
 
+def reply_blocks(spark, sf_dir):
+    """The customer's messages that answer a scripted reply."""
+    scripts = F.broadcast(table(spark, sf_dir, "sop_scripts").select(F.trim("script_text").alias("text")).distinct().withColumn("scripted", F.lit(True)))
+    return D.reply_blocks(D.messages(_corpus(spark, sf_dir), "conv_id", "final_context").join(scripts, "text", "left"), F.col("scripted"))
+
+
 def parse_history_any(spark, sf_dir):
     """Messages of the test set's histories, whatever their layout."""
     return table(spark, sf_dir, "testset").select("case_id", F.inline(D.two_sides(D.parse_any(F.col("history")))))
@@ -171,7 +177,7 @@ def transcript_chunks(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (scan_project_blank, parse_history, standardize_speakers, complete_conversation, truncate_to_last_customer, last_customer_message, sync_latest_message, merge_trailing_block, sales_rounds, sales_blocks_around_last, sentence_split, question_flags, classify_message, media_only_filter, text_forms, char_set_ops, script_variants, split_transmit_action, expected_parts, duplicate_judge, case_contexts, parse_history_any, last_two_customer, transcript_chunks)
+    for f in (scan_project_blank, parse_history, standardize_speakers, complete_conversation, truncate_to_last_customer, last_customer_message, sync_latest_message, merge_trailing_block, sales_rounds, sales_blocks_around_last, sentence_split, question_flags, classify_message, media_only_filter, text_forms, char_set_ops, script_variants, split_transmit_action, expected_parts, duplicate_judge, case_contexts, reply_blocks, parse_history_any, last_two_customer, transcript_chunks)
 }
 
 _W = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
@@ -295,6 +301,19 @@ a AS (SELECT m.*, concat(coalesce(speaker, ''), ': ', text) AS line, {SALES} AND
 c AS (SELECT *, coalesce(speaker = '客户' AND lag(anchor) OVER (PARTITION BY conv_id ORDER BY pos), FALSE) AS cut,
   string_agg(line, chr(10)) OVER (PARTITION BY conv_id ORDER BY pos) AS context, coalesce(string_agg(line, chr(10)) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rest FROM a)
 SELECT conv_id, pos, context, rest FROM c WHERE cut""",
+    "reply_blocks": f"""WITH {MESSAGES.strip()},
+a AS (SELECT *, CASE WHEN {SALES} THEN 's' WHEN speaker = '客户' THEN 'c' ELSE 'o' END AS side, text IN (SELECT trim(script_text) FROM sop_scripts) AS scripted FROM msgs),
+r AS (SELECT *, sum(CASE WHEN coalesce(lagged, '') <> side THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos) AS run FROM (SELECT *, lag(side) OVER (PARTITION BY conv_id ORDER BY pos) AS lagged, lead(side) OVER (PARTITION BY conv_id ORDER BY pos) AS follow FROM a)),
+b AS (SELECT conv_id, run, string_agg('[客户][' || coalesce(ts, '') || ']：' || text, chr(10) ORDER BY pos) AS block, min(pos) AS first_pos, max(pos) AS last_pos, coalesce(arg_max(coalesce(follow, ''), pos) = 's', FALSE) AS closed FROM r WHERE side = 'c' GROUP BY 1, 2),
+n AS (SELECT x.conv_id, x.pos, x.text AS script, (SELECT min(y.pos) FROM r y WHERE y.conv_id = x.conv_id AND y.pos > x.pos AND y.side <> 's') AS nxt FROM r x WHERE x.side = 's' AND x.scripted)
+SELECT n.conv_id, n.pos, n.script, b.block, b.last_pos, b.closed FROM n JOIN r z ON z.conv_id = n.conv_id AND z.pos = n.nxt AND z.side = 'c' JOIN b ON b.conv_id = z.conv_id AND b.run = z.run""",
+    "sync_latest_message": f"""WITH l AS (SELECT conv_id, latest_message, list_filter(list_transform(string_split_regex(coalesce(final_context, ''), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: {_strip('x')}), lambda x: x <> '') AS a FROM tagging_corpus),
+e AS (SELECT conv_id, latest_message, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM l),
+h AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^\\[[^\\]]+\\]') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i) AS chunk, contains(line, '[客户]') AS named FROM e),
+f AS (SELECT *, min(CASE WHEN named THEN i END) OVER (PARTITION BY conv_id, chunk) AS start FROM h),
+b AS (SELECT conv_id, chunk, string_agg(line, chr(10) ORDER BY i) AS block FROM f WHERE i >= start GROUP BY 1, 2),
+k AS (SELECT conv_id, arg_max(block, chunk) AS block FROM b GROUP BY 1)
+SELECT t.conv_id, coalesce(k.block, '') AS block, coalesce(k.block, '') <> '' AND k.block IS DISTINCT FROM t.latest_message AS changed FROM tagging_corpus t LEFT JOIN k USING (conv_id)""",
     "last_two_customer": f"""WITH {MESSAGES.strip()},
 e AS (SELECT *, max(CASE WHEN coalesce(speaker, '') <> '客户' THEN pos END) OVER (PARTITION BY conv_id) AS brk, max(pos) OVER (PARTITION BY conv_id) AS hi FROM msgs),
 b AS (SELECT conv_id, string_agg(text, '|' ORDER BY pos) AS texts FROM e WHERE (brk IS NULL OR pos > brk) AND pos > hi - 2 GROUP BY conv_id)

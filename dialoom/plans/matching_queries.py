@@ -61,6 +61,17 @@ def own_node_match(spark, sf_dir):
     return hits.groupBy("conv_id").agg(F.max_by(F.struct("pos", "script_id", "similarity"), rank).alias("m")).select("conv_id", "m.*")
 
 
+def verify_matches(spark, sf_dir):
+    """Stored nodes confirmed by a reply, or why not."""
+    rows = D.messages(table(spark, sf_dir, "tagging_corpus").select("conv_id", "final_context"), "conv_id", "final_context")
+    sales = rows.filter(D.is_sales(F.col("speaker"))).select("conv_id", "pos", "ts", "text")
+    return G.verify(table(spark, sf_dir, "tagging_corpus"), sales, S.cosine_matches(sales, _scripts(spark, sf_dir), COSINE), _scripts(spark, sf_dir))
+
+
+def composite_match(spark, sf_dir):
+    return S.composite_matches(_sales(spark, sf_dir), _scripts(spark, sf_dir), LEXICAL)
+
+
 def best_per_path(spark, sf_dir):
     """The best script of each path for every distinct sales message."""
     return S.best_per_path(cosine_match(spark, sf_dir), _scripts(spark, sf_dir)).select("text", F.array_join("path", ">").alias("path"), "similarity", "script_id")
@@ -212,7 +223,7 @@ def unmatched_levels(spark, sf_dir):
     return best.select("conv_id", S.unmatched_levels(F.col("path"), F.col("links")).alias("missing"))
 
 
-QUERIES = {f.__name__: f for f in (cosine_match, tfidf_match, lexical_match, sequence_match, latest_match_top1, node_verdict, own_node_match, best_per_path, script_chains, regular_match, strong_match, fallback_match, merged_match, all_level_match, best_candidate, targeted_match, sentencewise_match, sentencewise_extended, exact_hit, keyword_patterns, compliance_hits, compliance_totals, alias_lookup, branch_paths, template_hits, first_hit, predicted_paths, unmatched_levels)}
+QUERIES = {f.__name__: f for f in (cosine_match, tfidf_match, lexical_match, sequence_match, latest_match_top1, node_verdict, own_node_match, verify_matches, composite_match, best_per_path, script_chains, regular_match, strong_match, fallback_match, merged_match, all_level_match, best_candidate, targeted_match, sentencewise_match, sentencewise_extended, exact_hit, keyword_patterns, compliance_hits, compliance_totals, alias_lookup, branch_paths, template_hits, first_hit, predicted_paths, unmatched_levels)}
 
 
 def _grams(key: str, sizes: tuple[int, ...]) -> str:
@@ -267,6 +278,15 @@ ORACLES = {
     "latest_match_top1": f"WITH {_COSINE} SELECT conv_id, m.pos AS pos, m.text AS text, m.script_id AS script_id, m.similarity AS similarity FROM late",
     "node_verdict": f"WITH {_COSINE} SELECT t.conv_id, CASE WHEN s.path IS NULL THEN '未定位' WHEN coalesce(trim(t.sop_l1), '') = '' THEN '无原SOP标签' WHEN t.sop_l1 = s.path[1] THEN '一致' ELSE '不一致' END AS verdict FROM tagging_corpus t LEFT JOIN late ON late.conv_id = t.conv_id LEFT JOIN sop_scripts s ON s.script_id = late.m.script_id",
     "own_node_match": f"WITH {_COSINE} SELECT s.conv_id, s.pos, c.script_id, c.similarity FROM sales s JOIN cosm c USING (text) JOIN tagging_corpus t ON t.conv_id = s.conv_id JOIN sop_scripts q ON q.script_id = c.script_id AND q.path[1] = t.sop_l1 AND q.path[2] = t.sop_l2 QUALIFY row_number() OVER (PARTITION BY s.conv_id ORDER BY s.pos DESC, c.similarity DESC, c.script_id) = 1",
+    "verify_matches": f"""WITH {_COSINE}, st AS (SELECT conv_id, arg_max(struct_pack(t := text, ts := coalesce(ts, '')), pos) AS last, list(pos) AS places FROM msgs WHERE {SALES} GROUP BY 1),
+nd AS (SELECT script_id, path[1] AS n1, path[2] AS n2 FROM sop_scripts WHERE len(path) > 1), ex AS (SELECT DISTINCT n1, n2, TRUE AS e FROM nd),
+ref AS (SELECT t.conv_id, nd.script_id FROM tagging_corpus t LEFT JOIN ex ON ex.n1 = t.sop_l1 AND ex.n2 = t.sop_l2 JOIN nd ON CASE WHEN e THEN nd.n1 = t.sop_l1 AND nd.n2 = t.sop_l2 ELSE {match_key_sql('nd.n1')} = {match_key_sql('t.sop_l1')} AND {match_key_sql('nd.n2')} = {match_key_sql('t.sop_l2')} END),
+ht AS (SELECT s.conv_id, s.pos, c.script_id, c.similarity FROM sales s JOIN cosm c USING (text) JOIN ref r ON r.conv_id = s.conv_id AND r.script_id = c.script_id QUALIFY row_number() OVER (PARTITION BY s.conv_id ORDER BY s.pos DESC, c.similarity DESC, c.script_id) = 1),
+w AS (SELECT t.conv_id, CASE WHEN t.sop_l1 IS NULL OR t.sop_l2 IS NULL THEN '缺少SOP节点标签' WHEN trim(coalesce(t.final_context, ''), ' ') = '' THEN '缺少历史对话' WHEN st.last IS NULL THEN '历史对话中没有销售侧消息'
+  WHEN t.conv_id NOT IN (SELECT conv_id FROM ref) THEN 'SOP节点未找到参考话术' WHEN ht.pos IS NULL THEN '未找到满足阈值的匹配' ELSE '' END AS match_reason, coalesce(st.last.t, '') AS latest_sales_message, coalesce(st.last.ts, '') AS latest_sales_time, ht.pos, ht.script_id, ht.similarity, places
+  FROM tagging_corpus t LEFT JOIN st USING (conv_id) LEFT JOIN ht USING (conv_id))
+SELECT conv_id, match_reason = '' AS match_status, CASE WHEN match_reason = '' THEN '是' ELSE '否' END AS match_hit, match_reason, latest_sales_message, latest_sales_time, pos, script_id, similarity,
+  CASE WHEN match_reason = '' THEN CAST(len(list_filter(places, lambda x: x >= pos)) AS INT) END AS turn_from_last FROM w""",
     "best_per_path": f"WITH {_COSINE} SELECT text, array_to_string(path, '>') AS path, similarity, script_id FROM bpp",
     "script_chains": f"WITH {_COSINE} SELECT conv_id, array_to_string(path, '>') AS path, CAST(level AS INT) AS level, pos, similarity FROM chn",
     "regular_match": f"WITH {_CAND} SELECT {_SHOWN} FROM cand QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC, covered / (len(path) - 1) DESC, covered DESC, weakest DESC, strongest DESC, len(path), node_order) = 1",

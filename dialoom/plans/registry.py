@@ -113,19 +113,21 @@ def run_sop_pipeline(spark: SparkSession, t: Tables, p: dict) -> Tables:
 
 @program(("conversations", "scripts"), mode=Parameter(str, "both"), similarity_threshold=Parameter(float, 0.6))
 def reference_matcher(spark: SparkSession, t: Tables, p: dict) -> Tables:
-    """The latest reply that matches a script of the stored node (verify), of any node (infer), or both compared."""
-    sales = dialogue.messages(t["conversations"].select("conv_id", "final_context"), "conv_id", "final_context").filter(dialogue.is_sales(F.col("speaker"))).select("conv_id", "pos", "text")
-    matches = scripts.cosine_matches(sales, t["scripts"], p["similarity_threshold"])
+    """The latest reply that matches a script of the stored node (verify), of any node (infer), or both compared.
+
+    A match is scored by the better of the lexical similarity and the TF-IDF cosine."""
+    rows = dialogue.messages(t["conversations"].select("conv_id", "final_context"), "conv_id", "final_context")
+    sales = rows.filter(dialogue.is_sales(F.col("speaker"))).select("conv_id", "pos", "ts", "text")
+    matches = scripts.composite_matches(sales, t["scripts"], p["similarity_threshold"])
     nodes = t["scripts"].select("script_id", F.col("path")[0].alias("node_1"), F.col("path")[1].alias("node_2"))
     out: Tables = {}
     if p["mode"] in ("verify", "both"):
-        own = sales.join(matches, "text").join(scripts.small(nodes), "script_id").join(t["conversations"].select("conv_id", F.col("sop_l1").alias("node_1"), F.col("sop_l2").alias("node_2")), ["conv_id", "node_1", "node_2"])
-        out["verified"] = own.groupBy("conv_id").agg(F.max_by(F.struct("pos", "text", "script_id", "similarity"), F.struct("pos", "similarity")).alias("m")).select("conv_id", "m.*")
+        out["verified"] = tagging.verify(t["conversations"], sales, matches, t["scripts"])
     if p["mode"] in ("infer", "both"):
         out["inferred"] = scripts.latest_match(sales, matches).join(scripts.small(nodes), "script_id")
     if p["mode"] == "both":
-        rows = t["conversations"].select("conv_id", "sop_l1").join(out["inferred"].select("conv_id", "node_1"), "conv_id", "left")
-        out["compared"] = rows.select("conv_id", scripts.best_script_verdict(F.col("sop_l1"), F.col("node_1")).alias("verdict"))
+        joined = t["conversations"].select("conv_id", "sop_l1").join(out["inferred"].select("conv_id", "node_1"), "conv_id", "left")
+        out["compared"] = joined.select("conv_id", scripts.best_script_verdict(F.col("sop_l1"), F.col("node_1")).alias("verdict"))
     return out
 
 
@@ -198,11 +200,15 @@ def clean_bad_cases(spark: SparkSession, t: Tables, p: dict) -> Tables:
     return {"cases": cases.join(fields, "case_id", "left").join(labels, "case_id", "left")}
 
 
-@program(("conversations", "scripts"))
+@program(("conversations", "scripts"), mode=Parameter(str, "single"))
 def cut_cases(spark: SparkSession, t: Tables, p: dict) -> Tables:
-    """Customer messages that directly follow a scripted reply, in file order of each conversation."""
+    """Customer messages that answer a scripted reply: the one right after it (single), or the run of them (mult)."""
+    if p["mode"] not in ("single", "mult"):
+        raise ValueError("mode is single or mult")
     known = scripts.small(t["scripts"].select(F.trim("script_text").alias("text")).distinct().withColumn("scripted", F.lit(True)))
     rows = dialogue.messages(t["conversations"].select("conv_id", "final_context"), "conv_id", "final_context").join(known, "text", "left")
+    if p["mode"] == "mult":
+        return {"cases": dialogue.reply_blocks(rows, F.col("scripted"))}
     anchors = rows.filter(F.col("scripted") & dialogue.is_sales(F.col("speaker"))).select("conv_id", (F.col("pos") + 1).alias("pos"), F.col("text").alias("script"))
     return {"cases": rows.filter(F.col("speaker") == "客户").join(anchors, ["conv_id", "pos"]).select("conv_id", "pos", "script", "text")}
 

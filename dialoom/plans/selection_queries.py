@@ -185,9 +185,9 @@ def customers_per_desk(spark, sf_dir):
 
 
 def target_nodes(spark, sf_dir):
-    """Customer rows of the wanted first-level nodes."""
+    """Rows of the wanted first-level nodes."""
     wanted = [r.task_theme for r in table(spark, sf_dir, "sop_schema").filter("task_pos < 2").select("task_theme").distinct().collect()]  # a fixed table
-    return table(spark, sf_dir, "reflow_rows").filter((F.col("sender") == "客户") & F.col("sop_l1").isin(wanted)).select("row_order", "sop_l1")
+    return table(spark, sf_dir, "reflow_rows").filter(F.col("sop_l1").isin(wanted)).select("row_order", "sop_l1")
 
 
 def id_range(spark, sf_dir):
@@ -295,7 +295,7 @@ SELECT * FROM d QUALIFY dimension <> 'sales' OR row_number() OVER (PARTITION BY
     "scenario_statistics": f"""WITH {_CYCLE} SELECT '周期-' || coalesce(cycle, '') AS scenario, count(*) AS rows FROM cyc GROUP BY cycle UNION ALL SELECT '类型-' || coalesce(message_type, ''), count(*) FROM cyc GROUP BY message_type
 UNION ALL SELECT '疑问-' || coalesce(CAST(is_question AS VARCHAR), ''), count(*) FROM cyc GROUP BY is_question""",
     "customers_per_desk": "SELECT sales_id, sales_name, count(DISTINCT customer_id) AS customers FROM reflow_rows GROUP BY 1, 2",
-    "target_nodes": "SELECT row_order, sop_l1 FROM reflow_rows WHERE sender = '客户' AND sop_l1 IN (SELECT task_theme FROM sop_schema WHERE task_pos < 2)",
+    "target_nodes": "SELECT row_order, sop_l1 FROM reflow_rows WHERE sop_l1 IN (SELECT task_theme FROM sop_schema WHERE task_pos < 2)",
     "id_range": "SELECT row_id, file_id, msg_id FROM chat_messages WHERE file_id IS NOT NULL AND msg_id BETWEEN 10 AND 20",
     "lead_expected_reply": """WITH n AS (SELECT case_id, latest_message, lead(last_sales_messages) OVER (PARTITION BY customer_id ORDER BY message_time NULLS FIRST, case_id) AS nx FROM testset),
 u AS (SELECT case_id, CASE WHEN coalesce(trim(latest_message), '') <> '' AND len(nx) > 0 THEN nx END AS nx FROM n)
