@@ -4,7 +4,8 @@ Method: a regularised linear classifier over hashed character n-grams, length an
 a segment's opening) scores every segment of every message, and its score alone decides. Its weak labels come from
 response statuses and phrases; segments whose only mark could also be a person's own word (``undefined``, ``XX``) stay
 unlabelled, so what surrounds such a mark decides. It is fitted on a bounded sample (``max_positive`` and
-``max_negative`` distinct segments, both documented parameters, in hash order); its threshold is the one with the best
+``max_negative`` distinct segments in hash order, and the ``max_common`` negatives said most often, whatever the size
+of the corpus; all three are documented parameters); its threshold is the one with the best
 F1 on hosts that the fit has not seen (``host`` is the sales desk), in the middle of the gap there.
 
 No phrase list is complete, so a segment of residue without a listed phrase is among the weak negatives. A cross-fit
@@ -24,6 +25,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -176,7 +178,7 @@ def best_threshold(scores: np.ndarray, truth: np.ndarray) -> float:
 
 
 def train(
-    pieces: DataFrame, host_col: str, max_positive: int = 4000, max_negative: int = 8000, held_out: int = 5, withheld: frozenset[str] = frozenset()
+    pieces: DataFrame, host_col: str, max_positive: int = 4000, max_negative: int = 8000, max_common: int = 4000, held_out: int = 5, withheld: frozenset[str] = frozenset()
 ) -> Residue | None:
     """Fit on a bounded sample of weakly labelled segments (column ``segment``); None without a weak positive.
 
@@ -187,13 +189,14 @@ def train(
     certain, evidence = rf"(?iU)(?:{listed})", rf"(?iU)(?:{listed}|{DOUBTFUL})"
     label = F.when(F.col("segment").rlike(certain), 1).when(~F.col("segment").rlike(evidence) | F.col("segment").rlike(OWN_WORDS), 0)
     kept_out = F.pmod(F.xxhash64(F.coalesce(F.col(host_col), F.lit(""))), F.lit(held_out)) == 0
-    distinct = pieces.select("segment", kept_out.alias("out")).groupBy("segment").agg(F.bool_and("out").alias("unseen"))
-    once = distinct.select("segment", "unseen", label.alias("label")).filter(F.col("label").isNotNull()).persist()
+    distinct = pieces.select("segment", kept_out.alias("out")).groupBy("segment").agg(F.bool_and("out").alias("unseen"), F.count(F.lit(1)).alias("said"))
+    once = distinct.select("segment", "unseen", "said", label.alias("label")).filter(F.col("label").isNotNull()).persist()
+    by_hash = [F.xxhash64("segment"), F.col("segment")]
     ranked = [
-        once.filter(F.col("label") == want).orderBy(F.xxhash64("segment"), "segment").limit(most)
-        for want, most in ((1, max_positive), (0, max_negative))
+        once.filter(F.col("label") == want).orderBy(*order).limit(most)
+        for want, most, order in ((1, max_positive, by_hash), (0, max_negative, by_hash), (0, max_common, [F.desc("said"), *by_hash]))
     ]
-    rows = ranked[0].unionByName(ranked[1]).collect()
+    rows = reduce(DataFrame.unionByName, ranked).distinct().orderBy(*by_hash).collect()
     once.unpersist()
     if not any(r.label for r in rows):
         return None
