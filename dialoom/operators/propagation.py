@@ -28,6 +28,18 @@ def event_time(c: Column) -> Column:
     return F.date_trunc("second", F.coalesce(F.try_to_timestamp(t), F.try_to_timestamp(t, F.lit("yyyy/MM/dd HH:mm")), F.try_to_timestamp(t, F.lit("yyyy/MM/dd HH:mm:ss"))))
 
 
+def time_text(c: Column) -> Column:
+    """A time in one notation, to the second; what can't be read stays as its stripped text, nothing stays null."""
+    return F.coalesce(F.date_format(event_time(c), "yyyy-MM-dd HH:mm:ss"), F.nullif(strip(c), F.lit("")))
+
+
+def coalesce_labels(df: DataFrame, extracted: tuple[str, str], original: tuple[str, str], display: str) -> DataFrame:
+    """The extracted labels, filled where blank: the first from its original, the second from its original, else from
+    the display column."""
+    filled = lambda c, *others: F.coalesce(*[F.when(~is_blank(F.col(x)), normalise_value(F.col(x)) if x != c else F.col(x)) for x in (c, *others)], F.col(c))
+    return df.withColumns({extracted[0]: filled(extracted[0], original[0]), extracted[1]: filled(extracted[1], original[1], display)})
+
+
 def _present(*cols: str) -> Column:
     out = F.lit(False)
     for c in cols:

@@ -7,7 +7,7 @@ any size. Bigram counts are the token vectors, so the cosine is a join and a sum
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,16 +98,22 @@ def _length(grams: Column) -> Column:
     return F.sqrt(F.aggregate(F.sort_array(grams), start, step, lambda s: s["total"]))
 
 
-def cosine_matches(messages: DataFrame, scripts: DataFrame, threshold: float) -> DataFrame:
-    """(text, script_id, similarity) of distinct texts and scripts whose bigram cosine reaches the threshold.
+def bigrams(c: Column) -> Column:
+    """The default tokens: the character bigrams of a text's match key."""
+    return T.char_ngrams(T.match_key(c), (2,))
 
-    Every occurrence of a bigram in a text adds its count in the script, so texts need no counting of their own.
+
+def cosine_matches(messages: DataFrame, scripts: DataFrame, threshold: float, tokens: Callable[[Column], Column] = bigrams) -> DataFrame:
+    """(text, script_id, similarity) of distinct texts and scripts whose token-count cosine reaches the threshold.
+
+    ``tokens`` gives the array of a text's tokens: bigrams, ``text.words``, or any tokeniser in a UDF. Every occurrence
+    of a token in a text adds its count in the script, so texts need no counting of their own.
     """
     texts = _distinct(messages)
-    counted = scripts.select("script_id", F.explode(T.char_ngrams(T.match_key(F.col("script_text")), (2,))).alias("gram")).groupBy("script_id", "gram").agg(F.count(F.lit(1)).alias("tf"))
-    norms = scripts.select("script_id", _length(T.char_ngrams(T.match_key(F.col("script_text")), (2,))).alias("s_norm"))
+    counted = scripts.select("script_id", F.explode(tokens(F.col("script_text"))).alias("gram")).groupBy("script_id", "gram").agg(F.count(F.lit(1)).alias("tf"))
+    norms = scripts.select("script_id", _length(tokens(F.col("script_text"))).alias("s_norm"))
     right = counted.join(small(norms), "script_id")
-    grams = texts.select("id", T.char_ngrams(T.match_key(F.col("text")), (2,)).alias("grams")).select("id", _length(F.col("grams")).alias("norm"), F.explode("grams").alias("gram"))
+    grams = texts.select("id", tokens(F.col("text")).alias("grams")).select("id", _length(F.col("grams")).alias("norm"), F.explode("grams").alias("gram"))
     dots = grams.join(small(right, 40 * MAX_SCRIPTS), "gram").groupBy("id", "script_id").agg(F.sum("tf").alias("dot"), F.first("norm").alias("norm"), F.first("s_norm").alias("s_norm"))
     found = dots.select("id", "script_id", F.round(F.col("dot") / (F.col("norm") * F.col("s_norm")), 6).alias("similarity")).filter(F.col("similarity") >= threshold)
     return found.join(texts, "id").select("text", "script_id", "similarity")

@@ -155,6 +155,12 @@ def case_contexts(spark, sf_dir):
     )
 
 
+def mapped_pairs(spark, sf_dir):
+    """The first two values of each context as a mapping of turns, joined."""
+    rows = table(spark, sf_dir, "testset").select("case_id", F.to_json(F.struct("latest_message", "nickname", "tags")).alias("mapping"))
+    return rows.select("case_id", F.array_join(text.first_values(F.col("mapping")), "|").alias("pair"))
+
+
 def reply_blocks(spark, sf_dir):
     """The customer's messages that answer a scripted reply."""
     scripts = F.broadcast(table(spark, sf_dir, "sop_scripts").select(F.trim("script_text").alias("text")).distinct().withColumn("scripted", F.lit(True)))
@@ -177,7 +183,7 @@ def transcript_chunks(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (scan_project_blank, parse_history, standardize_speakers, complete_conversation, truncate_to_last_customer, last_customer_message, sync_latest_message, merge_trailing_block, sales_rounds, sales_blocks_around_last, sentence_split, question_flags, classify_message, media_only_filter, text_forms, char_set_ops, script_variants, split_transmit_action, expected_parts, duplicate_judge, case_contexts, reply_blocks, parse_history_any, last_two_customer, transcript_chunks)
+    for f in (scan_project_blank, parse_history, standardize_speakers, complete_conversation, truncate_to_last_customer, last_customer_message, sync_latest_message, merge_trailing_block, sales_rounds, sales_blocks_around_last, sentence_split, question_flags, classify_message, media_only_filter, text_forms, char_set_ops, script_variants, split_transmit_action, expected_parts, duplicate_judge, case_contexts, mapped_pairs, reply_blocks, parse_history_any, last_two_customer, transcript_chunks)
 }
 
 _W = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
@@ -301,6 +307,7 @@ a AS (SELECT m.*, concat(coalesce(speaker, ''), ': ', text) AS line, {SALES} AND
 c AS (SELECT *, coalesce(speaker = '客户' AND lag(anchor) OVER (PARTITION BY conv_id ORDER BY pos), FALSE) AS cut,
   string_agg(line, chr(10)) OVER (PARTITION BY conv_id ORDER BY pos) AS context, coalesce(string_agg(line, chr(10)) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rest FROM a)
 SELECT conv_id, pos, context, rest FROM c WHERE cut""",
+    "mapped_pairs": "SELECT case_id, array_to_string(list_filter([latest_message, nickname, tags], lambda x: x IS NOT NULL)[1:2], '|') AS pair FROM testset",
     "reply_blocks": f"""WITH {MESSAGES.strip()},
 a AS (SELECT *, CASE WHEN {SALES} THEN 's' WHEN speaker = '客户' THEN 'c' ELSE 'o' END AS side, text IN (SELECT trim(script_text) FROM sop_scripts) AS scripted FROM msgs),
 r AS (SELECT *, sum(CASE WHEN coalesce(lagged, '') <> side THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos) AS run FROM (SELECT *, lag(side) OVER (PARTITION BY conv_id ORDER BY pos) AS lagged, lead(side) OVER (PARTITION BY conv_id ORDER BY pos) AS follow FROM a)),

@@ -64,7 +64,10 @@ def greedy_nearest_join(spark, sf_dir):
 
 
 def prefix_fallback_join(spark, sf_dir):
-    labels = _rows(spark, sf_dir).select("row_order", F.col("sop_l1").alias("l1"), F.substring("sop_l2", 1, 5).alias("l2")).filter("l1 is not null and l2 is not null")
+    """Ids of every row's label: as it stands, of every third row shortened, of every third row with an addition."""
+    turn = F.col("row_order") % 3
+    label = F.when(turn == 0, F.col("sop_l2")).when(turn == 1, F.substring("sop_l2", 1, 5)).otherwise(F.concat("sop_l2", F.lit("（补）")))
+    labels = _rows(spark, sf_dir).select("row_order", F.col("sop_l1").alias("l1"), label.alias("l2")).filter("l1 is not null and l2 is not null")
     return P.map_ids(labels, table(spark, sf_dir, "sop_schema")).select("row_order", "l2", "sub_id")
 
 
@@ -73,9 +76,20 @@ def row_positions(spark, sf_dir):
     return running_sum(_rows(spark, sf_dir).select("row_order", "customer_id"), ["customer_id"], "row_order", F.lit(1), "position").select("row_order", "position")
 
 
+def time_texts(spark, sf_dir):
+    """Message times in one notation."""
+    return table(spark, sf_dir, "reflow_rows").select("row_order", P.time_text(F.col("message_time")).alias("at"))
+
+
+def label_cascade(spark, sf_dir):
+    """Labels of agents' rows blanked and filled again from the original and display columns."""
+    rows = table(spark, sf_dir, "reflow_rows").select("row_order", "sop_l1", "sop_l2", "sop_display", F.lit("").alias("l1"), F.when(F.col("row_order") % 3 == 0, F.col("sop_l2")).alias("l2"))
+    return P.coalesce_labels(rows, ("l1", "l2"), ("sop_l1", "sop_l2"), "sop_display").select("row_order", "l1", "l2")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (terminal_anchor_trim, anchor_fill_forward, anchor_back_fill, propagation_totals, schema_enrich, anchor_priority_join, same_day_join, first_match_join, all_match_concat_join, greedy_nearest_join, prefix_fallback_join, row_positions)
+    for f in (terminal_anchor_trim, anchor_fill_forward, anchor_back_fill, propagation_totals, schema_enrich, anchor_priority_join, same_day_join, first_match_join, all_match_concat_join, greedy_nearest_join, prefix_fallback_join, row_positions, time_texts, label_cascade)
 }
 
 _BLANK = r"(coalesce(regexp_matches({0}, '^[\s\p{{Z}}]*((?i:nan|none)|\[\]|\{{\}})?[\s\p{{Z}}]*$'), TRUE))"
@@ -103,7 +117,12 @@ _PLAIN = "replace(replace(trim({0}), ' ', ''), '．', '.')"
 _KEYS = f"""
 keys AS (SELECT DISTINCT k, task_pos * 1000 + sub_pos AS place, * EXCLUDE (k) FROM (
   SELECT *, unnest([{_PLAIN.format('sub_theme')}, {_PLAIN.format('sub_theme_alt')}]) AS k FROM sop_schema) WHERE k IS NOT NULL)"""
+_TRIM = r"regexp_replace({0}, '^[\s\p{{Z}}\x0b\x1c-\x1f\x85]+|[\s\p{{Z}}\x0b\x1c-\x1f\x85]+$', '', 'g')"
 ORACLES = {
+    "time_texts": f"SELECT row_order, coalesce(strftime({_TIME.format(_TRIM.format('message_time'))}, '%Y-%m-%d %H:%M:%S'), nullif({_TRIM.format('message_time')}, '')) AS at FROM reflow_rows",
+    "label_cascade": f"""WITH r AS (SELECT row_order, sop_l1, sop_l2, sop_display, CASE WHEN row_order % 3 = 0 THEN sop_l2 END AS b FROM reflow_rows)
+SELECT row_order, CASE WHEN NOT {blank('sop_l1')} THEN {_TRIM.format('sop_l1')} ELSE '' END AS l1,
+  CASE WHEN NOT {blank('b')} THEN b WHEN NOT {blank('sop_l2')} THEN {_TRIM.format('sop_l2')} WHEN NOT {blank('sop_display')} THEN {_TRIM.format('sop_display')} ELSE b END AS l2 FROM r""",
     "terminal_anchor_trim": """
 WITH ends AS (SELECT sales_id, customer_id, external_id, max(row_order) FILTER (WHERE sender IN ('CSM', '未发送')) AS last FROM reflow_rows GROUP BY ALL HAVING count(*) FILTER (WHERE sender = 'CSM') > 0)
 SELECT r.row_order FROM reflow_rows r JOIN ends e ON r.sales_id IS NOT DISTINCT FROM e.sales_id AND r.customer_id IS NOT DISTINCT FROM e.customer_id AND r.external_id IS NOT DISTINCT FROM e.external_id AND r.row_order <= e.last""",
@@ -154,7 +173,7 @@ WITH timed AS (SELECT *, {_TIME.format('message_time')} AS ts FROM reflow_rows),
 g AS (SELECT sales_id, customer_id, ts, string_agg(sent_text, '；' ORDER BY row_order) AS replies FROM timed WHERE sender = 'CSM' AND NOT {blank('sent_text')} GROUP BY ALL)
 SELECT t.row_order, g.replies FROM timed t LEFT JOIN g USING (sales_id, customer_id, ts) WHERE t.sender = '客户'""",
     "prefix_fallback_join": """
-WITH l AS (SELECT row_order, sop_l1 AS l1, substring(sop_l2, 1, 5) AS l2 FROM reflow_rows WHERE sop_l1 IS NOT NULL AND sop_l2 IS NOT NULL),
+WITH l AS (SELECT row_order, sop_l1 AS l1, CASE row_order % 3 WHEN 0 THEN sop_l2 WHEN 1 THEN substring(sop_l2, 1, 5) ELSE sop_l2 || '（补）' END AS l2 FROM reflow_rows WHERE sop_l1 IS NOT NULL AND sop_l2 IS NOT NULL),
 c AS (SELECT row_order, l2, max(sub_id) FILTER (WHERE sub_theme = l2) AS same, count(*) FILTER (WHERE starts_with(sub_theme, l2)) AS nl, max(sub_id) FILTER (WHERE starts_with(sub_theme, l2)) AS lo,
   count(*) FILTER (WHERE starts_with(l2, sub_theme)) AS ns, max(sub_id) FILTER (WHERE starts_with(l2, sub_theme)) AS sh FROM l LEFT JOIN sop_schema ON task_theme = l1 GROUP BY ALL)
 SELECT row_order, l2, coalesce(same, CASE WHEN nl = 1 THEN lo END, CASE WHEN nl = 0 AND ns = 1 THEN sh END) AS sub_id FROM c""",
