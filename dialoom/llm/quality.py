@@ -17,6 +17,8 @@ Behaviour at the edges
 from __future__ import annotations
 
 import re
+import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,8 +31,6 @@ from dialoom.session import ensure_checkpoint_dir
 TYPES = ("prose", "list", "table", "junk")
 #: Vote vectors that are broadcast at most; more of them are joined by shuffle.
 MAX_BROADCAST = 1 << 17
-_HAN = r"[\p{IsHan}]"
-_WORD = r"[\p{IsHan}]|[\p{L}&&[^\p{IsHan}]][\p{L}\p{M}'’\-&&[^\p{IsHan}]]*|\p{N}+"
 _ENDS = r"[。！？；.!?;…：:”\"’)）]\s*$"
 
 
@@ -39,17 +39,87 @@ _HAN_RUN = re.compile("[\u3400-\u9fff]+")
 
 _UNBROKEN = re.compile(r"[^A-Za-z0-9=_]+")
 
+# Classes of characters, a bit each.
+SPACE, LETTER, HAN, MARK, NUMBER, SYMBOL, STOP, STRUNG, GARBLED, ODD, BASIC, JOIN, QUOTE = (1 << i for i in range(13))
+_OTHERS = {SYMBOL: "#%&*+/<=>@\\^_|~[]{}§°¤$", STOP: "。！？!?", STRUNG: "、/|,，;；", GARBLED: "\ufffd□", ODD: "jqxzJQXZ", JOIN: "'’-", QUOTE: "”\""}
+#: Characters counted at once.
+CHUNK = 1 << 20
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """The classes of every character below 0x20000, and one entry for the ideographs beyond."""
+    made = np.zeros(0x20001, np.uint16)
+    kinds = {"L": LETTER, "M": MARK, "N": NUMBER, "S": SYMBOL}
+    for o in range(0x20000):
+        ch = chr(o)
+        made[o] = kinds.get(unicodedata.category(ch)[0], 0) | (SPACE if ch.isspace() and not 0x1C <= o <= 0x1F else 0)
+    for low, high in ((0x2E80, 0x2FD5), (0x3005, 0x3005), (0x3007, 0x3007), (0x3021, 0x3029), (0x3038, 0x303B), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAD9), (0x20000, 0x20000)):
+        made[low : high + 1] |= HAN
+    made[0x20000] |= LETTER
+    made[0x80:0x100] |= GARBLED
+    for bit, chars in _OTHERS.items():
+        for ch in chars:
+            made[ord(ch)] |= bit
+    for letters in (range(65, 91), range(97, 123)):
+        made[letters.start : letters.stop] |= BASIC
+    return made
+
+
+COUNTS = ("chars", "word_chars", "words", "symbols", "han", "digits", "strung", "garbled", "stops", "odd", "basic")
+
+
+def count_classes(texts: list[str]) -> np.ndarray:
+    """COUNTS of each text, all texts at once: no loop over characters."""
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(codes):
+        return np.zeros((len(texts), len(COUNTS)), np.int64)
+    kind = _classes()[np.minimum(codes, 0x20000)]
+    edge = np.zeros(len(codes) + 1, bool)
+    edge[starts] = edge[ends] = True
+    first, last = edge[:-1], edge[1:]
+
+    def per_text(mask: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
+        return total[ends] - total[starts]
+
+    def begins(mask: np.ndarray) -> np.ndarray:
+        return mask & (~np.concatenate([[False], mask[:-1]]) | first)
+
+    has = lambda bits: (kind & bits) != 0
+    han = has(HAN)
+    letter, number = has(LETTER) & ~han, has(NUMBER) & ~han
+    # A word is a run of letters, accents and joints from its first letter on.
+    run = np.cumsum(begins((letter | has(MARK | JOIN)) & ~han))
+    at = np.flatnonzero(letter)
+    heads = np.zeros(len(codes), bool)
+    heads[at[np.concatenate([[True], run[at][1:] != run[at][:-1]])[: len(at)]]] = True
+    follows = np.concatenate([has(SPACE | HAN | QUOTE)[1:], [True]]) | last
+    stops = has(STOP) | ((codes == 46) & follows)
+    masks = (~has(SPACE), has(LETTER | NUMBER), han | heads | begins(number), has(SYMBOL), han, has(NUMBER), has(STRUNG), has(GARBLED), stops, has(ODD), has(BASIC))
+    return np.stack([per_text(m) for m in masks], axis=1)
+
 
 def _characters(c: Column) -> Column:
-    """Ideographs outside the basic simplified set (GB 2312), different characters, longest unbroken run of a script."""
+    """COUNTS, ideographs outside the basic simplified set (GB 2312), different characters, longest unbroken run of a script."""
+    names = [*COUNTS, "rare", "distinct", "longest"]
 
-    @F.pandas_udf("rare double, distinct double, longest double")
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
     def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
+        rows, parts, held, n = [], [], [], 0
         for t in texts:
             han = "".join(_HAN_RUN.findall(t))
             rows.append((len(han) - len(han.encode("gb2312", "ignore")) // 2, len(set(t)), max(map(len, _UNBROKEN.split(t)))))
-        return pd.DataFrame(rows, columns=["rare", "distinct", "longest"], dtype="float64")
+            held.append(t)
+            n += len(t)
+            if n >= CHUNK:
+                parts.append(count_classes(held))
+                held, n = [], 0
+        parts.append(count_classes(held))
+        return pd.DataFrame(np.concatenate([np.concatenate(parts), np.array(rows, dtype=np.int64).reshape(-1, 3)], axis=1), columns=names, dtype="float64")
 
     return run(c)
 
@@ -73,24 +143,24 @@ def statistics(df: DataFrame, text_col: str, lang_col: str, common_words: DataFr
         return count(f"(?:{body})" if lang == "zh" else rf"(?<![a-z])(?:{body})(?![a-z])", lower)
 
     lines = F.filter(F.split(t, r"\r\n|[\n\r\u2028\u2029\x0b\x0c\x85]"), lambda x: F.length(F.trim(x)) > 0)
-    made = df.withColumns({"__lines": lines, "__chars": F.length(F.regexp_replace(t, r"(?U)\s+", "")).cast("double")})
-    made = made.withColumn("__python", _characters(t))
+    made = df.withColumn("__lines", lines).withColumn("__python", _characters(t))
+    own = lambda c: F.col(f"__python.{c}")
     n_lines = F.greatest(F.size("__lines"), F.lit(1)).cast("double")
     share = lambda test: F.size(F.filter("__lines", test)) / n_lines
-    chars = F.greatest(F.col("__chars"), F.lit(1.0))
-    words, word_chars = count(rf"(?U){_WORD}"), count(r"[\p{L}\p{N}]")
+    chars = F.greatest(own("chars"), F.lit(1.0))
+    words, word_chars = own("words"), own("word_chars")
     q = {
-        "chars": F.col("__chars"),
+        "chars": own("chars"),
         "lines": F.size("__lines").cast("double"),
         "words": words,
         "mean_word": word_chars / F.greatest(words, F.lit(1.0)),
-        "symbols": count(r"[\p{S}#%&*+/<=>@\\^_|~\[\]{}§°¤$]") / chars,
+        "symbols": own("symbols") / chars,
         "punct_lines": share(lambda x: x.rlike(_ENDS)),
-        "stops": count(r"[。！？!?]|\.(?=\s|$|[\p{IsHan}”\"])") / chars,
+        "stops": own("stops") / chars,
         "common": F.when(F.col(lang_col) == "zh", common("zh")).when(F.col(lang_col) == "en", common("en")).otherwise(common("zh") + common("en")) / F.greatest(words, F.lit(1.0)),
-        "han": count(_HAN) / chars,
-        "mean_line": F.col("__chars") / n_lines,
-        "digits": count(r"\p{N}") / chars,
+        "han": own("han") / chars,
+        "mean_line": own("chars") / n_lines,
+        "digits": own("digits") / chars,
         "marked_lines": share(lambda x: x.rlike(r"^\s*(?:[-*•●○■□☐☑★☆◆▪·✓√]|\[[ xX]?\]|\d{1,3}\s*[.、)）:：]|[(（]\d{1,3}[)）]|[一二三四五六七八九十]{1,3}、|[①-⑳])")),
         "link_lines": share(lambda x: x.rlike(r"https?://\S+\s*$|^https?://|www\.")),
         "row_lines": share(lambda x: (
@@ -99,15 +169,15 @@ def statistics(df: DataFrame, text_col: str, lang_col: str, common_words: DataFr
         )),
         "short_lines": share(lambda x: (F.length(x) <= 32) & ~x.rlike(r"[。！？!?]\s*$|\.\s*$")),
         "log_lines": share(lambda x: x.rlike(r"^\[?\d{4}-\d\d-\d\d[ T]\d\d:\d\d:\d\d\S*\s+(?:ERROR|WARN|INFO|DEBUG|FATAL|TRACE)|0x[0-9a-f]{6,}|^\s+at [\w.$]+\(")),
-        "strung": count(r"[、/|,，;；]\s?") / F.greatest(words, F.lit(1.0)),
+        "strung": own("strung") / F.greatest(words, F.lit(1.0)),
         "longest": F.col("__python.longest"),
         "distinct": F.col("__python.distinct"),
-        "garbled": count(r"[\u0080-\u009f\u00a0-\u00ff\ufffd□]") / chars,
+        "garbled": own("garbled") / chars,
         "rare": F.col("__python.rare") / chars,
-        "odd_letters": count(r"[jqxz]", lower) / F.greatest(count(r"[a-z]", lower), 0.7 * chars, F.lit(20.0)),
+        "odd_letters": own("odd") / F.greatest(own("basic"), 0.7 * chars, F.lit(20.0)),
         "hard_words": count(r"(?<![a-z])[a-z]*[bcdfghjklmnpqrstvwxz]{4,}[a-z]*(?![a-z])", lower) / F.greatest(words, F.lit(1.0)),
     }
-    return made.withColumn("q", F.struct(*[c.cast("double").alias(k) for k, c in q.items()])).drop("__lines", "__chars", "__python")
+    return made.withColumn("q", F.struct(*[c.cast("double").alias(k) for k, c in q.items()])).drop("__lines", "__python")
 
 
 def _functions() -> list[tuple[str, str, Column]]:

@@ -168,3 +168,17 @@ def test_learning_prefers_agreement():
     assert best[bit("rare")] == "junk"
     assert best[bit("marked", "entries", "short")] == "list"
     assert Q.learn({}) == {}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab'’-é中々1٣. 。,、\ńjZ�é$|\U00020001", max_size=30), max_size=4))
+def test_character_counts_are_those_of_the_patterns(texts):
+    import regex
+
+    han = r"\p{Script=Han}"
+    patterns = {
+        "chars": r"\S", "word_chars": r"[\p{L}\p{N}]", "words": rf"{han}|(?!{han})\p{{L}}(?:(?!{han})[\p{{L}}\p{{M}}'’\-])*|(?:(?!{han})\p{{N}})+", "symbols": r"[\p{S}#%&*+/<=>@\\^_|~\[\]{}§°¤$]", "han": han,
+        "digits": r"\p{N}", "strung": "[、/|,，;；]", "garbled": "[\u0080-ÿ�□]", "stops": rf"[。！？!?]|\.(?=\s|\Z|{han}|[”\"])", "odd": "[jqxzJQXZ]", "basic": "[a-zA-Z]",
+    }
+    for text, row in zip(texts, Q.count_classes(texts), strict=True):
+        assert dict(zip(Q.COUNTS, row.tolist(), strict=True)) == {k: len(regex.findall(p, text)) for k, p in patterns.items()}
