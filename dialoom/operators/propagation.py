@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from dialoom.functions.blank import is_blank, is_valid_payload, normalise_value, strip
 from dialoom.operators.ordered import carry, first_per_key, running_sum
+from dialoom.operators.scripts import small
 
 CUSTOMER, AGENT, UNSENT = "客户", "CSM", "未发送"
 PARTIES = (CUSTOMER, AGENT, UNSENT)
@@ -100,7 +101,7 @@ def look_up_schema(df: DataFrame, schema: DataFrame, label: Column, task: Column
     """Add ``hit``: the schema's fields for a label, of the same task if there is one, else the first."""
     keyed = _schema_keys(schema)
     by_key = keyed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "task_theme", *[f for f in fields if f != "task_theme"]))).alias("__all"))
-    joined = df.withColumn("__key", plain_key(label)).withColumn("__task", normalise_value(task)).join(F.broadcast(by_key), F.col("__key") == by_key["key"], "left").drop("key")
+    joined = df.withColumn("__key", plain_key(label)).withColumn("__task", normalise_value(task)).join(small(by_key), F.col("__key") == by_key["key"], "left").drop("key")
     same = F.filter("__all", lambda e: e["task_theme"] == F.col("__task"))
     hit = F.coalesce(F.try_element_at(same, F.lit(1)), F.try_element_at("__all", F.lit(1)))
     return joined.withColumn("hit", hit).drop("__all", "__key", "__task")
@@ -198,7 +199,7 @@ def first_reply(df: DataFrame) -> DataFrame:
 def all_replies(df: DataFrame) -> DataFrame:
     """Customer rows with the texts of all agents' rows of the same conversation and second, joined in order."""
     timed = df.withColumn("__at", event_time(F.col("message_time")))
-    texts = timed.filter((F.col("sender") == AGENT) & ~is_blank(F.col("sent_text"))).groupBy(*KEYS, "__at").agg(
+    texts = timed.filter((F.col("sender") == AGENT) & ~is_blank(F.col("sent_text")) & F.col("__at").isNotNull()).groupBy(*KEYS, "__at").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_order", "sent_text"))), lambda x: x["sent_text"]), "；").alias("replies")
     )
     return timed.filter(F.col("sender") == CUSTOMER).join(texts, [*KEYS, "__at"], "left").drop("__at")
@@ -240,7 +241,7 @@ def map_ids(labels: DataFrame, schema: DataFrame) -> DataFrame:
     the only one that the label begins with; null where neither tells."""
     own = schema.select(F.col("task_theme").alias("l1"), F.col("sub_theme").alias("theme"), F.col("sub_id"))
     tasks = own.groupBy("l1").agg(F.collect_list(F.struct("theme", "sub_id")).alias("subs"))
-    joined = labels.join(F.broadcast(tasks), "l1", "left")
+    joined = labels.join(small(tasks), "l1", "left")
     same = F.filter("subs", lambda s: s["theme"] == F.col("l2"))
     longer = F.filter("subs", lambda s: s["theme"].startswith(F.col("l2")))
     shorter = F.filter("subs", lambda s: F.col("l2").startswith(s["theme"]))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dialoom.operators.scripts import small
+
 SALTS = 64
 
 
@@ -54,7 +56,7 @@ def two_phase(sizes: DataFrame, total: int = 300, guaranteed: int = 5) -> DataFr
 def draw(df: DataFrame, stratum: str, quotas: DataFrame, key: str) -> DataFrame:
     """As many rows of each stratum as its quota, in hash order. ``quotas`` has one row per stratum."""
     slim = quotas.select(F.col("stratum").alias(stratum), "quota").filter("quota > 0")
-    joined = df.join(F.broadcast(slim), stratum)
+    joined = df.join(small(slim), stratum)
     return ranked(joined, [stratum], [hash_order(F.col(key)), F.col(key)], F.col("quota")).drop("quota", "place")
 
 

@@ -49,12 +49,13 @@ def with_row_order(df: DataFrame) -> DataFrame:
     """Number the rows of a Parquet scan in the order of files (by path) and of rows within them.
 
     Every ordered rule needs this number, made once, at ingest. It comes from the file's path and the row's place in it,
-    so neither the packing of splits nor a task's retry changes it; the offsets are one small row per file.
+    so neither the packing of splits nor a task's retry changes it; the offsets are one row per file, joined by broadcast as far as
+    their size at run time allows.
     """
     placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
     sizes = placed.groupBy("__file").agg((F.max("__place") + 1).alias("__rows"))
     before = F.coalesce(F.sum("__rows").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return placed.join(F.broadcast(sizes.select("__file", before.alias("__before"))), "__file").withColumn("row_order", F.col("__before") + F.col("__place")).drop("__file", "__place", "__before")
+    return placed.join(sizes.select("__file", before.alias("__before")), "__file").withColumn("row_order", F.col("__before") + F.col("__place")).drop("__file", "__place", "__before")
 
 
 def read_tree(path: str) -> dict:
