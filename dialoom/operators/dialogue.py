@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.functions.blank import is_blank, strip
-from dialoom.functions.text import lines
+from dialoom.functions.text import LINE_END, lines
 
 _CUT = chr(1)
 HEAD = r"\[[^\n]+?\]\[[^\n]+?\][^\S\n]*:"
@@ -124,6 +126,61 @@ def parse_any(history: Column) -> Column:
     return F.when(is_blank(history), empty).otherwise(F.coalesce(F.when(history.rlike(r"^\s*\[\s*\{"), from_list), from_lines))
 
 
+_MESSAGE = "array<struct<pos:int,speaker:string,ts:string,text:string>>"
+
+
+def _chunked(rows: Column, starts: str, read: Callable[[Column], Column]) -> Column:
+    """Messages of an array of lines: a chunk begins at each line that ``starts`` matches, ``read`` gives its speaker, ts
+    and text (speaker empty: no message); what stands before the first one is dropped."""
+    chunks = F.split(F.regexp_replace(F.array_join(rows, "\n"), rf"(?m)^(?={starts})", _CUT), _CUT)
+    kept = F.filter(F.transform(F.slice(chunks, 2, 1 << 30), read), lambda m: m["speaker"] != "")
+    return F.transform(kept, lambda m, i: F.struct(i.cast("int").alias("pos"), m["speaker"].alias("speaker"), m["ts"].alias("ts"), m["text"].alias("text")))
+
+
+def parse_closed(history: Column) -> Column:
+    """Messages of the two sides, as the tagger reads them: a JSON list of role and content; else lines, of which every
+    one with a plain colon ends the message before, ``[role][time]: text`` or ``role: text`` begins one, others go on.
+
+    Continuation lines are joined by a line break; other speakers' messages drop out with theirs.
+    """
+    rows = F.filter(F.transform(F.split(strip(history), "\n"), strip), lambda x: x != "")
+    side = lambda c: F.when(c.isin("客户", "销售"), c).otherwise("")
+    stamped = r"(?s)^\[([^\n]+?)\]\[([^\n]+?)\]:\s*([^\n].*)$"
+
+    def read(chunk: Column) -> Column:
+        timed = chunk.rlike(r"^\[[^\n]+?\]\[[^\n]+?\]:[^\S\n]*[^\s]")
+        plain = F.struct(side(strip(F.substring_index(chunk, ":", 1))).alias("speaker"), F.lit("").alias("ts"), strip(F.regexp_replace(chunk, r"^[^:]*:", "")).alias("text"))
+        full = F.struct(side(strip(F.regexp_extract(chunk, stamped, 1))).alias("speaker"), strip(F.regexp_extract(chunk, stamped, 2)).alias("ts"), strip(F.regexp_extract(chunk, stamped, 3)).alias("text"))
+        return F.when(timed, full).otherwise(plain)
+
+    listed = F.from_json(F.when(history.rlike(r"^\s*\["), history), "array<struct<role:string,content:string,time:string>>")
+    items = F.filter(listed, lambda m: m["role"].isNotNull() & m["content"].isNotNull() & strip(m["role"]).isin("客户", "销售"))
+    from_list = F.transform(items, lambda m, i: F.struct(i.cast("int").alias("pos"), strip(m["role"]).alias("speaker"), strip(F.coalesce(m["time"], F.lit(""))).alias("ts"), strip(m["content"]).alias("text")))
+    is_list = history.rlike(r"^\s*\[\s*\{") & from_list.isNotNull()
+    return F.when(history.isNull(), F.array().cast(_MESSAGE)).when(is_list, from_list).otherwise(_chunked(rows, r"[^\n]*:", read))
+
+
+def parse_sides(history: Column) -> Column:
+    """Messages under ``[客户][time]:`` and ``[销售][time]:`` heads at the line's beginning; any other line goes on the
+    message before, joined by a line break, or is dropped where there is none."""
+    rows = F.filter(F.transform(F.split(F.coalesce(history, F.lit("")), LINE_END), lambda x: F.regexp_replace(x, r"(?U)(?<!\s)\s++$|^\s++$", "")), lambda x: x != "")
+    head = r"\[(客户|销售)\]\[([^\n]*?)\]:"
+    read = lambda c: F.struct(
+        F.regexp_extract(c, f"^{head}", 1).alias("speaker"), strip(F.regexp_extract(c, f"^{head}", 2)).alias("ts"),
+        strip(F.array_join(F.transform(F.split(F.regexp_replace(c, f"^{head}", ""), "\n"), strip), "\n")).alias("text"),
+    )
+    return _chunked(rows, head, read)
+
+
+def parse_prefixed(history: Column) -> Column:
+    """Messages of lines that begin with ``[客户]`` or ``[销售]``: the text after ``]: ``, else after the first bracket;
+    other lines go on the message before, joined by a line break, or are dropped where there is none."""
+    rows = F.filter(F.transform(F.split(F.coalesce(history, F.lit("")), "\n"), strip), lambda x: x != "")
+    said = lambda c: F.when(c.rlike(r"^[^\n]*?\]: "), F.regexp_replace(c, r"^[^\n]*?\]: ", "")).otherwise(F.regexp_replace(c, r"^[^\]]*\]", ""))
+    read = lambda c: F.struct(F.substring(c, 2, 2).alias("speaker"), F.lit("").alias("ts"), strip(said(c)).alias("text"))
+    return _chunked(rows, r"\[(?:客户|销售)\]", read)
+
+
 def two_sides(parsed: Column, words: tuple[str, ...] = SALES_WORDS) -> Column:
     """Only the messages of the customer and of sales."""
     return F.filter(parsed, lambda m: (m["speaker"] == "客户") | is_sales(m["speaker"], words))

@@ -155,6 +155,23 @@ def case_contexts(spark, sf_dir):
     )
 
 
+def _dialect(spark, sf_dir, parse):
+    return table(spark, sf_dir, "testset").select("case_id", F.inline(parse(F.col("history")))).select("case_id", "pos", "speaker", "ts", "text")
+
+
+def parse_closed(spark, sf_dir):
+    """Messages of the test set's histories as the tagger reads them."""
+    return _dialect(spark, sf_dir, D.parse_closed)
+
+
+def parse_sides(spark, sf_dir):
+    return _dialect(spark, sf_dir, D.parse_sides)
+
+
+def parse_prefixed(spark, sf_dir):
+    return _dialect(spark, sf_dir, D.parse_prefixed)
+
+
 def mapped_pairs(spark, sf_dir):
     """The first two values of each context as a mapping of turns, joined."""
     rows = table(spark, sf_dir, "testset").select("case_id", F.to_json(F.struct("latest_message", "nickname", "tags")).alias("mapping"))
@@ -183,7 +200,7 @@ def transcript_chunks(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (scan_project_blank, parse_history, standardize_speakers, complete_conversation, truncate_to_last_customer, last_customer_message, sync_latest_message, merge_trailing_block, sales_rounds, sales_blocks_around_last, sentence_split, question_flags, classify_message, media_only_filter, text_forms, char_set_ops, script_variants, split_transmit_action, expected_parts, duplicate_judge, case_contexts, mapped_pairs, reply_blocks, parse_history_any, last_two_customer, transcript_chunks)
+    for f in (scan_project_blank, parse_history, standardize_speakers, complete_conversation, truncate_to_last_customer, last_customer_message, sync_latest_message, merge_trailing_block, sales_rounds, sales_blocks_around_last, sentence_split, question_flags, classify_message, media_only_filter, text_forms, char_set_ops, script_variants, split_transmit_action, expected_parts, duplicate_judge, case_contexts, parse_closed, parse_sides, parse_prefixed, mapped_pairs, reply_blocks, parse_history_any, last_two_customer, transcript_chunks)
 }
 
 _W = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
@@ -244,7 +261,32 @@ parts AS (SELECT id, {stored(f"CASE WHEN h = '' THEN v WHEN lead = '' THEN {q('c
   {stored(f"CASE WHEN h = '' THEN '' WHEN lead = '' AND {q('clause', filler, 1)} <> '' THEN {q('clause', filler, 2)} ELSE clause END")} AS question FROM u5)"""
 
 
+def _lines_sql(split: str, clean: str, keep: str, start: str) -> str:
+    """CTE ``k`` (case_id, i, n, line): lines of the histories with the number of their chunk, 0 before the first one."""
+    return f"""l AS (SELECT case_id, unnest(a) AS raw, generate_subscripts(a, 1) AS i FROM (SELECT case_id, {split} AS a FROM testset WHERE history IS NOT NULL AND {keep})),
+c AS (SELECT case_id, i, {clean} AS line FROM l), k AS (SELECT *, sum(CASE WHEN {start} THEN 1 ELSE 0 END) OVER (PARTITION BY case_id ORDER BY i) AS n FROM c WHERE line <> '')"""
+
+
+def _chunks_sql(speaker: str, ts: str, first: str, more: str) -> str:
+    return f"""h AS (SELECT case_id, n, {_strip("string_agg(CASE WHEN f THEN " + first + " ELSE " + more + " END, chr(10) ORDER BY i)")} AS text, max(CASE WHEN f THEN {speaker} END) AS speaker, max(CASE WHEN f THEN {ts} END) AS ts
+  FROM (SELECT *, i = min(i) OVER (PARTITION BY case_id, n) AS f FROM k WHERE n > 0) GROUP BY 1, 2)
+SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY n) - 1 AS INT) AS pos, speaker, ts, text FROM h WHERE speaker IN ('客户', '销售')"""
+
+
+_TIMED = "regexp_matches(line, '^\\[.+?\\]\\[.+?\\]:\\s*\\S')"
+_SIDE = "^\\[(客户|销售)\\]\\[(.*?)\\]:"
+_LISTED = "regexp_matches(history, '^\\s*\\[\\s*\\{') AND json_valid(history)"
+_EVERY_END = "'\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]'"
 ORACLES = {
+    "parse_closed": f"""WITH {_lines_sql(f"string_split({_strip('history')}, chr(10))", _strip('raw'), f"NOT ({_LISTED})", "contains(line, ':')")},
+{_chunks_sql(f"CASE WHEN {_TIMED} THEN {_strip("regexp_extract(line, '^\\[(.+?)\\]\\[', 1)")} ELSE {_strip("split_part(line, ':', 1)")} END", f"CASE WHEN {_TIMED} THEN {_strip("regexp_extract(line, '^\\[.+?\\]\\[(.+?)\\]:', 1)")} ELSE '' END", f"CASE WHEN {_TIMED} THEN regexp_replace(line, '^\\[.+?\\]\\[.+?\\]:\\s*', '') ELSE regexp_replace(line, '^[^:]*:', '') END", "line")}
+UNION ALL SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY i) - 1 AS INT), {_strip('m.role')}, {_strip("coalesce(m.time, '')")}, {_strip('m.content')}
+FROM (SELECT case_id, unnest(a) AS m, generate_subscripts(a, 1) AS i FROM (SELECT case_id, from_json(CASE WHEN {_LISTED} THEN history END, '[{{"role":"VARCHAR","content":"VARCHAR","time":"VARCHAR"}}]') AS a FROM testset))
+WHERE {_strip('m.role')} IN ('客户', '销售') AND m.content IS NOT NULL""",
+    "parse_sides": f"""WITH {_lines_sql(f"string_split_regex(history, {_EVERY_END})", f"regexp_replace(raw, '{_W}+$', '')", "TRUE", f"regexp_matches(line, '{_SIDE}')")},
+{_chunks_sql(f"regexp_extract(line, '{_SIDE}', 1)", _strip(f"regexp_extract(line, '{_SIDE}', 2)"), f"regexp_replace(line, '{_SIDE}', '')", _strip("line"))}""",
+    "parse_prefixed": f"""WITH {_lines_sql("string_split(history, chr(10))", _strip('raw'), "TRUE", "(starts_with(line, '[客户]') OR starts_with(line, '[销售]'))")},
+{_chunks_sql("substring(line, 2, 2)", "''", "CASE WHEN contains(line, ']: ') THEN substring(line, strpos(line, ']: ') + 3) ELSE substring(line, strpos(line, ']') + 1) END", "line")}""",
     "split_transmit_action": f"WITH {_split_sql('SELECT row_order AS id, sent_text AS u FROM reflow_rows WHERE sent_text IS NOT NULL')} SELECT id AS row_order, statement, question FROM parts",
     "expected_parts": f"""WITH {_split_sql('SELECT row_order AS id, sent_text AS u FROM reflow_rows WHERE sent_text IS NOT NULL')},
 r AS (SELECT row_order, row_order % 5 AS kind, {_strip("replace(sent_text, chr(13) || chr(10), chr(10))")} AS u FROM reflow_rows WHERE sent_text IS NOT NULL),

@@ -55,3 +55,43 @@ def test_transcripts_are_cut(spark):
     df = spark.createDataFrame(rows, "file_id string, msg_id long, sender_role string, processed_text string, message_type string, file_url string")
     got = {r.chunk: (r.full.count("\n") + 1, r.plain.count("\n") + 1) for r in D.transcripts(df, 5).collect()}
     assert got == {0: (5, 4), 1: (2, 2)}
+
+
+def read(spark, parse, *texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, h string")
+    got = df.select("k", parse(F.col("h")).alias("m")).orderBy("k").collect()
+    return [[(m.pos, m.speaker, m.ts, m.text) for m in r.m] for r in got]
+
+
+def test_a_line_with_a_colon_closes_a_message(spark):
+    text = "开头\n[客户][t1]: a\nb\n系统: c\nd\n销售: e:f\ng\n[CSM][t]: x\ny\n[客户][t2]:\n 客户 : z"
+    listed = '[{"role": " 客户 ", "content": " a ", "time": "t"}, {"role": "系统", "content": "b"}, {"role": "销售", "content": "c"}, {"role": "客户"}]'
+    assert read(spark, D.parse_closed, text, listed, None, "", "[{broken: 客户") == [
+        [(0, "客户", "t1", "a\nb"), (1, "销售", "", "e:f\ng"), (2, "客户", "", "z")], [(0, "客户", "t", "a"), (1, "销售", "", "c")], [], [], []
+    ]
+
+
+def test_only_the_two_sides_have_heads(spark):
+    text = "orphan\n[客户][t1]: a\r\n  b \n\n[CSM][t]: c\n [销售][t]: d\n[销售][ t2 ]:\n e"
+    assert read(spark, D.parse_sides, text, None, "x", "") == [[(0, "客户", "t1", "a\nb\n[CSM][t]: c\n[销售][t]: d"), (1, "销售", "t2", "e")], [], [], []]
+
+
+def test_prefixes_are_enough(spark):
+    assert read(spark, D.parse_prefixed, "x\n[客户][t]: a]: b\nc\n[销售]d\n [客户] e", None) == [[(0, "客户", "", "a]: b\nc"), (1, "销售", "", "d"), (2, "客户", "", "e")], []]
+
+
+def test_last_customer_block(spark):
+    texts = ["[客户][t]: a\n  b \n[销售][t]: c", "[销售][t]: 说 [客户] 好\nd", "[销售]: x", None, "前\n引用[客户]\n后", "[客户]: a\n[客户]: b\n\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, h string")
+    got = [r.b for r in df.select("k", D.last_customer_block(F.col("h")).alias("b")).orderBy("k").collect()]
+    assert got == ["[客户][t]: a\nb", "[销售][t]: 说 [客户] 好\nd", "", "", "引用[客户]\n后", "[客户]: b"]
+
+
+def test_reply_blocks(spark):
+    rows = [
+        (1, 0, "销售", "t0", "S"), (1, 1, "销售", "t1", "more"), (1, 2, "客户", "t2", "a"), (1, 3, "客户", None, "b"), (1, 4, "销售", "t4", "x"),
+        (2, 0, "销售", "t0", "S"), (2, 1, "系统", "t1", "-"), (2, 2, "客户", "t2", "a"), (3, 0, "销售", "t0", "S"), (4, 0, "销售", "t0", "S"), (4, 1, "客户", "t1", "c"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, pos int, speaker string, ts string, text string")
+    got = {r.conv_id: (r.pos, r.block, r.last_pos, r.closed) for r in D.reply_blocks(df, F.col("text") == "S").collect()}
+    assert got == {1: (0, "[客户][t2]：a\n[客户][]：b", 3, True), 4: (0, "[客户][t1]：c", 1, False)}

@@ -142,3 +142,14 @@ def test_expected_fields(spark):
     at = ["A", "B", "C", "D"]
     chosen = spark.createDataFrame([(1, at, [*at, "E"], "x"), (2, at, at, "x")], "conv_id long, path array<string>, predicted array<string>, text string")
     assert {r.conv_id: r.notes for r in G.expected_fields(chosen, nodes, items).collect()} == {1: {"E": ["e"]}, 2: {"F": ["f"]}}
+
+
+def test_verify_tells_why(spark):
+    conversations = spark.createDataFrame([(1, "x", "A", "a"), (2, "x", None, "a"), (3, " ", "A", "a"), (4, "x", "A", "a"), (5, "x", "Z", "z"), (6, "x", "A", " A "), (7, "x", "A", "ａ")], "conv_id long, final_context string, sop_l1 string, sop_l2 string")
+    sales = spark.createDataFrame([(c, p, "t", f"{c}-{p}") for c, p in ((1, 0), (1, 2), (2, 0), (5, 0), (6, 0), (7, 0))], "conv_id long, pos int, ts string, text string")
+    matches = spark.createDataFrame([("1-0", 2, 0.9), ("1-2", 4, 0.9), ("6-0", 1, 0.9), ("7-0", 3, 0.9)], "text string, script_id long, similarity double")
+    got = {r.conv_id: (r.match_reason, r.match_hit, r.pos, r.turn_from_last, r.latest_sales_message) for r in G.verify(conversations, sales, matches, scripts(spark)).collect()}
+    assert got == {
+        1: ("", "是", 0, 2, "1-2"), 2: (G.NO_LABEL, "否", None, None, "2-0"), 3: (G.NO_HISTORY, "否", None, None, ""), 4: (G.NO_SALES, "否", None, None, ""), 5: (G.NO_SCRIPTS, "否", None, None, "5-0"),
+        6: (G.NO_MATCH, "否", None, None, "6-0"), 7: ("", "是", 0, 1, "7-0"),
+    }
