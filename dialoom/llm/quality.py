@@ -103,25 +103,34 @@ def count_classes(texts: list[str]) -> np.ndarray:
     return np.stack([per_text(m) for m in masks], axis=1)
 
 
-def _characters(c: Column) -> Column:
-    """COUNTS, ideographs outside the basic simplified set (GB 2312), different characters, longest unbroken run of a script."""
-    names = [*COUNTS, "rare", "distinct", "longest"]
+_RUN = re.compile("[a-z]{4,}")
+_HARD = re.compile("[bcdfghjklmnpqrstvwxz]{4}")
+
+
+def _measured(text: Column, lang: Column, words: dict[str, list[str]]) -> Column:
+    """COUNTS; ideographs outside the basic simplified set (GB 2312), different characters, longest unbroken run of a
+    script; common words of the language (of both where it is neither), words that can't be spoken."""
+    names = [*COUNTS, "rare", "distinct", "longest", "common", "hard"]
+    body = {k: "|".join(map(re.escape, sorted(v, key=lambda w: (-len(w), w)))) for k, v in words.items() if v}
+    common = {k: re.compile(rf"(?<![a-z])(?:{b})(?![a-z])" if k == "en" else b) for k, b in body.items() if k in ("zh", "en")}
 
     @F.pandas_udf(", ".join(f"{n} double" for n in names))
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(texts: pd.Series, langs: pd.Series) -> pd.DataFrame:
         rows, parts, held, n = [], [], [], 0
-        for t in texts:
-            han = "".join(_HAN_RUN.findall(t))
-            rows.append((len(han) - len(han.encode("gb2312", "ignore")) // 2, len(set(t)), max(map(len, _UNBROKEN.split(t)))))
+        for t, lang in zip(texts, langs, strict=True):
+            han, lower = "".join(_HAN_RUN.findall(t)), t.lower()
+            known = sum(len(p.findall(lower)) for k, p in common.items() if lang == k or lang not in ("zh", "en"))
+            hard = sum(_HARD.search(w) is not None for w in _RUN.findall(lower))
+            rows.append((len(han) - len(han.encode("gb2312", "ignore")) // 2, len(set(t)), max(map(len, _UNBROKEN.split(t))), known, hard))
             held.append(t)
             n += len(t)
             if n >= CHUNK:
                 parts.append(count_classes(held))
                 held, n = [], 0
         parts.append(count_classes(held))
-        return pd.DataFrame(np.concatenate([np.concatenate(parts), np.array(rows, dtype=np.int64).reshape(-1, 3)], axis=1), columns=names, dtype="float64")
+        return pd.DataFrame(np.concatenate([np.concatenate(parts), np.array(rows, dtype=np.int64).reshape(-1, 5)], axis=1), columns=names, dtype="float64")
 
-    return run(c)
+    return run(text, lang)
 
 
 def _occurrences(c: Column, pattern: str) -> Column:
@@ -132,18 +141,8 @@ def statistics(df: DataFrame, text_col: str, lang_col: str, common_words: DataFr
     """Add the statistics as struct ``q``. ``common_words`` (lang, word) is a small fixed table."""
     by_lang = {r.lang: sorted(r.words) for r in common_words.groupBy("lang").agg(F.collect_set("word").alias("words")).collect()}
     t = F.coalesce(F.col(text_col), F.lit(""))
-    lower = F.lower(t)
-    count = lambda pattern, c=t: F.regexp_count(c, F.lit(pattern)).cast("double")
-
-    def common(lang: str) -> Column:
-        words = by_lang.get(lang, [])
-        if not words:
-            return F.lit(0.0)
-        body = "|".join(sorted(words, key=lambda w: (-len(w), w)))
-        return count(f"(?:{body})" if lang == "zh" else rf"(?<![a-z])(?:{body})(?![a-z])", lower)
-
     lines = F.filter(F.split(t, r"\r\n|[\n\r\u2028\u2029\x0b\x0c\x85]"), lambda x: F.length(F.trim(x)) > 0)
-    made = df.withColumn("__lines", lines).withColumn("__python", _characters(t))
+    made = df.withColumn("__lines", lines).withColumn("__python", _measured(t, F.col(lang_col), by_lang))
     own = lambda c: F.col(f"__python.{c}")
     n_lines = F.greatest(F.size("__lines"), F.lit(1)).cast("double")
     share = lambda test: F.size(F.filter("__lines", test)) / n_lines
@@ -157,7 +156,7 @@ def statistics(df: DataFrame, text_col: str, lang_col: str, common_words: DataFr
         "symbols": own("symbols") / chars,
         "punct_lines": share(lambda x: x.rlike(_ENDS)),
         "stops": own("stops") / chars,
-        "common": F.when(F.col(lang_col) == "zh", common("zh")).when(F.col(lang_col) == "en", common("en")).otherwise(common("zh") + common("en")) / F.greatest(words, F.lit(1.0)),
+        "common": own("common") / F.greatest(words, F.lit(1.0)),
         "han": own("han") / chars,
         "mean_line": own("chars") / n_lines,
         "digits": own("digits") / chars,
@@ -175,7 +174,7 @@ def statistics(df: DataFrame, text_col: str, lang_col: str, common_words: DataFr
         "garbled": own("garbled") / chars,
         "rare": F.col("__python.rare") / chars,
         "odd_letters": own("odd") / F.greatest(own("basic"), 0.7 * chars, F.lit(20.0)),
-        "hard_words": count(r"(?<![a-z])[a-z]*[bcdfghjklmnpqrstvwxz]{4,}[a-z]*(?![a-z])", lower) / F.greatest(words, F.lit(1.0)),
+        "hard_words": own("hard") / F.greatest(words, F.lit(1.0)),
     }
     return made.withColumn("q", F.struct(*[c.cast("double").alias(k) for k, c in q.items()])).drop("__lines", "__python")
 
