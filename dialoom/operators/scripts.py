@@ -87,17 +87,6 @@ def _distinct(messages: DataFrame) -> DataFrame:
     return messages.select("text").distinct().select(F.unhex(F.md5("text")).alias("id"), "text")
 
 
-def _length(grams: Column) -> Column:
-    """The Euclidean length of the count vector of an array of grams, within the row: runs of the sorted array."""
-    start = F.struct(F.lit("").alias("gram"), F.lit(0).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("total"))
-
-    def step(state: Column, gram: Column) -> Column:
-        run = F.when(gram == state["gram"], state["run"] + 1).otherwise(F.lit(0).cast("bigint"))
-        return F.struct(gram.alias("gram"), run.alias("run"), (state["total"] + 2 * run + 1).alias("total"))
-
-    return F.sqrt(F.aggregate(F.sort_array(grams), start, step, lambda s: s["total"]))
-
-
 def bigrams(c: Column) -> Column:
     """The default tokens: the character bigrams of a text's match key."""
     return T.char_ngrams(T.match_key(c), (2,))
@@ -106,16 +95,16 @@ def bigrams(c: Column) -> Column:
 def cosine_matches(messages: DataFrame, scripts: DataFrame, threshold: float, tokens: Callable[[Column], Column] = bigrams) -> DataFrame:
     """(text, script_id, similarity) of distinct texts and scripts whose token-count cosine reaches the threshold.
 
-    ``tokens`` gives the array of a text's tokens: bigrams, ``text.words``, or any tokeniser in a UDF. Every occurrence
-    of a token in a text adds its count in the script, so texts need no counting of their own.
+    ``tokens`` gives the array of a text's tokens: bigrams, ``text.words``, or any tokeniser in a UDF.
     """
     texts = _distinct(messages)
-    counted = scripts.select("script_id", F.explode(tokens(F.col("script_text"))).alias("gram")).groupBy("script_id", "gram").agg(F.count(F.lit(1)).alias("tf"))
-    norms = scripts.select("script_id", _length(tokens(F.col("script_text"))).alias("s_norm"))
-    right = counted.join(small(norms), "script_id")
-    grams = texts.select("id", tokens(F.col("text")).alias("grams")).select("id", _length(F.col("grams")).alias("norm"), F.explode("grams").alias("gram"))
-    dots = grams.join(small(right, 40 * MAX_SCRIPTS), "gram").groupBy("id", "script_id").agg(F.sum("tf").alias("dot"), F.first("norm").alias("norm"), F.first("s_norm").alias("s_norm"))
-    found = dots.select("id", "script_id", F.round(F.col("dot") / (F.col("norm") * F.col("s_norm")), 6).alias("similarity")).filter(F.col("similarity") >= threshold)
+    count = lambda df, key, c: df.select(key, F.explode(tokens(c)).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf"))
+    length = lambda counted, key, out: counted.groupBy(key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias(out))
+    left, right = count(texts, "id", F.col("text")), count(scripts, "script_id", F.col("script_text"))
+    right = right.join(small(length(right, "script_id", "s_norm")), "script_id").withColumnRenamed("tf", "s_tf")
+    dots = left.join(small(right, 40 * MAX_SCRIPTS), "gram").groupBy("id", "script_id").agg(F.sum(F.col("tf") * F.col("s_tf")).alias("dot"), F.first("s_norm").alias("s_norm"))
+    scored = dots.join(length(left, "id", "norm"), "id")
+    found = scored.select("id", "script_id", F.round(F.col("dot") / (F.col("norm") * F.col("s_norm")), 6).alias("similarity")).filter(F.col("similarity") >= threshold)
     return found.join(texts, "id").select("text", "script_id", "similarity")
 
 
